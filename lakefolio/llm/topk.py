@@ -143,7 +143,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select("vec_id", "vector", F.size("vector").alias("size"), deal(shards).alias("shard")).withColumn("block", every(blocks))
-    asked = queries.select("vec_id", "vector", F.size("vector").alias("size"), deal(blocks).alias("block"))
+    own = [F.col(c).alias(c) for c in ("vec_id", "vector")]  # both sides may be one table
+    asked = queries.select(*own, F.size("vector").alias("size"), deal(blocks).alias("block"))
     keys = ("size", "shard", "block")
 
     def search(asked: DataFrame, first_only: bool) -> DataFrame:
@@ -152,8 +153,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
         return pairs.applyInPandas(_search(k, first_only), "query_id long, vec_id long, score long")
 
     unbounded = asked.withColumn("floor", F.lit(None).cast("long"))
-    floors = search(unbounded, True).groupBy("query_id").agg(F.max("score").alias("floor"))
-    bounded = asked.join(floors, asked.vec_id == floors.query_id, "left").drop("query_id")
+    floors = search(unbounded, True).groupBy(F.col("query_id").alias("vec_id")).agg(F.max("score").alias("floor"))
+    bounded = asked.join(floors, "vec_id", "left")
     found = search(bounded, False)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
