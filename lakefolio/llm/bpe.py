@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Cutter, WordEncoder, byte_letters
+from .words import Cutter, WordEncoder, byte_letters, in_slices
 
 _NONE = np.int64(1) << 60
 
@@ -183,13 +183,15 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
 def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
+    types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kind = pa.schema([("id", pa.string()), *((n, types[part.split()[1]]) for n, part in zip(names, schema.split(", ")))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = _encoder(vocabulary)
-        for frame in frames:
-            rows = [row(bpe, ids) for ids in encoder.texts(frame["text"])]
-            yield pd.DataFrame(rows, columns=names).assign(id=frame["id"].to_numpy())[["id", *names]]
+        for docs, texts in in_slices(batches):
+            rows = [row(bpe, ids) for ids in encoder.texts(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((docs, *zip(*rows)), kind)], schema=kind)
 
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInPandas(run, f"id string, {schema}")
+    out = texts.mapInArrow(run, f"id string, {schema}")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *names)

@@ -20,11 +20,12 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .words import Cutter, WordEncoder, byte_letters
+from .words import Cutter, WordEncoder, byte_letters, in_slices
 
 _PIECES = "id string, piece int, start long, length long, ids_crc32 long"
 
@@ -57,19 +58,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """
     tail = np.array([end_id], "<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.schema([("id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _library_encoder(tokenizer)
-        for frame in frames:
+        for docs, texts in in_slices(batches):
             rows = []
-            for doc, ids in zip(frame["id"], encoder.texts(frame["text"])):
+            for doc, ids in zip(docs, encoder.texts(texts)):
                 ids += tail
                 for n, low in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[low : low + 4 * capacity]
                     rows.append((doc, n, low // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInPandas(run, _PIECES)
+    out = texts.mapInArrow(run, _PIECES)
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "piece", "start", "length", "ids_crc32")
 
 

@@ -13,12 +13,13 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Words, and pre-tokens, whose ids a Python worker keeps.
-KEPT = 450_000
+KEPT = 220_000
 #: Characters of text that are encoded together.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -102,3 +103,11 @@ class WordEncoder:
         if len(self.parts) > self.kept:
             for part in parts:
                 del self.parts[part]
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of a few rows at a time, so that few texts are Python strings."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            part = batch.slice(low, rows)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
