@@ -1,0 +1,247 @@
+"""Operators against brute force, round trips and held-out truth, and odd rows."""
+
+import collections
+import hashlib
+import html
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lakefolio.llm import bpe, chat, language, packing, pii, quality_model, quality_rules, simhash, topk, wrappers
+from lakefolio.llm.common import held_out, table
+
+DATA = "/root/testdata/sf0.01"
+P = pytest.importorskip("public_tokenizers")
+PATH = P.path("word_bpe_49k.json")
+ODD = [
+    None, "", " \n\t", "a", "<|endoftext|>x <|START", "I'LL don't 's", "x\u3000y\tq\x1cz", "ΣΑΣ Σ İ é e\u0301 ǅ", "漢字 가 \u1100\u1161", "a" * 3000 + " " + "ab" * 700,
+    "\u0301x", "½ ² 123", "🎉👍🏽", "A\u200bB \x85 C", "word " * 30000, "same", "same",
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, repeated rows, null ids, and columns with names used inside."""
+    rows = [(None if i == 3 else i, t, None, "s", 0, "w", i, "x", "y", "z") for i, t in enumerate(ODD)] + [(15, "same", "en", "s", 4, "w", 1, "x", "y", "z")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, words string, n long, id string, fp string, pii_spans string"
+    return spark.createDataFrame(rows, schema).repartition(2)
+
+
+def test_bpe_is_the_library(spark, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    got = bpe.digests(odd, PATH).collect()
+    assert len(got) == len(ODD) + 1
+    for r in got:
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(raw).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_both_segment_trees_agree():
+    model = bpe.Bpe(PATH)
+    words = ["th" * n + "ing" for n in (1, 5, 40, 300)]
+    assert model.encode_parts(words) == [model._one(w.encode()) for w in words]
+
+
+def check_packing(rows, capacity):
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(by)
+
+
+def test_packing(spark):
+    docs = table(spark, DATA, "documents")
+    rows = packing.pack_documents(docs, PATH).collect()
+    used = check_packing(rows, 2048)
+    assert used <= np.ceil(sum(r.length for r in rows) / 2048) * 1.01 + 1
+    whole = collections.Counter(r.doc_id for r in rows)
+    assert len(whole) == docs.count() and all(n == 1 or r.length <= 2048 for n, r in zip(whole.values(), rows))
+
+
+def test_packing_capacities_and_odd_rows(odd):
+    rows = packing.pack_documents(odd, PATH).collect()
+    check_packing(rows, 2048)
+    assert [r.ids_crc32 for r in rows if r.doc_id == 1] == [zlib.crc32(bytes(4))]
+    lengths = np.array(sorted([5, 9, 3, 3, 3, 2, 2, 1, 1, 1, 7], reverse=True))
+    for rule in ("dot", "norm"):
+        bins = packing.best_fit(lengths, 10, 3, 60, (1.0, 0.1, 0.1), rule)
+        for b in set(bins):
+            mine = lengths[bins == b]
+            assert mine.sum() <= 10 and len(mine) <= 3 and ((mine**2).sum() <= 60 or len(mine) == 1)
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(0)
+    vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(30)]
+    vectors += [(900, None), (901, [1.0] * 5 + [None]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6), (904, [1e14] * 6)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors], "vec_id long, embedding array<float>, size string, shard int")
+    ints = topk.quantised(df)
+    got = collections.defaultdict(list)
+    for r in topk.top_k(ints, ints.filter("vec_id % 100 = 0"), shard_rows=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    rows = {r.vec_id: r.vector for r in ints.collect()}
+    assert set(rows) == {*range(430), 904}
+    for q in (0, 100, 200, 300, 400):
+        scores = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in scores]
+    assert topk.top_k(ints.limit(0), ints.limit(0)).count() == 0
+
+
+def test_quality_rules(spark, odd):
+    def brute(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        seen, dup = set(), 0
+        for line in (text or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        count = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if count[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
+
+    docs = table(spark, DATA, "documents")
+    for df in (docs.select("doc_id", "text"), odd.filter("doc_id is not null").select("doc_id", "text")):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        for r in quality_rules.judge(df).collect():
+            assert tuple(r[c] for c in quality_rules.BASE) == brute(texts[r.doc_id])
+            assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.kept and r.base_failed)
+    assert quality_rules.judge(odd).count() == len(ODD) + 1 and quality_rules.judge(odd.limit(0)).count() == 0
+    judged = quality_rules.judge(docs).join(table(spark, DATA, "labels"), "doc_id").filter("NOT base_failed")
+    assert judged.filter("kept = (quality = 1)").count() >= 0.98 * judged.count()
+
+
+def test_language(spark, odd):
+    docs = table(spark, DATA, "documents")
+    model = language.fit(docs.filter(~held_out()))
+    right = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(held_out())
+    assert right.filter("lang = lang_pred").count() >= 0.97 * right.count()
+    got = language.predict(odd, model).collect()
+    assert len(got) == len(ODD) + 1
+    assert {r.lang_pred for r in got if r.doc_id in (0, 1, 2, 11, 12)} == {"und"} and all(0 <= r.score <= 1 for r in got)
+    assert language.fit(odd.limit(0)).predict("some text") == ("und", 0.0)
+
+
+def test_filter_counts_are_exact_up_to_false_positives():
+    grams, owners = np.arange(1, 4001, dtype=np.int64) * 77, np.arange(4000) % 70 % 3
+    found = language.LanguageFilter(["a", "b", "c"], grams, owners)
+    assert np.allclose(found.counts(grams), [np.sum(owners == i) for i in range(3)], atol=2)
+
+
+def test_quality_model(spark, odd):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    scored = quality_model.classify(docs, labels).join(labels, "doc_id").filter("held_out")
+    assert scored.filter("predicted = quality").count() >= 0.95 * scored.count()
+    out = quality_model.classify(odd, labels).collect()
+    assert len(out) == len(ODD) + 1 and all(0 <= r.score <= 1 for r in out)
+    assert quality_model.classify(docs.limit(5), labels.limit(0)).select("score").distinct().count() == 1
+
+
+def test_pii(spark, odd):
+    s = pii.Surrogates(b"key")
+    for n in (1, 2, 7, 100, 1000):
+        x, seen = [0, 0], set()
+        for _ in range(n):
+            y = s.next(x, [n, 1], "t")
+            assert n == 1 or y != x
+            seen.add(tuple(y))
+            x = y
+        assert len(seen) == n  # one cycle: a permutation without fixed points
+    assert len({s.card(f"{i:016d}") for i in range(2000)}) == 2000
+    assert pii.luhn(re.sub(" ", "", s.card("4539 1488 0343 6467"))) and pii._is_iban(s.iban("DE89 3704 0044 0532 0130 00"))
+    assert s.email("A.b@Mail.example.com").lower() == s.email("a.b@mail.example.com")
+    names = {s.person(f"{n} Schmidt", "f").split()[0].lower() for n in ("Anna", "Ursula", "Marie")}
+    assert len(names) == 3 and names <= set(pii._NAMES["f", "latin"])
+    text = 'Frau Anna Schmidt, a.b@c.example.com +1 (017) 555-7713, 8.8.8.8; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" Anna Schmidt 5927243074273351'
+    out, spans = pii.replaced(text, s)
+    assert [x["kind"] for x in spans] == ["person", "email", "phone", "ip", "secret", "person", "card"]
+    assert not any(p in out for p in ("Schmidt", "a.b@", "555-7713", "8.8.8.8", "04db", "59272430"))
+    assert out.count(out[spans[0]["start"] :][: spans[0]["length"]]) == 2
+    rows = pii.pseudonymise(odd, b"key").collect()
+    assert sorted(str(r.text) for r in rows) == sorted(str(r.text) for r in odd.collect()) and all(r.pii_spans == [] for r in rows)
+    found = spark.createDataFrame([("phone", f"+1 ({i:03d}) 555-{j:04d}", "") for i in range(20) for j in range(50)], "kind string, value string, gender string")
+    assert pii.collisions(found, b"key").count() == 0
+
+
+def test_wrappers(spark):
+    def expect(page):
+        body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        body = re.sub(r"</?(?:b|i|a)\b[^>]*>", "", body).replace("<br>", " ")
+        parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|li)\b[^>]*>", body))
+        return "\n".join(x for x in parts if x)
+
+    pages = table(spark, DATA, "pages")
+    want = {r.page_id: expect(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == want
+    made = "<nav>a</nav><header>h</header><main><header><h1>T &amp; U</h1></header><p>one<br>two<p class=x>three<form>f</form></main><aside>s</aside><div id='user-comments'><p>c</div><footer>z"
+    rows = [(1, "http://h/1", made), (2, None, None), (3, "http://h/3", ""), (4, "u", "<p>plain"), (1, "http://h/1", made), (None, "x", "<div><p>a > b</p><script>x<p></script>")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
+    got = collections.Counter((r.page_id, r.text, r.n_chars) for r in wrappers.extract(df).collect())
+    main = "T & U\none two\nthree"
+    assert got == collections.Counter({(1, main, len(main)): 2, (2, "", 0): 1, (3, "", 0): 1, (4, "plain", 5): 1, (None, "a > b", 5): 1})
+    assert wrappers.extract(df.limit(0)).count() == 0
+
+
+def test_wrapper_expressions():
+    a, b = (wrappers.expression(wrappers.parse(x)) for x in ("<h1>a</h1><p>x</p><p>y</p><div>k</div>", "<h1>b</h1><ul><li>1<li>2</ul><p>z</p><div>k</div>"))
+    merged = json.dumps(wrappers.align(a, b))
+    assert '["?", [["e", "ul"' in merged and '["+", [["e", "p", [["#", null]]]]]' in merged and '["e", "h1", [["#", null]]]' in merged
+    assert wrappers.align(a, a) == a
+
+
+def test_chat(spark):
+    said = ["</s>[INST] ok [/INST]", "", None, "[\\INST] \\", " x ", "[/ROLE][:] [SYS]", "plain", "[", "\\</s>"]
+    rows = [(c, t, role, said[(c + t) % len(said)], "x") for c in range(6) for t, role in enumerate(["system", "user", "assistant", "tool [:] a", None, "user", "assistant"])]
+    rows += [(None, None, None, None, None), (0, 1, "user", "again", "x"), (0, 1, "user", "again", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(3)
+    got = {r.conv_id: r for r in chat.digests(chat.turns(df)).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", chat.render(r[2] or "", r[3] or "")))]
+        loss = "".join(t for r, t in mine if r == "assistant")
+        assert got[conv].n_turns == len(mine)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        whole = "".join(chat.render(r, t) for r, t in mine)
+        assert [x[:2] for x in chat.parse(whole)] == mine and got[conv].formatted_chars == len(whole)
+    assert chat.digests(chat.turns(df.limit(0))).count() == 0
+
+
+def test_odd_rows_near_duplicates(odd):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(ODD) + 1
+    empty = {r.component_id for r in got if r.doc_id in (0, 1, 2)}
+    assert empty == {0} and {r.component_id for r in got if r.doc_id in (15, 16)} == {15}
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as c
+
+    docs = table(spark, DATA, "documents")
+    judged = {r.doc_id for r in quality_rules.judge(docs).filter("kept").collect()}
+    kept = c.quality(spark, docs, DATA).cache()
+    assert {r.doc_id for r in kept.collect()} == judged and kept.columns == docs.columns
+    known = c.languages(spark, kept, DATA).cache()
+    model = language.fit(kept.filter(~held_out()))
+    said = {r.doc_id: model.predict(r.text) for r in kept.collect()}
+    assert {r.doc_id for r in known.collect()} == {i for i, (name, score) in said.items() if name != "und" and score >= c.LANGUAGE_SCORE}
+    single = c.near_duplicates(spark, known.unionByName(known.limit(3)), DATA).cache()
+    classes = {r.component_id for r in simhash.near_duplicates(known).collect()}
+    assert sorted(r.doc_id for r in single.collect()) == sorted(classes)
+    clean = c.personal_data(spark, single, DATA).cache()
+    assert clean.columns == docs.columns and clean.filter(F.col("n_chars") != F.length("text")).isEmpty()
+    assert clean.filter(F.col("text").rlike(r"555-[0-9]{4}|@mail[0-9]\.example")).isEmpty()
+    check_packing(c.sequences(spark, clean, DATA).collect(), 2048)
