@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_LONG = 2**63 - 1
+
+
 class BallTree:
     """Nodes in arrays; the points of node i are order[low[i]:high[i]]."""
 
@@ -84,7 +87,7 @@ def _search(k: int, first_only: bool):
         bounds = tree.bounds(floats)
         out_q, out_v, out_s = [], [], []
         for n, (own, floor) in enumerate(zip(block["vec_id"], block["floor"])):
-            kth, shared = (None, None) if pd.isna(floor) else (int(floor), int(floor))
+            kth, shared = (None, None) if pd.isna(floor) or abs(floor) >= _LONG else (int(floor), int(floor))
             best_s, best_v = np.empty(0, np.int64), np.empty(0, np.int64)
             heap = [(-bounds[n, 0], 0)]
             while heap:
@@ -111,7 +114,7 @@ def _search(k: int, first_only: bool):
                 best_s, best_v = best_s[k - 1 : k], best_v[k - 1 : k]
             out_q += [own] * len(best_s)
             out_v += best_v.tolist()
-            out_s += best_s.tolist()
+            out_s += [max(-_LONG, min(_LONG, int(x))) for x in best_s]
         return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s}).astype("int64")
 
     return run
@@ -134,7 +137,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     Both inputs have (vec_id, vector of longs). Every row is a candidate except
     rows with the query's own id; ties go to the smaller vec_id; fewer than k
     candidates are all returned; vectors meet vectors of their own length only.
-    Repeated rows are candidates of their own. Empty tables give no rows.
+    Repeated rows are candidates of their own. Scores beyond a long are cut to
+    the largest. Empty tables give no rows.
     """
     if k < 1:
         raise ValueError("k must be positive")

@@ -88,7 +88,7 @@ def test_packing_capacities_and_odd_rows(odd):
 def test_topk(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(30)]
-    vectors += [(900, None), (901, [1.0] * 5 + [None]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6), (904, [1e14] * 6)]
+    vectors += [(900, None), (901, [1.0] * 5 + [None]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6), (904, [1e10] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors], "vec_id long, embedding array<float>, size string, shard int")
     ints = topk.quantised(df)
     got = collections.defaultdict(list)
