@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefolio.llm import language, packing, pii, quality_rules, queries, simhash
-from lakefolio.llm.common import held_out, settle
+from lakefolio.llm.common import bounded_batches, held_out, settle
 
 #: A language is certain enough at this score; 0.5 is two languages at a tie.
 LANGUAGE_SCORE = 0.51
@@ -45,6 +45,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no certain language of the corpus."""
+    bounded_batches(spark)
     model = language.fit(docs.filter(~held_out()))
     found = language.predict(docs.withColumn("doc_key", _key()), model, id_col="doc_key")
     return _keep(docs, found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)))
@@ -52,6 +53,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class the document with the smallest id, once."""
+    bounded_batches(spark)
     classes = settle(simhash.near_duplicates(docs.withColumn("doc_key", _key()), id_col="doc_key"))
     first = classes.filter("doc_key = component_id").groupBy("doc_key").count()
     kept = _keep(docs, first)
@@ -62,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates for personal data; n_chars is that of the new text."""
+    bounded_batches(spark)
     out = pii.pseudonymise(docs, queries.DEMO_KEY, spans_col="_pii_spans")
     return out.drop("_pii_spans").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Cutter, WordEncoder, byte_letters, in_slices
+from .common import bounded_batches
+from .words import Cutter, WordEncoder, byte_letters, in_slices, specification
 
 _NONE = np.int64(1) << 60
 
@@ -30,7 +31,7 @@ class Bpe:
 
     def __init__(self, path: str):
         self.cutter = Cutter(path)
-        model = self.cutter.spec["model"]
+        model = specification(path)["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.names = {i: t for t, i in {**vocab, **self.cutter.special}.items()}
         letters = byte_letters()
@@ -182,6 +183,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
 
 def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     names = [part.split()[0] for part in schema.split(", ")]
     types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     kind = pa.schema([("id", pa.string()), *((n, types[part.split()[1]]) for n, part in zip(names, schema.split(", ")))])

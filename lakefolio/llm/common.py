@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: ASCII white space: a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch between the JVM and Python; a longer row is one batch.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in Arrow batches of few bytes.
+
+    Rows differ in size by orders of magnitude; a bound in rows alone would let a
+    task hold as many long texts as it allows short ones, in both processes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def held_out(doc_id="doc_id"):
     """True for the third of the documents that no model may learn from.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import bounded_batches, settle
 from .words import Cutter, WordEncoder, byte_letters, in_slices
 
 _PIECES = "id string, piece int, start long, length long, ids_crc32 long"
@@ -56,8 +56,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     A document is its ids and `end_id`; only one longer than `capacity` is cut.
     Null texts are empty: one piece that holds `end_id` alone.
     """
+    bounded_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
-
     kind = pa.schema([("id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

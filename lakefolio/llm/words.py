@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 
 #: Words, and pre-tokens, whose ids a Python worker keeps.
-KEPT = 220_000
+KEPT = 160_000
 #: Characters of text that are encoded together.
 BATCH_CHARS = 1_000_000
 
@@ -32,13 +32,16 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def specification(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 class Cutter:
     """Special tokens verbatim, then NFC, lower case (letter by letter) and pre-tokens."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            self.spec = json.load(file)
-        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in specification(path)["added_tokens"]}
         self.found = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.separators = regex.compile(r"[\x1c-\x1f]")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
