@@ -31,7 +31,7 @@ def plain(value):
     return None if math.isnan(value) else round(value, 4) + 0.0
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query(spark, sql, name):
     df = registry.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
