@@ -69,14 +69,17 @@ def overlap_by_rarity(spark: SparkSession, folder: str) -> DataFrame:
     return review.overlap_by_rarity(words, pairs, "doc_id", "w").withColumn("overlap", F.round("overlap", 4))
 
 
-_SKETCH = f"""k AS (SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: md5(array_to_string(list_slice(w, i, i + 3), ' ')))))[1:96] AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents))"""
-
-
 @query(f"""
-WITH {_SKETCH}, p AS (SELECT x.doc_id, x.k AS a, y.k AS b, list_sort(list_distinct(list_concat(x.k, y.k)))[1:96] AS u FROM k x JOIN k y ON y.doc_id = x.doc_id + 1)
+WITH u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
+  l AS (SELECT doc_id, w, lead(w, 1) OVER o AS x, lead(w, 2) OVER o AS y, lead(w, 3) OVER o AS z FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  g AS (SELECT DISTINCT doc_id, md5(w || ' ' || x || ' ' || y || ' ' || z) AS h FROM l WHERE z IS NOT NULL),
+  s AS (SELECT doc_id, list(h ORDER BY h) AS k FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h) <= 96) GROUP BY 1),
+  k AS (SELECT doc_id, coalesce(k, CAST([] AS VARCHAR[])) AS k FROM documents LEFT JOIN s USING (doc_id)),
+  p AS (SELECT x.doc_id, x.k AS a, y.k AS b, list_sort(list_distinct(list_concat(x.k, y.k)))[1:96] AS u FROM k x JOIN k y ON y.doc_id = x.doc_id + 1)
 SELECT doc_id, len(a) AS hashes, round(CASE WHEN len(u) > 0 THEN len(list_filter(u, lambda h: list_contains(a, h) AND list_contains(b, h))) / len(u) ELSE 0 END, 6) AS same FROM p""")
 def sketch_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    sketches = scan(spark, folder, "documents").select("doc_id", review.sketch(T.words(F.col("text"))).alias("k"))
+    words = scan(spark, folder, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    sketches = words.select("doc_id", review.sketch(F.col("w")).alias("k"))
     pairs = sketches.withColumnRenamed("k", "a").join(sketches.select((F.col("doc_id") - 1).alias("doc_id"), F.col("k").alias("b")), "doc_id")
     return pairs.select("doc_id", F.size("a").cast("long").alias("hashes"), F.round(review.sketch_similarity(F.col("a"), F.col("b")), 6).alias("same"))
 
