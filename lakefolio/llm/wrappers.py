@@ -18,6 +18,7 @@ only slots inside it stay; texts outside one that never vary are template.
 
 from __future__ import annotations
 
+import hashlib
 import html as entity
 import json
 import re
@@ -48,8 +49,10 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-#: Alignments of more cells than this match equal ends only; the rest is optional.
+#: Alignments of more cells than this are divided first, in linear space.
 CELLS = 4_000_000
+#: A text is template if it never varies over so many different pages.
+PAGES = 3
 
 
 class _Open:
@@ -162,6 +165,63 @@ def _optional(item: list) -> list:
     return item if item[0] == "?" else ["?", [item]]
 
 
+def _lengths(p: list, q: list) -> list[int]:
+    """The longest common subsequence's length of p and each start of q, by rows
+    of bits."""
+    places: dict[str, list[int]] = {}
+    for j, core in enumerate(q):
+        places.setdefault(core, []).append(j)
+    held: dict[str, int] = {}
+    every = row = (1 << len(q)) - 1
+    for core in p:
+        if core not in places:
+            continue
+        mask = held.get(core)
+        if mask is None:
+            bits = bytearray(len(q) // 8 + 1)
+            for j in places[core]:
+                bits[j >> 3] |= 1 << (j & 7)
+            mask = int.from_bytes(bits, "little")
+            if len(places[core]) > 64:
+                held[core] = mask
+        both = row & mask
+        row = ((row + both) | (row - both)) & every
+    out = [0]
+    for bit in reversed(f"{row:0{len(q)}b}"):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _matches(p: list, q: list) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence; more than `CELLS` are divided
+    at the middle of p until they fit (Hirschberg)."""
+    n, m = len(p), len(q)
+    if not n or not m:
+        return []
+    if n == 1:
+        return [(0, q.index(p[0]))] if p[0] in q else []
+    pairs = []
+    if n * m > CELLS:
+        half = n // 2
+        left, right = _lengths(p[:half], q), _lengths(p[half:][::-1], q[::-1])
+        cut = max(range(m + 1), key=lambda j: left[j] + right[m - j])
+        return _matches(p[:half], q[:cut]) + [(half + i, cut + j) for i, j in _matches(p[half:], q[cut:])]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in reversed(range(n)):
+        for j in reversed(range(m)):
+            best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < n and j < m:
+        if p[i] == q[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
 def align(a: list, b: list) -> list:
     """The most specific expression here for two item sequences."""
     if a == b:
@@ -172,22 +232,7 @@ def align(a: list, b: list) -> list:
         low += 1
     while end < min(len(p), len(q)) - low and p[-1 - end] == q[-1 - end]:
         end += 1
-    n, m = len(p) - low - end, len(q) - low - end
-    pairs = []
-    if 0 < n and 0 < m and n * m <= CELLS:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in reversed(range(n)):
-            for j in reversed(range(m)):
-                best[i][j] = best[i + 1][j + 1] + 1 if p[low + i] == q[low + j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if p[low + i] == q[low + j]:
-                pairs.append((low + i, low + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    pairs = [(low + i, low + j) for i, j in _matches(p[low : len(p) - end], q[low : len(q) - end])]
     out, i, j = [], 0, 0
     tail = [(len(p) - end + k, len(q) - end + k) for k in range(end)]
     for x, y in [*((k, k) for k in range(low)), *pairs, *tail, (len(p), len(q))]:
@@ -238,7 +283,7 @@ def _kind(label: str, inside: bool) -> str:
 
 def template(wrapper: list, pages: int) -> dict:
     """What extraction needs of a wrapper: whether it has an article, and the
-    paths whose text is on every one of several pages and never varies."""
+    paths whose text is on every one of several different pages and never varies."""
     has, fixed, free = False, set(), set()
 
     def walk(items: list, path: tuple, inside: bool, always: bool) -> None:
@@ -255,66 +300,76 @@ def template(wrapper: list, pages: int) -> dict:
                 walk(x[1], path, inside, always and x[0] == "+")
 
     walk(wrapper, (), False, True)
-    return {"article": has, "fixed": fixed - free if pages >= 3 else set()}
+    return {"article": has, "fixed": fixed - free if pages >= PAGES and free else set()}
 
 
 def main_text(page: str | None, rules: dict) -> str:
     out: list[str] = []
     items = parse(page or "")
 
-    def walk(items: list, path: tuple, inside: bool, everywhere: bool) -> None:
+    def walk(items: list, path: tuple, inside: bool, everywhere: bool, fixed: set) -> None:
         for x in items:
             if x[0] == "#":
-                if inside or (everywhere and path not in rules["fixed"]):
+                if inside or (everywhere and path not in fixed):
                     out.append(x[1])
             else:
                 kind = _kind(x[1], inside)
                 if kind != "out":
-                    walk(x[2], (*path, x[1]), inside or kind == "in", everywhere)
+                    walk(x[2], (*path, x[1]), inside or kind == "in", everywhere, fixed)
 
-    walk(items, (), False, not rules["article"])
+    walk(items, (), False, not rules["article"], rules["fixed"])
     if not out and rules["article"]:  # a page without its host's article
-        walk(items, (), False, True)
+        walk(items, (), False, True, rules["fixed"])
+    if not out and not rules["article"]:  # a page of fixed texts only
+        walk(items, (), False, True, set())
     return "\n".join(out)
 
 
-_WRAPPER = "host string, wrapper string, pages long"
+_WRAPPER = "host string, wrapper string, seen array<bigint>"
+
+
+def _digest(items: list) -> int:
+    """Equal for copies of a page."""
+    return int.from_bytes(hashlib.blake2b(repr(items).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _fold(rows: Iterator[tuple[str, list, int]], most: int) -> Iterator[pd.DataFrame]:
-    """Aligns the wrappers of each host as they come, `most` hosts at a time."""
-    held: dict[str, tuple[list, int]] = {}
+def _fold(rows: Iterator[tuple[str, list, list[int]]], most: int) -> Iterator[pd.DataFrame]:
+    """Aligns the wrappers of each host as they come, `most` hosts at a time.
+    Digests of different pages are kept up to `PAGES`."""
+    held: dict[str, tuple[list, list[int]]] = {}
 
     def out() -> pd.DataFrame:
-        done = [(host, json.dumps(w, separators=(",", ":"), ensure_ascii=False), n) for host, (w, n) in held.items()]
+        done = [(host, json.dumps(w, separators=(",", ":"), ensure_ascii=False), seen) for host, (w, seen) in held.items()]
         held.clear()
-        return pd.DataFrame(done, columns=["host", "wrapper", "pages"])
+        return pd.DataFrame(done, columns=["host", "wrapper", "seen"])
 
-    for host, wrapper, n in rows:
+    for host, wrapper, seen in rows:
         if host in held:
-            wrapper, n = align(held[host][0], wrapper), n + held[host][1]
+            wrapper, seen = align(held[host][0], wrapper), list(dict.fromkeys([*held[host][1], *seen]))[:PAGES]
         elif len(held) >= most:
             yield out()
-        held[host] = (wrapper, n)
+        held[host] = (wrapper, seen)
     yield out()
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages) from (host, html): one wrapper a host."""
+    """(host, wrapper, pages) from (host, html): one wrapper a host, and how many
+    different pages it is of, `PAGES` at most. Copies count once."""
 
     def of_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _fold(((h, expression(parse(t or "")), 1) for f in frames for h, t in zip(f["host"], f["html"])), 2000)
+        parsed = ((h, parse(t or "")) for f in frames for h, t in zip(f["host"], f["html"]))
+        yield from _fold(((h, expression(x), [_digest(x)]) for h, x in parsed), 2000)
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _fold(((h, json.loads(w), n) for f in frames for h, w, n in zip(f["host"], f["wrapper"], f["pages"])), 1)
+        yield from _fold(((h, json.loads(w), [int(x) for x in seen]) for f in frames for h, w, seen in zip(f["host"], f["wrapper"], f["seen"])), 1)
 
     def merged(parts: DataFrame, *keys: str) -> DataFrame:
-        same = parts.groupBy("host", "wrapper", *keys).agg(F.sum("pages").alias("pages"))
-        return same.repartition("host", *keys).sortWithinPartitions("host", *keys, "wrapper").select("host", "wrapper", "pages").mapInPandas(merge, _WRAPPER)
+        same = parts.groupBy("host", "wrapper", *keys).agg(F.slice(F.array_distinct(F.flatten(F.collect_set("seen"))), 1, PAGES).alias("seen"))
+        return same.repartition("host", *keys).sortWithinPartitions("host", *keys, "wrapper").select("host", "wrapper", "seen").mapInPandas(merge, _WRAPPER)
 
     parts = pages.select("host", "html").mapInPandas(of_pages, _WRAPPER)
     salted = merged(parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64))), "salt")
-    return merged(salted)
+    return merged(salted).select("host", "wrapper", F.size("seen").alias("pages"))
 
 
 #: Characters of wrappers that are sent to every executor at most.

@@ -203,6 +203,31 @@ def test_wrapper_expressions():
     assert wrappers.align(a, a) == a
 
 
+def test_wrappers_of_copies(spark):
+    page = "<nav>home</nav><h1>title</h1><p>text</p>"
+    rows = [(i, f"http://copies/{i}", page) for i in range(4)] + [(10 + i, f"http://menu/{i}", f"<nav>{i}</nav><h1>title</h1><p>text</p>") for i in range(4)]
+    rows += [(20 + i, f"http://site/{i}", f"<h1>site</h1><p>text {i}</p>") for i in range(3)] + [(30, "http://site/x", "<h1>site</h1>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert got == {i: "title\ntext" for i in (0, 1, 2, 3, 10, 11, 12, 13)} | {20: "text 0", 21: "text 1", 22: "text 2", 30: "site"}
+
+
+def test_wrapper_alignment_of_any_size(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n, m, kinds in ((40, 60, 3), (90, 70, 30), (1, 50, 2), (64, 64, 1), (130, 140, 400)):
+        p, q = ([str(k) for k in rng.integers(0, kinds, size)] for size in (n, m))
+        monkeypatch.setattr(wrappers, "CELLS", 4_000_000)
+        whole = wrappers._matches(p, q)
+        for cells in (0, 50, 500):
+            monkeypatch.setattr(wrappers, "CELLS", cells)
+            found = wrappers._matches(p, q)
+            assert len(found) == len(whole) and all(p[i] == q[j] for i, j in found)
+            assert all(i < k and j < h for (i, j), (k, h) in zip(found, found[1:]))
+    monkeypatch.setattr(wrappers, "CELLS", 4)
+    a, b = (wrappers.expression(wrappers.parse("".join(f"<{t}>{t}</{t}>" for t in tags))) for tags in ("h1 p h2 h3 ul".split(), "h4 p h5 h3 ol".split()))
+    assert [x[1] for x in wrappers.align(a, b) if x[0] == "e"] == ["p", "h3"]
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "", None, "[\\INST] \\", " x ", "[/ROLE][:] [SYS]", "plain", "[", "\\</s>"]
     rows = [(c, t, role, said[(c + t) % len(said)], "x") for c in range(6) for t, role in enumerate(["system", "user", "assistant", "tool [:] a", None, "user", "assistant"])]
