@@ -12,7 +12,8 @@ in two steps; no task holds a host, and every page takes part.
 
 The wrapper says which slots of a host hold its article. Slots inside navigation,
 headers, footers, asides, forms, notices, adverts and comments are dropped, by
-tag, role or class; if the host's template has an article (or main) element,
+tag, role or class (`_named`), but a class never drops the body, an article or
+what holds one; if the host's template has an article (or main) element,
 only slots inside it stay; texts outside one that never vary are template.
 """
 
@@ -24,6 +25,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +43,9 @@ _WORDS = frozenset(
     "header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related "
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split()
 )
+#: Ends of names that do not change what is meant (`ad-slot`), and starts of names that say what is absent or only present in the layout.
+_PARTS = frozenset("area bar block box button buttons col column container icons inner item items left links list outer panel right row section slot slots unit wrap wrapper".split())
+_ABOUT = frozenset("has have hide hidden no not with without".split())
 _CLOSED_BY = {"p": frozenset(), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 
 _TOKEN = re.compile(
@@ -65,8 +70,19 @@ class _Open:
 def _label(name: str, attributes: str) -> str:
     if not attributes or "=" not in attributes:
         return name
-    words = sorted({w for m in _ATTRIBUTE.finditer(attributes) for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())})
-    return ".".join([name, *words])
+    names = {"-".join(re.findall(r"[a-z]+", w)) for m in _ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()}
+    return ".".join([name, *sorted(names - {""})])
+
+
+@lru_cache(100_000)
+def _named(name: str) -> str:
+    """The word of `_WORDS` that a class, id or role name ends with (`sidebar`,
+    `site-header`, `ad-slot`), or "": names that only begin with one
+    (`comments-open`) or tell of one (`has-sidebar`) are of something else."""
+    words = name.split("-")
+    while len(words) > 1 and words[-1] in _PARTS:
+        words.pop()
+    return words[-1] if words[-1] in _WORDS and not _ABOUT.intersection(words) else ""
 
 
 def parse(page: str) -> list:
@@ -272,11 +288,29 @@ def expression(items: list) -> list:
     return _grouped([["#", zlib.crc32(x[1].encode("utf-8", "surrogatepass"))] if x[0] == "#" else ["e", x[1], expression(x[2])] for x in items])
 
 
-def _kind(label: str, inside: bool) -> str:
+def _holds(items: list) -> bool:
+    """Whether an article is among the items or below."""
+    waiting = [items]
+    while waiting:
+        for x in waiting.pop():
+            if x[0] == "e":
+                if x[1].partition(".")[0] in ("article", "main", "body"):
+                    return True
+                waiting.append(x[2])
+            elif x[0] != "#":
+                waiting.append(x[1])
+    return False
+
+
+def _kind(label: str, items: list, inside: bool) -> str:
     """What an element means for its slots: "out", "in" (an article) or "".
-    Inside an article its own header is part of it."""
-    name, *words = label.split(".")
-    if name in _AROUND and not (name == "header" and inside) or _WORDS.intersection(words):
+    Inside an article its own header is part of it, and an article may be a
+    comment."""
+    name, *names = label.split(".")
+    if name in _AROUND and not (name == "header" and inside):
+        return "out"
+    words = {w for w in map(_named, names) if w and not (w == "header" and inside)}
+    if words and name not in ("body", "main") and (inside or not (name == "article" or _holds(items))):
         return "out"
     return "in" if name in ("article", "main") else ""
 
@@ -292,7 +326,7 @@ def template(wrapper: list, pages: int) -> dict:
             if x[0] == "#":
                 (fixed if always and x[1] is not None else free).add(path)
             elif x[0] == "e":
-                kind = _kind(x[1], inside)
+                kind = _kind(x[1], x[2], inside)
                 if kind != "out":
                     has = has or (kind == "in" and bool(x[2]))
                     walk(x[2], (*path, x[1]), inside or kind == "in", always)
@@ -313,7 +347,7 @@ def main_text(page: str | None, rules: dict) -> str:
                 if inside or (everywhere and path not in fixed):
                     out.append(x[1])
             else:
-                kind = _kind(x[1], inside)
+                kind = _kind(x[1], x[2], inside)
                 if kind != "out":
                     walk(x[2], (*path, x[1]), inside or kind == "in", everywhere, fixed)
 

@@ -212,6 +212,25 @@ def test_wrappers_of_copies(spark):
     assert got == {i: "title\ntext" for i in (0, 1, 2, 3, 10, 11, 12, 13)} | {20: "text 0", 21: "text 1", 22: "text 2", 30: "site"}
 
 
+def test_wrapper_class_names(spark):
+    pages = {
+        "<body class='has-sidebar'><h1>t</h1><p>x</p>": "t\nx",
+        "<body class='sidebar'><p>x</p>": "x",
+        "<article class='post comments-open'><p>x</p></article>": "x",
+        "<article class='sponsored'><p>x</p></article>": "x",
+        "<main class=search><p>x</p></main>": "x",
+        "<div class='content no-sidebar'><p>x</p></div>": "x",
+        "<section id='search-methods'><p>x</p></section>": "x",
+        "<div class=widget><article><p>x</p></article></div>": "x",
+        "<article><div class='entry-header'><h1>t</h1></div><p>x</p></article>": "t\nx",
+        "<article><p>x</p><div id='comments'><article><p>c</p></article></div><article class='comment odd'><p>c</p></article></article>": "x",
+        "<div class='site-header'><p>h</p></div><div id='left_sidebar-2'>s</div><p>x</p><div class='a ad-slot'>ad</div><div role=contentinfo>c</div><div id='user-comments'>c</div>": "x",
+    }
+    df = spark.createDataFrame([(i, f"http://h{i}/", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values())
+
+
 def test_wrapper_alignment_of_any_size(monkeypatch):
     rng = np.random.default_rng(1)
     for n, m, kinds in ((40, 60, 3), (90, 70, 30), (1, 50, 2), (64, 64, 1), (130, 140, 400)):
