@@ -53,19 +53,24 @@ _OF_CLASS = {c: (n, i) for n, some in enumerate(_CLASSES) for i, c in enumerate(
 _PLACE = r"(?<![\p{L}\p{N}_])"
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:['’-]\p{Lu}[\p{Ll}\p{M}]+)*"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_SECRETS = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]"
 _FIND = regex.compile(
     rf"""(?P<email>[\p{{L}}\p{{N}}_.+%-]+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+)
-    |(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9+/_-]{{16,}})
+    |{_SECRETS}\s*["']?(?P<secret>[A-Za-z0-9+/_-]{{16,}})
     |(?P<iban>{_PLACE}[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
     |(?P<phone>(?<![\p{{L}}\p{{N}}])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:[ .-]?[0-9]{{2,5}}){{1,4}}(?![0-9])
-      |(?<![0-9])\([0-9]{{3}}\)\ ?[0-9]{{3}}-[0-9]{{4}}(?![0-9]))
+      |(?<![0-9])\([0-9]{{3}}\)\ ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])
+      |(?<![\p{{L}}\p{{N}}_])(?<![0-9][ .,/-])(?:1[ .-])?[0-9]{{3}}(?P<between>[ .-])[0-9]{{3}}(?P=between)[0-9]{{4}}(?![\p{{L}}\p{{N}}_]|[ .,/-][0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-]))
     |(?P<ip>(?<![0-9])(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9]))
     |(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9]))""",
     regex.VERBOSE,
 )
 _PERSON = regex.compile(rf"{_PLACE}(?:(?P<m>{_TITLES['m']})|(?P<f>{_TITLES['f']}))\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})")
-_HAS_DIGIT = regex.compile(r"[0-9@]|(?i:token|secret|password|key)\s*[=:]")
+_KINDS = ("email", "secret", "iban", "phone", "ssn", "ip", "card")
+_GIVEN = {n.capitalize(): sex for (sex, _), names in _NAMES.items() for n in names}
+_UNTITLED = regex.compile(rf"{_PLACE}(?P<name>(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?:[ -](?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))}))?(?:[ ]\p{{Lu}}\.)?[ ]{_NAME})")
+_HAS_DIGIT = regex.compile(rf"[0-9@]|{_SECRETS}")
 
 
 def luhn(digits: str) -> bool:
@@ -205,13 +210,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of what is found, in order and apart."""
     out = []
     if _HAS_DIGIT.search(text):
-        out = [(*m.span(m.lastgroup), m.lastgroup, "") for m in _FIND.finditer(text)]
+        found = ((m, next(k for k in _KINDS if m[k] is not None)) for m in _FIND.finditer(text))
+        out = [(*m.span(kind), kind, "") for m, kind in found]
         out = [x for x in out if x[2] != "iban" or _is_iban(text[x[0] : x[1]])]
     people = {}
     for m in _PERSON.finditer(text):
         people[m["name"]] = "m" if m["m"] else "f"
         for word in m["name"].split(" ")[-1:]:  # the surname alone means the same person
             people.setdefault(word, people[m["name"]])
+    for m in _UNTITLED.finditer(text):
+        people.setdefault(m["name"], _GIVEN[m["given"]])
+        people.setdefault(m["name"].split(" ")[-1], people[m["name"]])
     if people:
         names = "|".join(regex.escape(n) for n in sorted(people, key=len, reverse=True))
         for m in regex.finditer(rf"{_PLACE}(?:{names})(?![\p{{L}}\p{{N}}])", text):

@@ -177,6 +177,21 @@ def test_pii(spark, odd):
     assert pii.collisions(found, b"key").count() == 0
 
 
+def test_pii_without_digits_titles_or_country():
+    s = pii.Surrogates(b"key")
+    for name in ("token", "secret", "password", "passwd", "PASSWD", "api_key", "apikey", "api-key", "access_key"):
+        out, spans = pii.replaced(f"my {name} = abcdefghijklmnopqrst, keep", s)
+        assert [x["kind"] for x in spans] == ["secret"] and "abcdefghijklmnopqrst" not in out and out.startswith(f"my {name} = ") and out.endswith(", keep")
+    out, spans = pii.replaced("Yesterday Anna Schmidt met Thomas J. Müller and Иван Петров; Schmidt left.", s)
+    assert [x["kind"] for x in spans] == ["person"] * 4
+    assert not any(n in out for n in ("Anna", "Schmidt", "Thomas", "Müller", "Иван", "Петров")) and out.startswith("Yesterday ") and " met " in out
+    for number in ("555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567"):
+        out, spans = pii.replaced(f"call {number} now", s)
+        assert [x["kind"] for x in spans] == ["phone"] and number not in out and len(out) == len(f"call {number} now")
+    for text in ("2 555 123 4567", "1.555.123.4567.8", "555-123.4567", "Anna said no", "Julius Jean", "x555-123-4567"):
+        assert pii.replaced(text, s) == (text, [])
+
+
 def test_wrappers(spark):
     def expect(page):
         body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
