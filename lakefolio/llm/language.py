@@ -1,6 +1,6 @@
 """Language identification by a bit-sliced Bloom filter of n-grams.
 
-A slot of the filter is a bitmask of languages; an n-gram has `hashes` slots,
+A slot of the filter is a bitmask of languages, in words of 64; an n-gram has `hashes` slots,
 and the AND of their masks names all languages that contain it at once. A
 language's n-grams are those that make up at least `share` of its training
 n-grams, so there are at most 1 / share of them a language, however large the
@@ -74,20 +74,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class LanguageFilter:
-    """masks: a bitmask of languages a slot; false: for each language the chance
-    that an n-gram of none of them passes."""
+    """masks: for every 64 languages a bitmask a slot; false: for each language
+    the chance that an n-gram of none of them passes."""
 
     def __init__(self, languages: list[str], grams: np.ndarray, owners: np.ndarray, slots: int | None = None, hashes: int = HASHES):
-        if len(languages) > 64:
-            raise ValueError("a slot names at most 64 languages")
         self.languages, self.hashes = languages, hashes
         size = slots or max(1024, 8 * hashes * len(grams))
         self.slots = 1 << (size - 1).bit_length()
-        kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-        self.masks = np.zeros(self.slots, kind)
-        for slot in self._slots(grams):
-            np.bitwise_or.at(self.masks, slot, kind(1) << owners.astype(kind))
-        self.false = np.array([self._has(self.masks, i).mean() for i in range(len(languages))]) ** hashes
+        self.masks, false = [], []
+        for low in range(0, len(languages) or 1, 64):
+            n, mine = len(languages[low : low + 64]), (owners >= low) & (owners < low + 64)
+            kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if n <= bits)
+            masks, bit = np.zeros(self.slots, kind), kind(1) << (owners[mine] - low).astype(kind)
+            for slot in self._slots(grams[mine]):
+                np.bitwise_or.at(masks, slot, bit)
+            false += [self._has(masks, i).mean() for i in range(n)]
+            self.masks.append(masks)
+        self.false = np.array(false) ** hashes
 
     def _slots(self, grams: np.ndarray) -> Iterator[np.ndarray]:
         mixed, last = _mixed(grams), np.uint64(self.slots - 1)
@@ -100,15 +103,17 @@ class LanguageFilter:
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """N-grams in each language, without the expected false positives."""
-        slots = self._slots(grams)
-        masks = self.masks[next(slots)]
-        for slot in slots:
-            masks &= self.masks[slot]
-        if masks.dtype == np.uint8:
-            found = np.bincount(masks, minlength=256)
-            hits = np.array([found[self._has(np.arange(256, dtype=np.uint8), i)].sum() for i in range(len(self.languages))], float)
-        else:
-            hits = np.array([np.count_nonzero(self._has(masks, i)) for i in range(len(self.languages))], float)
+        slots, hits = list(self._slots(grams)), []
+        for word, low in zip(self.masks, range(0, len(self.languages) or 1, 64)):
+            masks, n = word[slots[0]], len(self.languages[low : low + 64])
+            for slot in slots[1:]:
+                masks &= word[slot]
+            if masks.dtype == np.uint8:
+                found = np.bincount(masks, minlength=256)
+                hits += [found[self._has(np.arange(256, dtype=np.uint8), i)].sum() for i in range(n)]
+            else:
+                hits += [np.count_nonzero(self._has(masks, i)) for i in range(n)]
+        hits = np.array(hits, float)
         return np.maximum(0.0, hits - len(grams) * self.false) / (1 - self.false)
 
     def predict(self, text: str | None) -> tuple[str, float]:

@@ -142,6 +142,18 @@ def test_filter_counts_are_exact_up_to_false_positives():
     assert np.allclose(found.counts(grams), [np.sum(owners == i) for i in range(3)], atol=2)
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    grams, owners = np.arange(1, 14001, dtype=np.int64) * 77, np.arange(14000) % 140
+    found = language.LanguageFilter([f"l{i}" for i in range(140)], grams, owners)
+    assert len(found.masks) == 3 and np.allclose(found.counts(grams), [np.sum(owners == i) for i in range(140)], atol=2)
+    texts = {f"x{i:02d}": " ".join(chr(0x4E00 + 50 * i + j) + chr(0x4E00 + 50 * i + j + 1) for j in range(40)) for i in range(70)}
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(texts.items())], "doc_id long, lang string, text string")
+    model = language.fit(docs)
+    assert model.languages == sorted(texts)
+    got = language.predict(docs, model).join(docs, "doc_id").collect()
+    assert len(got) == 70 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_quality_model(spark, odd):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     scored = quality_model.classify(docs, labels).join(labels, "doc_id").filter("held_out")
