@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folders are at most this deep; the loop ends at the deepest one.
-MAX_DEPTH = 10
+
+def _settled(df: DataFrame) -> DataFrame:
+    """`df` computed once, in the folder of spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tree-"))
+    return df.checkpoint()
 
 
 def closure(folders: DataFrame) -> DataFrame:
     """(folder_id, ancestor_id, distance) with every folder its own ancestor.
 
-    One join a level; a cycle ends at `MAX_DEPTH`.
+    One join a level, until a level is empty. A cycle is walked until it comes
+    back to the ancestor that was last marked; levels 1, 2, 4, 8 and so on mark.
     """
     parents = folders.select(F.col("folder_id").alias("ancestor_id"), "parent_id")
-    level = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    out = level
-    for distance in range(1, MAX_DEPTH + 1):
-        level = level.join(parents, "ancestor_id").filter("parent_id IS NOT NULL").select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(distance).alias("distance"))
-        out = out.unionByName(level)
-    return out.groupBy("folder_id", "ancestor_id").agg(F.min("distance").alias("distance"))
+    level = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("distance"), F.col("folder_id").alias("mark"))
+    out, distance = level.drop("mark"), 0
+    while True:
+        distance += 1
+        up = level.join(parents, "ancestor_id").filter("parent_id IS NOT NULL AND parent_id <> mark")
+        mark = F.col("parent_id" if distance & (distance - 1) == 0 else "mark").alias("mark")
+        level = _settled(up.select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(distance).alias("distance"), mark))
+        if level.isEmpty():
+            return out.groupBy("folder_id", "ancestor_id").agg(F.min("distance").alias("distance"))
+        out = out.unionByName(level.drop("mark"))
 
 
 def paths(folders: DataFrame) -> DataFrame:

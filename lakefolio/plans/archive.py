@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins, ordered, tree
 from ..sources.tables import scan
-from .book import query
+from .book import ORACLE_SQL, query
 
 
 @query("""
@@ -204,9 +204,14 @@ def set_operations(spark: SparkSession, folder: str) -> DataFrame:
 _FOLDERS = "SELECT p_partkey AS folder_id, CASE WHEN p_partkey > 0 THEN p_partkey // 4 END AS parent_id, p_name AS name FROM part WHERE p_partkey < 300"
 
 
-def _folders(spark: SparkSession, folder: str) -> DataFrame:
-    """The first parts as a tree: folder n lies in folder n / 4."""
-    part = scan(spark, folder, "part").filter("p_partkey < 300")
+#: The same over the whole table.
+_ALL_FOLDERS = _FOLDERS.removesuffix(" WHERE p_partkey < 300")
+
+
+def _folders(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """The first parts as a tree, or all: folder n lies in folder n / 4."""
+    part = scan(spark, folder, "part")
+    part = part if whole else part.filter("p_partkey < 300")
     return part.select(F.col("p_partkey").alias("folder_id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 4)).alias("parent_id"), F.col("p_name").alias("name"))
 
 
@@ -235,6 +240,22 @@ def folder_subtree(spark: SparkSession, folder: str) -> DataFrame:
     return tree.closure(_folders(spark, folder)).filter("ancestor_id = 5").select("folder_id")
 
 
+@query(ORACLE_SQL["folder_paths"].replace(_FOLDERS, _ALL_FOLDERS))
+def folder_paths_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return tree.paths(_folders(spark, folder, whole=True))
+
+
+@query(ORACLE_SQL["tree_totals"].replace(_FOLDERS, _ALL_FOLDERS))
+def tree_totals_whole(spark: SparkSession, folder: str) -> DataFrame:
+    lines = scan(spark, folder, "lineitem").select(F.col("l_partkey").alias("folder_id"))
+    return tree.rollup(_folders(spark, folder, whole=True), lines)
+
+
+@query(ORACLE_SQL["folder_subtree"].replace(_FOLDERS, _ALL_FOLDERS))
+def folder_subtree_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return tree.closure(_folders(spark, folder, whole=True)).filter("ancestor_id = 5").select("folder_id")
+
+
 @query("""
 SELECT event_type, count(*) FILTER (ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY) AS expired, count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY) AS kept FROM events GROUP BY 1""")
 def retention(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import labels, matching
 from ..sources import files
 from ..sources.tables import scan
-from .book import query
+from .book import ORACLE_SQL, query
 from .content import KEY, _folded, _hmac_sql
 
 
@@ -19,7 +19,16 @@ SELECT l_suppkey, parts, array_to_string(list_filter(generate_series(1, high), l
   len(list_filter(generate_series(1, high), lambda x: NOT list_contains(seen, x))) = 0 AS complete, {_hmac_sql("encode(message)")} AS scan_hash FROM s""")
 def scan_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of some parts as pages that a supplier's scanner sends."""
-    lines = scan(spark, folder, "lineitem").filter("l_partkey % 17 = 0")
+    return _scans(scan(spark, folder, "lineitem").filter("l_partkey % 17 = 0"))
+
+
+@query(ORACLE_SQL["scan_sessions"].replace(" WHERE l_partkey % 17 = 0", ""))
+def scan_sessions_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of all parts."""
+    return _scans(scan(spark, folder, "lineitem"))
+
+
+def _scans(lines: DataFrame) -> DataFrame:
     pages = lines.select("l_suppkey", F.col("l_linenumber").alias("position"), F.lit("pdf").alias("kind"), F.md5(F.col("l_orderkey").cast("string")).alias("digest"), "l_shipdate")
     return files.scans(pages, "l_suppkey", "position", KEY, "l_shipdate").withColumn("missing", F.array_join("missing", ","))
 

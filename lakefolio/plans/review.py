@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import review
 from ..sources.tables import scan
-from .archive import _FOLDERS, _folders
-from .book import query
+from .archive import _ALL_FOLDERS, _FOLDERS, _folders
+from .book import ORACLE_SQL, query
 from .content import _WORDS
 
 
@@ -93,6 +93,12 @@ def folder_profile(spark: SparkSession, folder: str) -> DataFrame:
     return review.profile(_folders(spark, folder), items, "supplier")
 
 
+@query(ORACLE_SQL["folder_profile"].replace(_FOLDERS, _ALL_FOLDERS))
+def folder_profile_whole(spark: SparkSession, folder: str) -> DataFrame:
+    items = scan(spark, folder, "lineitem").select(F.col("l_partkey").alias("folder_id"), F.col("l_suppkey").alias("supplier"))
+    return review.profile(_folders(spark, folder, whole=True), items, "supplier")
+
+
 @query(f"""
 WITH w AS (SELECT DISTINCT source, doc_id, w FROM (SELECT source, doc_id, unnest({_WORDS}) AS w FROM documents)), n AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1)
 SELECT source, w AS word, count(*) AS n, docs FROM w JOIN n USING (source) GROUP BY 1, 2, docs HAVING count(*) >= 0.3 * docs""")
