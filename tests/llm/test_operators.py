@@ -85,6 +85,19 @@ def test_packing_capacities_and_odd_rows(odd):
             assert mine.sum() <= 10 and len(mine) <= 3 and ((mine**2).sum() <= 60 or len(mine) == 1)
 
 
+def test_packing_with_capacities_that_bind(spark):
+    docs = table(spark, DATA, "documents")
+    parts = packing.pieces(docs, PATH).cache()
+    slack = packing.pack(parts, 1).select("sequence_id").distinct().count()
+    for max_docs, max_cost in ((2, 2048**2), (2048, 2048**2 // 4)):
+        by = collections.defaultdict(list)
+        for r in packing.pack(parts, 1, max_docs=max_docs, max_cost=max_cost).collect():
+            by[r.sequence_id].append(r.length)
+        assert all(len(v) == 1 or (sum(v) <= 2048 and len(v) <= max_docs and sum(n * n for n in v) <= max_cost) for v in by.values())
+        assert sum(map(len, by.values())) == parts.count() and len(by) > slack
+        print(f"max_docs {max_docs}, max_cost {max_cost}: {len(by)} sequences; {slack} with slack capacities")
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(30)]
