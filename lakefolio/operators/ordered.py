@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settled import settle
+
 
 def stack(rows: DataFrame, pile: str, order: list[Column], sheets: Column) -> DataFrame:
     """Adds place (from the top), of, sheets_above and sheets_below."""
@@ -59,6 +61,21 @@ def numbered(rows: DataFrame, title: str, order: str) -> DataFrame:
 def facet(rows: DataFrame, value: Column, most: int = 10, missing: str = "None") -> DataFrame:
     """(value, n): counts; beyond `most` values the rarest are one `Other`."""
     counted = rows.groupBy(F.coalesce(value.cast("string"), F.lit(missing)).alias("value")).agg(F.count("*").alias("n"))
+    top = counted.orderBy(F.desc("n"), "value").limit(most + 1)  # the windows are over these few
     place, values = F.row_number().over(Window.orderBy(F.desc("n"), "value")), F.count("*").over(Window.partitionBy())
-    named = counted.withColumn("value", F.when((values > most) & (place >= most), "Other").otherwise(F.col("value")))
-    return named.groupBy("value").agg(F.sum("n").alias("n"))
+    kept = top.withColumns({"place": place, "values": values}).filter((F.col("values") <= most) | (F.col("place") < most))
+    named = counted.join(F.broadcast(kept.select("value", F.lit(True).alias("kept"))), "value", "left")
+    return named.groupBy(F.when(F.col("kept"), F.col("value")).otherwise("Other").alias("value")).agg(F.sum("n").alias("n"))
+
+
+def median(rows: DataFrame, value: Column) -> DataFrame:
+    """(n, median) of the values that are not null, in one row. Sorted by ranges;
+    only the middle rows and a count for each range come to the driver."""
+    values = rows.select(value.cast("double").alias("value")).filter("value IS NOT NULL")
+    by_range = settle(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id()))
+    counts = sorted(tuple(r) for r in by_range.groupBy(F.shiftright("at", 33)).count().collect())
+    n, before, middle = sum(c for _, c in counts), 0, []
+    for number, c in counts:
+        middle += [(number << 33) + k - before for k in sorted({(n - 1) // 2, n // 2}) if before <= k < before + c]
+        before += c
+    return by_range.filter(F.col("at").isin(middle)).agg(F.lit(n).alias("n"), F.avg("value").alias("median"))

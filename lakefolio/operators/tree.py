@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """`df` computed once, in the folder of spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tree-"))
-    return df.checkpoint()
+from .settled import settle
 
 
 def closure(folders: DataFrame) -> DataFrame:
@@ -29,7 +21,7 @@ def closure(folders: DataFrame) -> DataFrame:
         distance += 1
         up = level.join(parents, "ancestor_id").filter("parent_id IS NOT NULL AND parent_id <> mark")
         mark = F.col("parent_id" if distance & (distance - 1) == 0 else "mark").alias("mark")
-        level = _settled(up.select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(distance).alias("distance"), mark))
+        level = settle(up.select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(distance).alias("distance"), mark))
         if level.isEmpty():
             return out.groupBy("folder_id", "ancestor_id").agg(F.min("distance").alias("distance"))
         out = out.unionByName(level.drop("mark"))
