@@ -1,15 +1,30 @@
-"""Rows computed once."""
+"""Rows computed once, and the folder they are written to."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local session, whose tasks run in the driver, gets a folder of its
+    own where that is unset; elsewhere every machine would have its own.
+    """
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="shared-")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """`df` computed once, in the folder of spark.checkpoint.dir."""
+    """`df` computed once, in the folder of spark.checkpoint.dir; cuts its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="settled-"))
-    return df.checkpoint()
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
