@@ -1,19 +1,20 @@
 """SimHash near-duplicate classes through pivot distance tables.
 
-Fingerprints are points of the 64-bit Hamming cube. For every distinct
-fingerprint the table holds its distances to 56 reference fingerprints: eight
-base pivots, and for each base pivot its six variants with one block of bits
-flipped. By the triangle inequality two fingerprints at distance r differ by at
-most r in every coordinate, so a pair whose largest coordinate difference
-exceeds r is discarded without looking at the fingerprints; survivors are
-verified exactly.
-
-Pairs are never enumerated to apply that test. The difference between the
+Fingerprints are points of the 64-bit Hamming cube. The table of a fingerprint
+is its distances to 56 reference fingerprints: eight base pivots, and for each
+base pivot its six variants with one block of bits flipped. By the triangle
+inequality two fingerprints at distance r differ by at most r in every
+coordinate, so a pair whose largest coordinate difference exceeds r is discarded
+without looking at the fingerprints; survivors are verified exactly.
+
+All pairs are never enumerated to apply that test. The difference between the
 distances to a pivot and to its variant is the distance inside one block, and
 two fingerprints with at most three differing bits agree on three of the six
 blocks, so all block coordinates of those blocks are equal. The 20 choices of
-three blocks give 20 exact join keys: every link shares one, and a random pair
-shares one with a probability of about 20 / 2^31.
+three blocks give 20 exact join keys (which pairs meet is thus a choice of equal
+blocks, read off the table): every link shares one, and a random pair shares one
+with a probability of about 20 / 2^31. The table of fingerprints that share a
+key is computed where they meet, once a key, and all 56 coordinates are tested.
 
 Copies of a fingerprint are folded into one row first. A key shared by more
 than `RUN` distinct fingerprints is cut into chunks, and pairs of chunks are
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import hot_keys, lookup, settle
 
 #: Largest number of fingerprints of one key that are compared in one step.
 RUN = 4096
@@ -85,31 +86,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pivot_table(points: DataFrame) -> DataFrame:
-    """Adds to distinct `fp` rows: `near`, eight distances in a byte each, and
-    `block0`..`block5`, for each block its eight coordinates in four bits each."""
-    fp, bases, masks = F.col("fp"), _pivots(), _masks()
+    """Adds to distinct `fp` rows `block0`..`block5`: for each block its eight
+    coordinates, the distances to the base pivots inside the block, in four bits
+    each."""
+    fp, bases = F.col("fp"), _pivots()
 
     def distance(p: int):
         return F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long")
 
     to_base = [distance(p) for p in bases]
-    near = to_base[0]
-    for r in range(1, len(bases)):
-        near = near.bitwiseOR(F.shiftleft(to_base[r], 8 * r))
     blocks = []
-    for i, (mask, size) in enumerate(zip(masks, _BLOCKS)):
+    for i, (mask, size) in enumerate(zip(_masks(), _BLOCKS)):
         code = F.lit(0).cast("long")
         for r, p in enumerate(bases):
             inside = F.shiftright(to_base[r] - distance(p ^ mask) + size, 1)
             code = code.bitwiseOR(F.shiftleft(inside, 4 * r))
         blocks.append(code.alias(f"block{i}"))
-    return points.select("fp", near.alias("near"), *blocks)
+    return points.select("fp", *blocks)
 
 
-def _compare(fp: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+def coordinates(fp: np.ndarray) -> np.ndarray:
+    """The distances to all 56 reference fingerprints, the base pivots first."""
+    bases = _pivots()
+    pivots = np.array(bases + [p ^ mask for p in bases for mask in _masks()], np.uint64)
+    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ pivots)
+
+
+def _compare(fp: np.ndarray, coords: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     """Which of the index pairs link: coordinates first, then the bits."""
-    a, b = near[left], near[right]
-    keep = (np.abs(a.astype(np.int16) - b) <= bits).all(axis=1)
+    keep = np.ones(len(left), bool)
+    for some in (slice(0, 8), slice(8, None)):
+        a, b = coords[left[keep], some], coords[right[keep], some]
+        keep[keep] = (np.abs(a.astype(np.int8) - b.astype(np.int8)) <= bits).all(axis=1)
     keep[keep] = np.bitwise_count(fp[left[keep]] ^ fp[right[keep]]) <= bits
     return keep
 
@@ -131,32 +139,31 @@ def _forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[label[far]], "b": nodes[far]})
 
 
-def _dense(fp: np.ndarray, near: np.ndarray, rows: np.ndarray, cols: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _dense(fp: np.ndarray, coords: np.ndarray, rows: np.ndarray, cols: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two sets of positions, a block of rows at a time."""
     left, right = [], []
     for low in range(0, len(rows), 64):
         some = rows[low : low + 64]
         i, j = np.repeat(some, len(cols)), np.tile(cols, len(some))
-        keep = _compare(fp, near, i, j, bits) & (fp[i] != fp[j])
+        keep = _compare(fp, coords, i, j, bits) & (fp[i] != fp[j])
         left.append(i[keep])
         right.append(j[keep])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _as_bytes(near: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(near).view(np.uint8).reshape(-1, 8)
-
-
-_SCAN = "hot boolean, key long, chunk int, a long, b long"
+_SCAN = "hot boolean, key long, chunk int, a long, b long"  # of hot rows, a is the fingerprint
 
 
 def _scan(bits: int, run: int):
     """Reads rows sorted by key; yields links, and the rows of keys that are too
     large to compare here, numbered by chunk."""
 
-    def links(key: np.ndarray, fp: np.ndarray, near: np.ndarray) -> pd.DataFrame:
-        coords, left, right = _as_bytes(near), [], []
+    def links(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        shared = np.repeat(np.diff(edge) > 1, np.diff(edge))
+        key, fp, left, right = key[shared], np.ascontiguousarray(fp[shared]), [], []
+        coords = coordinates(fp)
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
         size = np.diff(edge)
         order = np.repeat(size, size)
         small = np.flatnonzero((order > 1) & (order <= 64))
@@ -177,23 +184,23 @@ def _scan(bits: int, run: int):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         return _forest(fp[np.concatenate(left)], fp[np.concatenate(right)])
 
-    def hot_rows(key, fp, near, chunk: int) -> pd.DataFrame:
-        return pd.DataFrame({"hot": True, "key": key, "chunk": chunk, "a": fp, "b": near})
+    def hot_rows(key, fp, chunk: int) -> pd.DataFrame:
+        return pd.DataFrame({"hot": True, "key": key, "chunk": chunk, "a": fp, "b": fp})
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, hot, chunk = None, None, 0
         for frame in frames:
-            key, fp, near = (frame[c].to_numpy() for c in ("key", "fp", "near"))
+            key, fp = frame["key"].to_numpy(), frame["fp"].to_numpy()
             if rest is not None:
-                key, fp, near = (np.concatenate(x) for x in zip(rest, (key, fp, near)))
+                key, fp = (np.concatenate(x) for x in zip(rest, (key, fp)))
             while True:
                 if hot is not None:  # the rows of a large key go on
                     n = int(np.searchsorted(key, hot, side="right"))
                     whole = n // run * run if n == len(key) else n
                     for low in range(0, whole, run):
-                        yield hot_rows(key[low : low + run][: whole - low], fp[low : low + run][: whole - low], near[low : low + run][: whole - low], chunk)
+                        yield hot_rows(key[low : low + run][: whole - low], fp[low : low + run][: whole - low], chunk)
                         chunk += 1
-                    key, fp, near = key[whole:], fp[whole:], near[whole:]
+                    key, fp = key[whole:], fp[whole:]
                     if n != whole or not len(key):
                         break
                     hot = None
@@ -201,19 +208,19 @@ def _scan(bits: int, run: int):
                 big = np.flatnonzero(np.diff(edge) > run)
                 stop = edge[big[0]] if len(big) else edge[-2]
                 if stop:
-                    found = links(key[:stop], fp[:stop], near[:stop])
+                    found = links(key[:stop], fp[:stop])
                     yield found.assign(hot=False, key=0, chunk=0)[["hot", "key", "chunk", "a", "b"]]
-                    key, fp, near = key[stop:], fp[stop:], near[stop:]
+                    key, fp = key[stop:], fp[stop:]
                 if not len(big):
                     break
                 hot, chunk = key[0], 0
-            rest = (key, fp, near)
+            rest = (key, fp)
         if rest is not None and len(rest[0]):
-            key, fp, near = rest
+            key, fp = rest
             if hot is not None:
-                yield hot_rows(key, fp, near, chunk)
+                yield hot_rows(key, fp, chunk)
             else:
-                yield links(key, fp, near).assign(hot=False, key=0, chunk=0)[["hot", "key", "chunk", "a", "b"]]
+                yield links(key, fp).assign(hot=False, key=0, chunk=0)[["hot", "key", "chunk", "a", "b"]]
 
     return scan
 
@@ -222,11 +229,12 @@ def _chunk_pairs(hot: DataFrame, bits: int) -> DataFrame:
     """Links inside keys that were cut into chunks: one group per chunk pair."""
     last = hot.groupBy("key").agg(F.max("chunk").alias("last"))
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    spread = hot.join(last, "key").select("key", "chunk", F.col("a").alias("fp"), F.col("b").alias("near"), other.alias("other"))
+    spread = lookup(hot, last, "key").select("key", "chunk", F.col("a").alias("fp"), other.alias("other"))
     spread = spread.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        fp, coords = frame["fp"].to_numpy(), _as_bytes(frame["near"].to_numpy())
+        fp = frame["fp"].to_numpy()
+        coords = coordinates(fp)
         first = frame["chunk"].to_numpy() == frame["low"].to_numpy()
         same = frame["low"].iloc[0] == frame["high"].iloc[0]
         rows = np.flatnonzero(first)
@@ -241,7 +249,7 @@ def links(points: DataFrame, bits: int = MAX_BITS, run: int = RUN) -> DataFrame:
     if not 0 <= bits <= MAX_BITS:
         raise ValueError("six blocks find links of at most three bits")
     keys = [F.xxhash64(F.lit(n), *(F.col(f"block{i}") for i in trio)) for n, trio in enumerate(combinations(range(6), 3))]
-    rows = pivot_table(points).select(F.explode(F.array(*keys)).alias("key"), "fp", "near")
+    rows = pivot_table(points).select(F.explode(F.array(*keys)).alias("key"), "fp")
     scanned = settle(rows.repartition("key").sortWithinPartitions("key").mapInPandas(_scan(bits, run), _SCAN))
     found = scanned.filter(~F.col("hot")).select("a", "b")
     hot = scanned.filter("hot")
@@ -258,15 +266,16 @@ def components(edges: DataFrame) -> DataFrame:
     checkpoint folder, and nothing but the number of changes reaches the driver.
     """
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    hubs = settle(hot_keys(both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("copies")), both.count()).select("b"))
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
+        heard = lookup(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
+        nearer = settle(labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")))
         above = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = settle(nearer.join(above, "root").select("node", "old", F.least("root", "top").alias("root")))
-        moved = jumped.filter("old <> root").isEmpty()
+        jumped = settle(lookup(nearer, above, "root").select("node", "old", F.least("root", "top").alias("root")))
+        still = jumped.filter("old <> root").isEmpty()
         labels = jumped.select("node", "root")
-        if moved:
+        if still:
             return labels
 
 
@@ -280,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result.
     """
     prints = settle(fingerprints(docs, id_col, text_col, shingle))
-    points = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    points = settle(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")))
     found = settle(links(points.select("fp"), bits))
     if found.isEmpty():
         classes = points.select("fp", F.col("least").alias("component_id"))
@@ -288,7 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(found)
         linked = points.join(roots, points.fp == roots.node)
         least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-        of_linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+        of_linked = lookup(roots, least, "root").select(F.col("node").alias("fp"), "component_id")
         classes = points.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(classes, "fp").select(id_col, hexed, "component_id")
+    hot = settle(hot_keys(points, prints.count()).select("fp"))
+    return lookup(prints, classes, "fp", hot).select(id_col, hexed, "component_id")
