@@ -11,6 +11,7 @@ rows of one array per level and every step is done for all of them.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -116,31 +117,39 @@ class Bpe:
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def _one(self, raw: bytes) -> bytes:
-        """The same tree for one long word, with plain lists."""
+        """The same tree for one long word, in flat arrays of 64 bits."""
         n = len(raw)
         width = 1 << (n - 1).bit_length()
-        symbol = [*self.inner[list(raw[:-1])].tolist(), int(self.last[raw[-1]])]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        none, merged = (1 << 60, 0), self.merged.tolist()
-
-        def leaf(i: int) -> tuple[int, int]:
-            rank = self.ranks.get((symbol[i], symbol[after[i]])) if after[i] < n else None
-            return none if rank is None else (rank, i)
-
-        tree = [none] * (2 * width)
-        tree[width : width + n] = [leaf(i) for i in range(n)]
-        for i in range(width - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-
-        def update(i: int, value: tuple[int, int]) -> None:
+        letters = np.frombuffer(raw, np.uint8)
+        start = np.append(self.inner[letters[:-1]], self.last[letters[-1]])
+        leaves = np.full(width, _NONE)
+        rank = self.rank_of(start[:-1], start[1:])
+        leaves[: n - 1] = np.where(rank < _NONE, rank * width + np.arange(n - 1), _NONE)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][0::2], levels[-1][1::2]))
+        tree = array("q", np.concatenate([[0], *levels[::-1]]).tobytes())
+        symbol, after, before = (array("q", x.tobytes()) for x in (start, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        none, merged, ranks = int(_NONE), array("q", self.merged.tobytes()), self.ranks
+
+        def update(i: int, value: int) -> None:
+            """Sets leaf i; stops where a node keeps its value."""
             i += width
             tree[i] = value
             while i > 1:
                 i >>= 1
-                tree[i] = min(tree[2 * i], tree[2 * i + 1])
-
-        while tree[1] is not none and tree[1][0] < none[0]:
-            rank, i = tree[1]
+                low, high = tree[2 * i], tree[2 * i + 1]
+                low = low if low < high else high
+                if tree[i] == low:
+                    break
+                tree[i] = low
+
+        def leaf(i: int) -> int:
+            rank = ranks.get((symbol[i], symbol[after[i]])) if after[i] < n else None
+            return none if rank is None else rank * width + i
+
+        while tree[1] < none:
+            rank, i = divmod(tree[1], width)
             gone = after[i]
             symbol[i], after[i] = merged[rank], after[gone]
             if after[i] < n:
@@ -150,7 +159,8 @@ class Bpe:
             update(i, leaf(i))
             if before[i] >= 0:
                 update(before[i], leaf(before[i]))
-        return np.array([s for s in symbol if s >= 0], "<u4").tobytes()
+        out = np.frombuffer(symbol, np.int64)
+        return out[out >= 0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The ids' strings with spaces between; unknown ids are left out."""

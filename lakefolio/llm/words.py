@@ -9,7 +9,6 @@ bounded number, for later batches.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -37,24 +36,34 @@ def specification(path: str) -> dict:
         return json.load(file)
 
 
+#: Letters and signs whose lower case, normal form and category are the same in
+#: all Unicode tables and do not depend on neighbours: ASCII, Latin, Greek without
+#: sigma, Cyrillic, kana, ideographs and Hangul syllables. A test holds every one
+#: of them against the library; words with others are cut by the library itself.
+STABLE = "\\x00-\\x7f\u00a1-\u00ac\u00ae-\u012f\u0132-\u0148\u014a-\u017e\u0391-\u03a1\u03a4-\u03a9\u03b1-\u03c1\u03c3-\u03c9\u0401-\u044f\u0451-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fd5\uac00-\ud7a3"
+
+
 class Cutter:
-    """Special tokens verbatim, then NFC, lower case (letter by letter) and pre-tokens."""
+    """Special tokens verbatim, then normal form, lower case and pre-tokens, as
+    the tokenizer file says. The library does it, word by word; words of stable
+    letters only are cut here, by the file's own pattern."""
 
     def __init__(self, path: str):
-        self.special = {t["content"]: t["id"] for t in specification(path)["added_tokens"]}
-        self.found = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.separators = regex.compile(r"[\x1c-\x1f]")
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        from tokenizers import Tokenizer
 
-    def lowered(self, text: str) -> str:
-        """The text in lower case where that can be done at once."""
-        plain = text.isascii() or ("Σ" not in text and unicodedata.is_normalized("NFC", text))
-        return text.lower() if plain and "<|" not in text else text
+        file, library = specification(path), Tokenizer.from_file(path)
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.found = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.separators, self.odd = regex.compile(r"[\x1c-\x1f]"), regex.compile(f"[^{STABLE}]")
+        pattern = next(p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.split = regex.compile(pattern)
+        self.normalise, self.pre_tokenise = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
 
     def words(self, text: str) -> list[str]:
         """The text cut at white space, or at some of it where Python's idea of
-        white space is wider."""
-        text = self.lowered(text)
+        white space is wider; in lower case where that can be done at once."""
+        if "<|" not in text and (text.isascii() or not self.odd.search(text)):
+            text = text.lower()
         return text.replace("\n", " ").split(" ") if self.separators.search(text) else text.split()
 
     def parts(self, word: str) -> list[str | int]:
@@ -66,10 +75,9 @@ class Cutter:
                 return [word[:-1].lower(), word[-1]]
         if self.found and "<" in word and (found := self.found.search(word)):
             return [*self.parts(word[: found.start()]), self.special[found.group()], *self.parts(word[found.end() :])]
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-            if "Σ" in word:  # alone, without regard to what follows
-                return self.split.findall("".join(map(str.lower, word)))
+        if self.odd.search(word):
+            word = self.normalise(word)
+            return [word[a:b] for _, (a, b) in self.pre_tokenise(word)]
         return self.split.findall(word.lower())
 
 
