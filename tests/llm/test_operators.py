@@ -147,22 +147,40 @@ def test_language(spark, odd):
     assert len(got) == len(ODD) + 1
     assert {r.lang_pred for r in got if r.doc_id in (0, 1, 2, 11, 12)} == {"und"} and all(0 <= r.score <= 1 for r in got)
     assert language.fit(odd.limit(0)).predict("some text") == ("und", 0.0)
+    for text in ("漢字 漢字", "Привет мир", "q", "Zzz"):  # letters, but no known n-gram
+        name, score = model.predict(text)
+        assert name in model.languages and score <= 1
+    grams = {lang: set(np.concatenate([g for r in docs.filter(~held_out()).filter(F.col("lang") == lang).collect() for g in language._in_pieces(r.text)]).tolist()) for lang in model.languages}
+    every = np.array(sorted(set().union(*grams.values())))
+    for i, lang in enumerate(model.languages):  # every n-gram of a language has its bit, the rarest too
+        slots = list(language._slots(every, model.bits.slots, model.bits.hashes))
+        has = np.all([model.bits._has(model.bits.masks[0][s], i) for s in slots], axis=0)
+        mine = np.isin(every, list(grams[lang]))
+        assert has[mine].all() and has[~mine].mean() < 0.05
 
 
 def test_filter_counts_are_exact_up_to_false_positives():
     grams, owners = np.arange(1, 4001, dtype=np.int64) * 77, np.arange(4000) % 70 % 3
-    found = language.LanguageFilter(["a", "b", "c"], grams, owners)
-    assert np.allclose(found.counts(grams), [np.sum(owners == i) for i in range(3)], atol=2)
+    found = language.BitFilter.of(grams, owners, 3)
+    assert np.allclose(found.counts(grams), [np.sum(owners == i) for i in range(3)], atol=40)
+
+
+def test_a_full_filter_still_tells_languages_apart(monkeypatch):
+    monkeypatch.setattr(language, "FILTER_BYTES", 4096)
+    grams, owners = np.arange(1, 6001, dtype=np.int64) * 77, np.arange(6000) % 3
+    found = language.BitFilter.of(grams, owners, 3)
+    assert found.slots == 4096 and found.false.min() > 0.3
+    assert found.counts(grams[owners == 1]).argmax() == 1
 
 
 def test_more_languages_than_a_word_has_bits(spark):
     grams, owners = np.arange(1, 14001, dtype=np.int64) * 77, np.arange(14000) % 140
-    found = language.LanguageFilter([f"l{i}" for i in range(140)], grams, owners)
-    assert len(found.masks) == 3 and np.allclose(found.counts(grams), [np.sum(owners == i) for i in range(140)], atol=2)
+    found = language.BitFilter.of(grams, owners, 140)
+    assert len(found.masks) == 3 and np.allclose(found.counts(grams), [np.sum(owners == i) for i in range(140)], atol=20)
     texts = {f"x{i:02d}": " ".join(chr(0x4E00 + 50 * i + j) + chr(0x4E00 + 50 * i + j + 1) for j in range(40)) for i in range(70)}
     docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(texts.items())], "doc_id long, lang string, text string")
     model = language.fit(docs)
-    assert model.languages == sorted(texts)
+    assert model.languages == sorted(texts) and len(model.bits.masks) == 3
     got = language.predict(docs, model).join(docs, "doc_id").collect()
     assert len(got) == 70 and all(r.lang_pred == r.lang for r in got)
 
