@@ -1,19 +1,22 @@
 """Exact top-k inner-product search with ball trees.
 
-Rows are dealt to shards of about `shard_rows` vectors; every shard builds a
-ball tree and answers blocks of queries by best-first branch and bound: nodes
-are taken in the order of their inner-product upper bound q.c + |q| r, and a
-search ends when the best open bound is below the current k-th score. Shards
-share that score: each first visits only the most promising leaf of each query,
-the best k-th score over all shards becomes the query's bound, and the full
-search of every shard starts from it.
-
-Both sides of a task are bounded: `shard_rows` vectors and `query_rows` queries.
+Rows are dealt to shards of about `shard_rows` vectors. A shard's ball tree is
+built once and written as one row; queries are sent to the trees and answered by
+best-first branch and bound: nodes are taken in the order of their inner-product
+upper bound q.c + |q| r, and a search ends when the best open bound is below the
+current k-th score. Shards share that score: a query first visits one shard (a
+different one for each query), then a few more with the score found there, then
+all others with the best score so far.
+
+A task holds one tree at a time and reads its queries as a stream, `query_rows`
+of them; more queries meet copies of the tree in other tasks.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -21,7 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, settle
 
+#: Shards that a query visits in its first rounds; the last round is the rest.
+ROUNDS = (1, 4)
 _LONG = 2**63 - 1
 
 
@@ -75,47 +81,67 @@ def _scores(points: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(p, query)) for p in points], dtype=object)
 
 
-def _search(k: int, first_only: bool):
-    def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if shard.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids, queries = shard["vec_id"].to_numpy(), _matrix(block["vector"])
-        ints = _matrix(shard["vector"])
-        points, floats = ints.astype(float), queries.astype(float)
-        exact = float(np.abs(points).max(initial=0)) * float(np.abs(floats).max(initial=0)) * max(1, points.shape[1]) < 2**53
-        tree = BallTree(points)
-        bounds = tree.bounds(floats)
-        out_q, out_v, out_s = [], [], []
-        for n, (own, floor) in enumerate(zip(block["vec_id"], block["floor"])):
-            kth, shared = (None, None) if pd.isna(floor) or abs(floor) >= _LONG else (int(floor), int(floor))
-            best_s, best_v = np.empty(0, np.int64), np.empty(0, np.int64)
-            heap = [(-bounds[n, 0], 0)]
-            while heap:
-                bound, node = heapq.heappop(heap)
-                if kth is not None and -bound < kth:
-                    break
-                if tree.left[node] >= 0:
-                    for child in (tree.left[node], tree.right[node]):
-                        heapq.heappush(heap, (-bounds[n, child], child))
-                    continue
-                at = tree.order[tree.low[node] : tree.high[node]]
-                at = at[ids[at] != own]
-                scores = _scores(points[at] if exact else ints[at], floats[n] if exact else queries[n], exact)
-                if shared is not None:
-                    at, scores = at[scores >= shared], scores[scores >= shared]
-                best_s, best_v = np.concatenate([best_s, scores]), np.concatenate([best_v, ids[at]])
-                top = np.lexsort((best_v, -best_s))[:k]
-                best_s, best_v = best_s[top], best_v[top]
-                if len(best_s) == k:
-                    kth = int(best_s[-1]) if kth is None else max(kth, int(best_s[-1]))
-                if first_only and len(best_s) == k:
-                    break
-            if first_only:
-                best_s, best_v = best_s[k - 1 : k], best_v[k - 1 : k]
-            out_q += [own] * len(best_s)
-            out_v += best_v.tolist()
-            out_s += [max(-_LONG, min(_LONG, int(x))) for x in best_s]
-        return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s}).astype("int64")
+def _built(shard: pd.DataFrame) -> pd.DataFrame:
+    ints = _matrix(shard["vector"])
+    tree = BallTree(ints.astype(float))
+    raw = pickle.dumps((shard["vec_id"].to_numpy(), ints, tree), protocol=5)
+    return pd.DataFrame({"size": shard["size"].iloc[:1].to_numpy(), "shard": shard["shard"].iloc[:1].to_numpy(), "tree": [raw]})
+
+
+def _answers(ids: np.ndarray, ints: np.ndarray, tree: BallTree, block: pd.DataFrame, k: int) -> pd.DataFrame:
+    queries = _matrix(block["vector"])
+    points, floats = tree.points, queries.astype(float)
+    exact = float(np.abs(points).max(initial=0)) * float(np.abs(floats).max(initial=0)) * max(1, points.shape[1]) < 2**53
+    bounds = tree.bounds(floats)
+    out_q, out_n, out_v, out_s = [], [], [], []
+    for n, (own, number, floor) in enumerate(zip(block["vec_id"], block["query"], block["floor"])):
+        kth = shared = None if pd.isna(floor) or abs(floor) >= _LONG else int(floor)
+        best_s, best_v = np.empty(0, np.int64), np.empty(0, np.int64)
+        heap = [(-bounds[n, 0], 0)]
+        while heap:
+            bound, node = heapq.heappop(heap)
+            if kth is not None and -bound < kth:
+                break
+            if tree.left[node] >= 0:
+                for child in (tree.left[node], tree.right[node]):
+                    heapq.heappush(heap, (-bounds[n, child], child))
+                continue
+            at = tree.order[tree.low[node] : tree.high[node]]
+            at = at[ids[at] != own]
+            scores = _scores(points[at] if exact else ints[at], floats[n] if exact else queries[n], exact)
+            if shared is not None:
+                at, scores = at[scores >= shared], scores[scores >= shared]
+            best_s, best_v = np.concatenate([best_s, scores]), np.concatenate([best_v, ids[at]])
+            top = np.lexsort((best_v, -best_s))[:k]
+            best_s, best_v = best_s[top], best_v[top]
+            if len(best_s) == k:
+                kth = int(best_s[-1]) if kth is None else max(kth, int(best_s[-1]))
+        out_q += [own] * len(best_s)
+        out_n += [number] * len(best_s)
+        out_v += best_v.tolist()
+        out_s += [max(-_LONG, min(_LONG, int(x))) for x in best_s]
+    return pd.DataFrame({"query_id": out_q, "query": out_n, "vec_id": out_v, "score": out_s}).astype("int64")
+
+
+def _search(k: int):
+    """Reads rows sorted so that a tree comes before its queries."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, None
+        for frame in frames:
+            keys = list(zip(frame["size"], frame["shard"], frame["part"]))
+            low = 0
+            while low < len(keys):
+                high = low + 1
+                while high < len(keys) and keys[high] == keys[low]:
+                    high += 1
+                some = frame.iloc[low:high]
+                for raw in some["tree"].dropna():
+                    key, held = keys[low], pickle.loads(raw)
+                asked = some[some["tree"].isna()]
+                if len(asked) and key == keys[low]:
+                    yield _answers(*held, asked, k)
+                low = high
 
     return run
 
@@ -131,35 +157,50 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("vector"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192, query_rows: int = 65536) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest integer inner products.
 
     Both inputs have (vec_id, vector of longs). Every row is a candidate except
     rows with the query's own id; ties go to the smaller vec_id; fewer than k
     candidates are all returned; vectors meet vectors of their own length only.
-    Repeated rows are candidates of their own. Scores beyond a long are cut to
-    the largest. Empty tables give no rows.
+    Repeated rows are candidates of their own, but one query; rows of one id and
+    different vectors are queries of their own, ranked apart. Scores beyond a
+    long are cut to the largest. Empty tables give no rows.
     """
     if k < 1:
         raise ValueError("k must be positive")
+    bounded_batches(vectors.sparkSession)  # a tree is a batch of its own
     shards = max(1, ceil(vectors.count() / shard_rows))
-    blocks = max(1, ceil(queries.count() / query_rows))
     deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = vectors.select("vec_id", "vector", F.size("vector").alias("size"), deal(shards).alias("shard")).withColumn("block", every(blocks))
-    own = [F.col(c).alias(c) for c in ("vec_id", "vector")]  # both sides may be one table
-    asked = queries.select(*own, F.size("vector").alias("size"), deal(blocks).alias("block"))
-    keys = ("size", "shard", "block")
-
-    def search(asked: DataFrame, first_only: bool) -> DataFrame:
-        spread = asked.withColumn("shard", every(shards))
-        pairs = rows.groupBy(*keys).cogroup(spread.groupBy(*keys))
-        return pairs.applyInPandas(_search(k, first_only), "query_id long, vec_id long, score long")
-
-    unbounded = asked.withColumn("floor", F.lit(None).cast("long"))
-    floors = search(unbounded, True).groupBy(F.col("query_id").alias("vec_id")).agg(F.max("score").alias("floor"))
-    bounded = asked.join(floors, "vec_id", "left")
-    found = search(bounded, False)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    rows = vectors.select("vec_id", "vector", F.size("vector").alias("size"), deal(shards).alias("shard"))
+    trees = settle(rows.groupBy("size", "shard").applyInPandas(_built, "size int, shard int, tree binary"))
+    asked = queries.select("vec_id", "vector").distinct()
+    asked = settle(asked.select("vec_id", "vector", F.size("vector").alias("size"), F.xxhash64("vec_id", "vector").alias("query")))
+    parts = max(1, ceil(asked.count() / query_rows))
+    home, part = F.pmod("query", F.lit(shards)), F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+
+    def visit(asked: DataFrame, low: int, high: int) -> DataFrame:
+        """The answers of the shards `low` to `high` - 1 after a query's own."""
+        shard = F.explode(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda n: F.pmod(home + n, F.lit(shards)).cast("int")))
+        spread = asked.select("size", shard.alias("shard"), part.alias("part"), "vec_id", "query", "vector", "floor", F.lit(None).cast("binary").alias("tree"))
+        copies = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
+            "size", "shard", "part", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("long").alias("query"),
+            F.lit(None).cast("array<bigint>").alias("vector"), F.lit(None).cast("long").alias("floor"), "tree",
+        )
+        keys = ("size", "shard", "part")
+        met = copies.unionByName(spread).repartition(*keys).sortWithinPartitions(*keys, F.col("tree").isNull())
+        found = met.mapInPandas(_search(k), "query_id long, query long, vec_id long, score long")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+
+    asked, low, best = asked.withColumn("floor", F.lit(None).cast("long")), 0, None
+    for high in sorted({min(n, shards) for n in (*ROUNDS, shards)}):
+        found = visit(asked, low, high)
+        best = found if best is None else best.unionByName(found)
+        if high < shards:
+            best = settle(best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
+            kth = best.groupBy("query_id", "query").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k)
+            asked = asked.drop("floor").join(kth.select(F.col("query_id").alias("vec_id"), "query", F.col("kth").alias("floor")), ["vec_id", "query"], "left")
+        low = high
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

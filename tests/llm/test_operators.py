@@ -113,6 +113,23 @@ def test_topk(spark):
         scores = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)[:10]
         assert got[q] == [(i, -s) for s, i in scores]
     assert topk.top_k(ints.limit(0), ints.limit(0)).count() == 0
+    blocks = topk.top_k(ints, ints.filter("vec_id % 100 = 0"), shard_rows=64, query_rows=2).collect()
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in blocks} == {(q, n + 1): x for q, some in got.items() for n, x in enumerate(some)}
+
+
+def test_topk_of_repeated_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [int(x) for x in rng.integers(-9, 9, 5)]) for i in range(60)]
+    rows += [rows[0], rows[0], rows[7], (20, [9] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(3)
+    for size in (8, 1000):
+        got = topk.top_k(df, df.filter("vec_id in (0, 20)"), shard_rows=size).orderBy("query_id", "rank", "score").collect()
+        for q, vectors in ((0, [rows[0][1]]), (20, [rows[20][1], [9] * 5])):
+            want = []
+            for vector in vectors:
+                scores = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in rows if i != q)[:10]
+                want += [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+            assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == sorted(want)
 
 
 def test_quality_rules(spark, odd):
