@@ -1,8 +1,8 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
-A surrogate keeps the format of what it replaces: every character goes to one of
-its class (digit, hexadecimal digit, vowel, consonant, accented letter; of its
-script and case), literal characters stay, a card number that passes the Luhn
+A surrogate keeps the format of what it replaces: every letter and digit of any
+script goes to one of its class (digit, hexadecimal digit, vowel, consonant,
+accented letter; of its script and case), literal characters stay, a card number that passes the Luhn
 test passes it again, an IBAN keeps its country and gets right check digits, an
 address in a reserved range stays in one, a given name of the list becomes one
 of the same gender and script.
@@ -13,18 +13,22 @@ write, all on one cycle. Values that fail the type's own check are walked over,
 which keeps it a permutation of the values that pass. So the same entity gets
 the same surrogate in every document (coreference), different entities of a
 format get different ones, and entities of different formats differ by format:
-no table of entities is needed, whatever the corpus size. Two checks stand
-behind that: a document whose surrogates were not distinct is refused, and
-`collisions` finds surrogates that two entities of a corpus share (none).
+no table of entities is needed, whatever the corpus size. What can be written in
+several ways is permuted in one canonical form and written as it was found: a
+phone number by its digits and country, a card number and an IBAN without
+separators. Two checks stand behind that: in a document an entity whose
+surrogate is taken walks on along the cycle, and `collisions` finds surrogates
+that two entities of a corpus share (none).
 """
 
 from __future__ import annotations
 
 import hashlib
 import string
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from math import isqrt, prod
 
 import pyarrow as pa
@@ -50,12 +54,14 @@ _TITLES = {"m": "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Господин|Κύρ
 
 _HEX = "0123456789abcdef"
 _OF_CLASS = {c: (n, i) for n, some in enumerate(_CLASSES) for i, c in enumerate(some)}
+# Telephone country codes of one and two digits; all others have three.
+_COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _PLACE = r"(?<![\p{L}\p{N}_])"
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:['’-]\p{Lu}[\p{Ll}\p{M}]+)*"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SECRETS = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]"
 _FIND = regex.compile(
-    rf"""(?P<email>[\p{{L}}\p{{N}}_.+%-]+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+)
+    rf"""(?P<email>[\p{{L}}\p{{M}}\p{{N}}_.+%-]+@[\p{{L}}\p{{M}}\p{{N}}-]+(?:\.[\p{{L}}\p{{M}}\p{{N}}-]+)+)
     |{_SECRETS}\s*["']?(?P<secret>[A-Za-z0-9+/_-]{{16,}})
     |(?P<iban>{_PLACE}[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
     |(?P<phone>(?<![\p{{L}}\p{{N}}])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:[ .-]?[0-9]{{2,5}}){{1,4}}(?![0-9])
@@ -68,7 +74,7 @@ _FIND = regex.compile(
 )
 _PERSON = regex.compile(rf"{_PLACE}(?:(?P<m>{_TITLES['m']})|(?P<f>{_TITLES['f']}))\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})")
 _KINDS = ("email", "secret", "iban", "phone", "ssn", "ip", "card")
-_GIVEN = {n.capitalize(): sex for (sex, _), names in _NAMES.items() for n in names}
+_GIVEN = {unicodedata.normalize(form, n.capitalize()): sex for (sex, _), names in _NAMES.items() for n in names for form in ("NFC", "NFD")}
 _UNTITLED = regex.compile(rf"{_PLACE}(?P<name>(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?:[ -](?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))}))?(?:[ ]\p{{Lu}}\.)?[ ]{_NAME})")
 _HAS_DIGIT = regex.compile(rf"[0-9@]|{_SECRETS}")
 
@@ -81,6 +87,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+@cache
+def _scripts() -> tuple[dict[str, tuple[tuple, int]], dict[tuple, list[str]]]:
+    """Classes of all letters and digits outside `_CLASSES`: of a script (the
+    first word of the character's name), category, stretch of 2,048 code points,
+    and whether it has a capital that reads back. Capitals that have a small
+    letter are written by it; letters alone in their class share one."""
+    of, members = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if c in _OF_CLASS or kind[0] not in "LN" or (len(c.lower()) == 1 and c.lower() != c):
+            continue
+        cased = len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+        members.setdefault((unicodedata.name(c, "").partition(" ")[0], kind, cased, code >> 11), []).append(c)
+    for key in [k for k, some in members.items() if len(some) == 1]:
+        members.setdefault(key[1:3], []).extend(members.pop(key))
+    for key, some in members.items():
+        of.update((c, (key, n)) for n, c in enumerate(some))
+    return of, members
+
+
+def _class_of(c: str) -> tuple[object, int] | None:
+    """(class, place in it) of a small letter or digit; None for other signs."""
+    if c in _OF_CLASS or c.isascii():
+        return _OF_CLASS.get(c)
+    return _scripts()[0].get(c)
+
+
+def _members(kind) -> str | list[str]:
+    return _CLASSES[kind] if isinstance(kind, int) else _scripts()[1][kind]
+
+
 class Surrogates:
     """Surrogates of entities under a key of up to 64 bytes."""
 
@@ -126,14 +164,15 @@ class Surrogates:
         """Characters by class, case by place. The same text in another case is
         the same entity."""
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        classes = [_OF_CLASS.get(c) for c in low]
+        classes = [_class_of(c) for c in low]
         at = [i for i, c in enumerate(classes) if c]
-        bases, digits = [len(_CLASSES[classes[i][0]]) for i in at], [classes[i][1] for i in at]
-        form = kind + "\0" + "".join(chr(1 + classes[i][0]) if classes[i] else c for i, c in enumerate(low))
+        sets = [_members(classes[i][0]) for i in at]
+        bases, digits = [len(x) for x in sets], [classes[i][1] for i in at]
+        form = kind + "\0" + "".join(f"\1{classes[i][0]}" if classes[i] else c for i, c in enumerate(low))
         while True:
             digits, out = self.next(digits, bases, form), list(low)
-            for i, digit in zip(at, digits):
-                out[i] = _CLASSES[classes[i][0]][digit]
+            for i, digit, some in zip(at, digits, sets):
+                out[i] = some[digit]
             if not at or valid("".join(out)):
                 return "".join(c.upper() if o != n and len(c.upper()) == 1 else c for c, o, n in zip(out, text, low))
 
@@ -156,9 +195,13 @@ class Surrogates:
         return "".join(s[d] for s, d in zip(of, digits))
 
     def phone(self, text: str) -> str:
-        """The country code stays."""
-        code = regex.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]|", text).group()
-        return code + self.spelled(text[len(code) :], "phone" + code)
+        """The country code stays; the digits after it are one number however it
+        is written. Ten digits without a code, or after a 1, are of country 1."""
+        digits = regex.sub("[^0-9]", "", text)
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in _COUNTRIES), digits[:3]) if "+" in text else digits[:1] if len(digits) == 11 else ""
+        new = self.spelled(digits[len(code) :], "phone" + (code or "1"))
+        rest = iter(code + new)
+        return "".join(next(rest) if c.isascii() and c.isdigit() else c for c in text)
 
     def ssn(self, text: str) -> str:
         return self.spelled(text, "ssn")
@@ -238,8 +281,11 @@ def _is_iban(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-def _same(text: str) -> str:
+def _same(text: str, kind: str) -> str:
     """What makes two mentions the same entity."""
+    if kind in ("phone", "card", "iban"):
+        plain = regex.sub("[^0-9A-Z]", "", text)
+        return plain[1:] if kind == "phone" and len(plain) == 11 and plain[0] == "1" else plain
     return unicodedata.normalize("NFC", text).lower()
 
 
@@ -250,9 +296,10 @@ def replaced(text: str | None, surrogates: Surrogates) -> tuple[str | None, list
         return text, []
     out, spans, at, size, used = [], [], 0, 0, {}
     for start, end, kind, gender in found:
-        was, new = text[start:end], surrogates.of(kind, text[start:end], gender)
-        if used.setdefault((kind, new.lower()), _same(was)) != _same(was):
-            raise ValueError(f"two entities of kind {kind} share a surrogate")
+        was = text[start:end]
+        new = surrogates.of(kind, unicodedata.normalize("NFC", was), gender)
+        while used.setdefault((kind, _same(new, kind)), _same(was, kind)) != _same(was, kind):
+            new = surrogates.of(kind, new, gender)
         out += [text[at:start], new]
         size += start - at
         spans.append({"kind": kind, "start": size, "length": len(new)})
@@ -300,7 +347,7 @@ def collisions(originals: DataFrame, key: bytes) -> DataFrame:
         surrogates = Surrogates(key)
         for batch in batches:
             rows = [(k, surrogates.of(k, v, g or ""), v) for k, v, g in zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "gender")))]
-            yield pa.RecordBatch.from_pylist([{"kind": k, "surrogate": s.lower(), "value": v.lower()} for k, s, v in rows], schema=pa.schema([("kind", pa.string()), ("surrogate", pa.string()), ("value", pa.string())]))
+            yield pa.RecordBatch.from_pylist([{"kind": k, "surrogate": _same(s, k), "value": _same(v, k)} for k, s, v in rows], schema=pa.schema([("kind", pa.string()), ("surrogate", pa.string()), ("value", pa.string())]))
 
     mapped = originals.select("kind", "value", "gender").distinct().mapInArrow(run, "kind string, surrogate string, value string")
     shared = mapped.distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ import hashlib
 import html
 import json
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -252,6 +253,55 @@ def test_pii_without_digits_titles_or_country():
         assert pii.replaced(text, s) == (text, [])
 
 
+def test_pii_of_every_script_and_spelling():
+    s = pii.Surrogates(b"key")
+    for mail in ("李雷@例子.cn", "سارة@مثال.com", "다니엘@예.kr", "ไทย@ตัวอย่าง.th"):
+        out, spans = pii.replaced(mail, s)
+        assert len(spans) == 1 and out.split("@")[0] != mail.split("@")[0] and out.split("@")[1] != mail.split("@")[1]
+        assert [unicodedata.name(c).split()[0] for c in out] == [unicodedata.name(c).split()[0] for c in mail]
+        assert out.rpartition(".")[2] == mail.rpartition(".")[2]
+    numbers = ["+1 (017) 555-7713", "+1 017-555-7713", "+10175557713", "017-555-7713", "1-017-555-7713", "(017) 555-7713"]
+    found = [pii.replaced(f"call {n} now", s)[0].removeprefix("call ").removesuffix(" now") for n in numbers]
+    assert len({re.sub("[^0-9]", "", f)[-10:] for f in found}) == 1 and [re.sub("[0-9]", "0", f) for f in found] == [re.sub("[0-9]", "0", n) for n in numbers]
+    assert len({re.sub("[^0-9]", "", s.phone(n)) for n in ("+49 30 1234567", "+49301234567", "+49 (30) 123-4567")}) == 1
+    assert pii.replaced("Jos\u00e9 Pe\u00f1a", s)[0] == pii.replaced("Jose\u0301 Pen\u0303a", s)[0]
+    assert len({s.spelled(chr(0x4E00 + i) + "x", "name") for i in range(3000)}) == 3000
+
+
+def test_pii_collisions_are_resolved():
+    class Clash(pii.Surrogates):
+        def email(self, text):
+            return super().email("same@mail.example" if "clash" in text else text)
+
+    out, spans = pii.replaced("a-clash@x.example b-clash@x.example a-clash@x.example", Clash(b"key"))
+    a, b, c = out.split()
+    assert a == c != b and len(spans) == 3
+
+
+def test_pii_over_a_corpus(spark):
+    """Every mention by brute force: one surrogate an entity, one entity a
+    surrogate, over all documents; nothing else changes."""
+    docs = table(spark, DATA, "documents")
+    new = {r.doc_id: r for r in pii.pseudonymise(docs, b"key").collect()}
+    there, back, n = {}, {}, 0
+    plain = {"email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"}
+    for r in docs.collect():
+        text, out = r.text, new[r.doc_id]
+        at = end = 0
+        found = pii.entities(text or "")
+        assert len(found) == len(out.pii_spans)
+        for (start, stop, kind, _), span in zip(found, out.pii_spans):
+            assert text[at:start] == out.text[end : span.start] and kind == span.kind
+            was, now = pii._same(text[start:stop], kind), pii._same(out.text[span.start : span.start + span.length], kind)
+            assert was != now and there.setdefault((kind, was), now) == now and back.setdefault((kind, now), was) == was
+            at, end, n = stop, span.start + span.length, n + 1
+        assert (text or "")[at:] == (out.text or "")[end:]
+        for kind, pattern in plain.items():
+            mine = {text[a:b] for a, b, k, _ in found if k == kind}
+            assert set(re.findall(pattern, text or "")) <= {x for a, b, *_ in found for x in re.findall(pattern, text[a:b])}, (kind, mine)
+    assert n > 50
+
+
 def test_wrappers(spark):
     def expect(page):
         body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
