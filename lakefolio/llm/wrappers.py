@@ -1,20 +1,24 @@
 """Main text of web pages through wrappers inferred per host.
 
 A page's token stream is balanced (missing end tags are supplied) and read as
-items: `["#", mark]` a text, `["e", label, items]` an element, `["+", items]` a
-repeated group, `["?", items]` an optional group; that is a union-free regular
-expression. Repeats inside a page become groups first. A host's wrapper starts
-as one page and is aligned with the next: equal labels are merged recursively,
-a text that differs becomes a slot, a mismatch becomes an optional group or
-joins a repeated one. Alignment of wrappers with each other is the same
-operation, so every task folds its own pages and the tasks' wrappers are merged
-in two steps; no task holds a host, and every page takes part.
-
-The wrapper says which slots of a host hold its article. Slots inside navigation,
-headers, footers, asides, forms, notices, adverts and comments are dropped, by
-tag, role or class (`_named`), but a class never drops the body, an article or
-what holds one; if the host's template has an article (or main) element,
-only slots inside it stay; texts outside one that never vary are template.
+items: `["#", mark, chars]` a text, `["e", label, items]` an element, `["+",
+items]` a repeated group, `["?", items]` an optional group; that is a union-free
+regular expression. Repeats inside a page become groups first. A host's wrapper
+starts as one page and is aligned with the next: equal labels are merged
+recursively, a text that differs becomes a slot (its mark goes, its characters
+add up), a mismatch becomes an optional group or joins a repeated one. Alignment
+of wrappers with each other is the same operation, so every task folds its own
+pages and the tasks' wrappers are merged in two steps; no task holds a host, and
+every page takes part.
+
+The wrapper decides. `plan` marks each place of the expression: places in
+navigation, headers, footers, asides and forms go; so do places whose class or
+role names them an advert, notice, comment or the like, unless that would leave
+less than a tenth of the characters of what is around them; if a place of the
+host is an article (or main) element with text, only what is inside stays; else
+texts that are on every page and never vary are template, and slots stay. A page
+is then matched against the expression, item by item, and each of its texts is
+kept or not as the place that it matches.
 """
 
 from __future__ import annotations
@@ -54,8 +58,8 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-#: Alignments of more cells than this are divided first, in linear space.
-CELLS = 4_000_000
+#: Elements of text: an id on one is the anchor of a link, not the name of a part.
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption section article main body".split())
 #: A text is template if it never varies over so many different pages.
 PAGES = 3
 
@@ -70,7 +74,8 @@ class _Open:
 def _label(name: str, attributes: str) -> str:
     if not attributes or "=" not in attributes:
         return name
-    names = {"-".join(re.findall(r"[a-z]+", w)) for m in _ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()}
+    found = [m for m in _ATTRIBUTE.finditer(attributes) if name not in _TEXTS or m[1].lower() != "id"]
+    names = {"-".join(re.findall(r"[a-z]+", w)) for m in found for w in (m[2] or m[3] or m[4] or "").lower().split()}
     return ".".join([name, *sorted(names - {""})])
 
 
@@ -167,7 +172,7 @@ def _joined(a: list, b: list) -> list:
         if x == y:
             body.append(x)
         elif x[0] == "#" and y[0] == "#":
-            body.append(["#", x[1] if x[1] == y[1] else None])
+            body.append(["#", x[1] if x[1] == y[1] else None, x[2] + y[2]])
         elif x[0] == "e" and y[0] == "e":
             body.append(["e", x[1], align(x[2], y[2])])
         else:
@@ -209,33 +214,15 @@ def _lengths(p: list, q: list) -> list[int]:
 
 
 def _matches(p: list, q: list) -> list[tuple[int, int]]:
-    """The places of a longest common subsequence; more than `CELLS` are divided
-    at the middle of p until they fit (Hirschberg)."""
-    n, m = len(p), len(q)
-    if not n or not m:
+    """The places of a longest common subsequence, in linear space (Hirschberg)."""
+    if not p or not q:
         return []
-    if n == 1:
+    if len(p) == 1:
         return [(0, q.index(p[0]))] if p[0] in q else []
-    pairs = []
-    if n * m > CELLS:
-        half = n // 2
-        left, right = _lengths(p[:half], q), _lengths(p[half:][::-1], q[::-1])
-        cut = max(range(m + 1), key=lambda j: left[j] + right[m - j])
-        return _matches(p[:half], q[:cut]) + [(half + i, cut + j) for i, j in _matches(p[half:], q[cut:])]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in reversed(range(n)):
-        for j in reversed(range(m)):
-            best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < n and j < m:
-        if p[i] == q[j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return pairs
+    half = len(p) // 2
+    left, right = _lengths(p[:half], q), _lengths(p[half:][::-1], q[::-1])
+    cut = max(range(len(q) + 1), key=lambda j: left[j] + right[len(q) - j])
+    return _matches(p[:half], q[:cut]) + [(half + i, cut + j) for i, j in _matches(p[half:], q[cut:])]
 
 
 def align(a: list, b: list) -> list:
@@ -259,6 +246,23 @@ def align(a: list, b: list) -> list:
     return _grouped(out)
 
 
+def _below(items: list) -> set[str]:
+    """The cores of an element's own items, groups opened."""
+    out: set[str] = set()
+    for x in items:
+        out |= _below(x[1]) if x[0] in "+?" else {_core(x)}
+    return out
+
+
+def _alike(a: list, b: list) -> bool:
+    """Whether two items of one core can repeat each other: elements that share
+    more than half of what they hold."""
+    if a[0] != "e" or b[0] != "e":
+        return True
+    p, q = _below(a[2]), _below(b[2])
+    return p == q or 2 * len(p & q) > max(len(p), len(q))
+
+
 def _grouped(items: list) -> list:
     """Neighbours that repeat, alone or in twos and threes, as repeated groups."""
     for period in (1, 2, 3):
@@ -269,7 +273,7 @@ def _grouped(items: list) -> list:
         while at < len(items):
             cores, end, body = names[at : at + period], at + period, items[at : at + period]
             if len(cores) == period and (period == 1 or len(set(cores)) > 1) and cores != ["#"]:
-                while names[end : end + period] == cores:
+                while names[end : end + period] == cores and all(map(_alike, body, items[end : end + period])):
                     body = [_joined(x, y) for x, y in zip(body, items[end : end + period])]
                     end += period
             if end > at + period:
@@ -285,7 +289,45 @@ def _grouped(items: list) -> list:
 
 def expression(items: list) -> list:
     """The expression of one page: texts as short marks, repeats as groups."""
-    return _grouped([["#", zlib.crc32(x[1].encode("utf-8", "surrogatepass"))] if x[0] == "#" else ["e", x[1], expression(x[2])] for x in items])
+    return _grouped([["#", zlib.crc32(x[1].encode("utf-8", "surrogatepass")), len(x[1])] if x[0] == "#" else ["e", x[1], expression(x[2])] for x in items])
+
+
+class Plan:
+    """What the places of one level of a wrapper mean. cores: what an item must
+    share to match; loops: for each place the repeated groups around it, as
+    ranges; acts: for a text (whether it varies), for an element its plan, or
+    None if it goes; inside: whether the level is in an article."""
+
+    __slots__ = ("cores", "loops", "acts", "inside")
+
+    def __init__(self, inside: bool):
+        self.cores, self.loops, self.acts, self.inside = [], [], [], inside
+
+    def place(self, core: str, after: int) -> int:
+        """The place of the next item when the last one was at `after`: further
+        on in its groups, or at their start again, or anywhere; -1 if none."""
+        for low, high in self.loops[after] if after >= 0 else ():
+            for at in (*range(after + 1, high), *range(low, after + 1)):
+                if self.cores[at] == core:
+                    return at
+        for at in (*range(after + 1, len(self.cores)), *range(after + 1)):
+            if self.cores[at] == core:
+                return at
+        return -1
+
+
+def _mass(items: list) -> int:
+    """Characters of the texts, without what its tag takes out."""
+    total, waiting = 0, [items]
+    while waiting:
+        for x in waiting.pop():
+            if x[0] == "#":
+                total += x[2]
+            elif x[0] != "e":
+                waiting.append(x[1])
+            elif x[1].partition(".")[0] not in _AROUND:
+                waiting.append(x[2])
+    return total
 
 
 def _holds(items: list) -> bool:
@@ -302,61 +344,82 @@ def _holds(items: list) -> bool:
     return False
 
 
-def _kind(label: str, items: list, inside: bool) -> str:
-    """What an element means for its slots: "out", "in" (an article) or "".
-    Inside an article its own header is part of it, and an article may be a
-    comment."""
+def _goes(label: str, items: list, inside: bool, around: int) -> bool:
+    """Whether a place is none of the main text. An article's own header is part
+    of it, and an article in an article may be a comment. `around`: the
+    characters of the level that the place is on."""
     name, *names = label.split(".")
-    if name in _AROUND and not (name == "header" and inside):
-        return "out"
-    words = {w for w in map(_named, names) if w and not (w == "header" and inside)}
-    if words and name not in ("body", "main") and (inside or not (name == "article" or _holds(items))):
-        return "out"
-    return "in" if name in ("article", "main") else ""
-
-
-def template(wrapper: list, pages: int) -> dict:
-    """What extraction needs of a wrapper: whether it has an article, and the
-    paths whose text is on every one of several different pages and never varies."""
-    has, fixed, free = False, set(), set()
-
-    def walk(items: list, path: tuple, inside: bool, always: bool) -> None:
-        nonlocal has
-        for x in items:
-            if x[0] == "#":
-                (fixed if always and x[1] is not None else free).add(path)
-            elif x[0] == "e":
-                kind = _kind(x[1], x[2], inside)
-                if kind != "out":
-                    has = has or (kind == "in" and bool(x[2]))
-                    walk(x[2], (*path, x[1]), inside or kind == "in", always)
-            else:
-                walk(x[1], path, inside, always and x[0] == "+")
-
-    walk(wrapper, (), False, True)
-    return {"article": has, "fixed": fixed - free if pages >= PAGES and free else set()}
-
-
-def main_text(page: str | None, rules: dict) -> str:
-    out: list[str] = []
-    items = parse(page or "")
-
-    def walk(items: list, path: tuple, inside: bool, everywhere: bool, fixed: set) -> None:
-        for x in items:
-            if x[0] == "#":
-                if inside or (everywhere and path not in fixed):
-                    out.append(x[1])
-            else:
-                kind = _kind(x[1], x[2], inside)
-                if kind != "out":
-                    walk(x[2], (*path, x[1]), inside or kind == "in", everywhere, fixed)
-
-    walk(items, (), False, not rules["article"], rules["fixed"])
-    if not out and rules["article"]:  # a page without its host's article
-        walk(items, (), False, True, rules["fixed"])
-    if not out and not rules["article"]:  # a page of fixed texts only
-        walk(items, (), False, True, set())
-    return "\n".join(out)
+    if name in _AROUND:
+        return name != "header" or not inside
+    if name in ("body", "main") or not {w for w in map(_named, names) if w and not (w == "header" and inside)}:
+        return False
+    if not inside and (name == "article" or _holds(items)):
+        return False
+    return 10 * (around - _mass(items)) >= around
+
+
+def plan(wrapper: list, pages: int) -> tuple[Plan, bool]:
+    """The plan of a host's wrapper, and whether it has an article."""
+    article, varies = False, False
+
+    def level(items: list, inside: bool, always: bool) -> Plan:
+        out, around = Plan(inside), _mass(items)
+
+        def walk(items: list, loops: tuple, always: bool) -> None:
+            nonlocal article, varies
+            for x in items:
+                if x[0] in "+?":
+                    low = len(out.cores)
+                    walk(x[1], loops, always and x[0] == "+")
+                    if x[0] == "+":
+                        for at in range(low, len(out.cores)):
+                            out.loops[at] = (*out.loops[at], (low, len(out.cores)))
+                    continue
+                act = None
+                if x[0] == "#":
+                    act = x[1] is None or not always or pages < PAGES
+                    varies = varies or act
+                elif not _goes(x[1], x[2], inside, around):
+                    own = x[1].partition(".")[0] in ("article", "main")
+                    article = article or (own and _mass(x[2]) > 0)
+                    act = level(x[2], inside or own, always)
+                out.cores.append(_core(x))
+                out.loops.append(())
+                out.acts.append(act)
+
+        walk(items, (), always)
+        return out
+
+    return level(wrapper, False, True), article
+
+
+def main_text(page: str | None, rules: tuple[Plan, bool]) -> str:
+    """The page's texts at the places that the plan keeps. A page without its
+    host's article, or of template texts only, gives all texts of its places."""
+    items, (whole, article) = parse(page or ""), rules
+
+    def read(only_inside: bool, only_slots: bool) -> list[str]:
+        out: list[str] = []
+
+        def walk(items: list, level: Plan) -> None:
+            after = -1
+            for x in items:
+                core = "#" if x[0] == "#" else x[1]
+                at = level.place(core, after)
+                act = level.acts[at] if at >= 0 else True if x[0] == "#" else None
+                after = at if at >= 0 else after
+                if x[0] == "#":
+                    if level.inside or (not only_inside and (act or not only_slots)):
+                        out.append(x[1])
+                elif act is not None:
+                    walk(x[2], act)
+                elif at < 0:
+                    walk([x], plan(expression([x]), 1)[0])
+
+        walk(items, whole)
+        return out
+
+    return "\n".join(read(article, True) or read(False, True) or read(False, False))
 
 
 _WRAPPER = "host string, wrapper string, seen array<bigint>"
@@ -408,6 +471,8 @@ def infer(pages: DataFrame) -> DataFrame:
 
 #: Characters of wrappers that are sent to every executor at most.
 BROADCAST_CHARS = 8_000_000
+#: Characters of wrappers whose plans a Python worker keeps.
+KEPT_CHARS = 4_000_000
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -425,14 +490,17 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = hosted.join(F.broadcast(wrappers) if size <= BROADCAST_CHARS else wrappers, "host", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict] = {}
+        known: dict[str, tuple[Plan, bool]] = {}
+        size = 0
         for frame in frames:
             texts = []
             for host, page, wrapper, n in zip(frame["host"], frame["html"], frame["wrapper"], frame["pages"]):
                 if host not in known:
-                    if len(known) > 5000:
+                    if size > KEPT_CHARS:
                         known.clear()
-                    known[host] = template(json.loads(wrapper), n)
+                        size = 0
+                    known[host] = plan(json.loads(wrapper), n)
+                    size += len(wrapper)
                 texts.append(main_text(page, known[host]))
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

@@ -324,7 +324,7 @@ def test_wrappers(spark):
 def test_wrapper_expressions():
     a, b = (wrappers.expression(wrappers.parse(x)) for x in ("<h1>a</h1><p>x</p><p>y</p><div>k</div>", "<h1>b</h1><ul><li>1<li>2</ul><p>z</p><div>k</div>"))
     merged = json.dumps(wrappers.align(a, b))
-    assert '["?", [["e", "ul"' in merged and '["+", [["e", "p", [["#", null]]]]]' in merged and '["e", "h1", [["#", null]]]' in merged
+    assert '["?", [["e", "ul"' in merged and '["+", [["e", "p", [["#", null, 3]]]]]' in merged and '["e", "h1", [["#", null, 2]]]' in merged
     assert wrappers.align(a, a) == a
 
 
@@ -356,22 +356,44 @@ def test_wrapper_class_names(spark):
     assert [got[i] for i in range(len(pages))] == list(pages.values())
 
 
-def test_wrapper_alignment_of_any_size(monkeypatch):
+def test_wrapper_alignment_of_any_size():
+    def length(p, q):
+        row = [0] * (len(q) + 1)
+        for x in p:
+            last, row = row, [0]
+            for j, y in enumerate(q):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
     rng = np.random.default_rng(1)
-    for n, m, kinds in ((40, 60, 3), (90, 70, 30), (1, 50, 2), (64, 64, 1), (130, 140, 400)):
+    for n, m, kinds in ((40, 60, 3), (90, 70, 30), (1, 50, 2), (64, 64, 1), (130, 140, 400), (3000, 2500, 40)):
         p, q = ([str(k) for k in rng.integers(0, kinds, size)] for size in (n, m))
-        monkeypatch.setattr(wrappers, "CELLS", 4_000_000)
-        whole = wrappers._matches(p, q)
-        for cells in (0, 50, 500):
-            monkeypatch.setattr(wrappers, "CELLS", cells)
-            found = wrappers._matches(p, q)
-            assert len(found) == len(whole) and all(p[i] == q[j] for i, j in found)
-            assert all(i < k and j < h for (i, j), (k, h) in zip(found, found[1:]))
-    monkeypatch.setattr(wrappers, "CELLS", 4)
+        found = wrappers._matches(p, q)
+        assert all(p[i] == q[j] for i, j in found) and all(i < k and j < h for (i, j), (k, h) in zip(found, found[1:]))
+        assert n * m > 100_000 or len(found) == length(p, q)
     a, b = (wrappers.expression(wrappers.parse("".join(f"<{t}>{t}</{t}>" for t in tags))) for tags in ("h1 p h2 h3 ul".split(), "h4 p h5 h3 ol".split()))
     assert [x[1] for x in wrappers.align(a, b) if x[0] == "e"] == ["p", "h3"]
 
 
+def test_wrapper_decides(spark):
+    """Places without telling tags or names: the expression alone says what varies."""
+
+    def page(i, promo=""):
+        return f"<body><div><div>The Site</div></div>{promo}<div><h1>Title {i}</h1>{''.join(f'<p>part {i} {j}</p>' for j in range(1 + i % 3))}</div><div><p>All rights reserved</p></div></body>"
+
+    rows = [(i, f"http://plain/{i}", page(i, "<table><tr><td>Only here</table>" if i == 4 else "")) for i in range(6)]
+    rows += [(10 + i, f"http://promo/{i}", f"<article class='comment-free'><p id='share'>text {i}</p><h1 id='search-engines'>head</h1><div class='comments'><p>a comment {i}</p></div></article>") for i in range(3)]
+    rows += [(20 + i, f"http://named/{i}", f"<div class='search'><h1>t {i}</h1><p>{'word ' * 40}{i}</p></div><p>x</p>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    for i in range(6):
+        assert got[i] == "\n".join([*(["Only here"] if i == 4 else []), f"Title {i}", *(f"part {i} {j}" for j in range(1 + i % 3))])
+        constant = wrappers.plan([["e", "article", []]], 1)
+        assert wrappers.main_text(page(i), constant) != got[i]
+    assert all(got[10 + i] == f"text {i}\nhead" for i in range(3))
+    assert all(got[20 + i].startswith(f"t {i}\nword ") for i in range(3))
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "", None, "[\\INST] \\", " x ", "[/ROLE][:] [SYS]", "plain", "[", "\\</s>"]
     rows = [(c, t, role, said[(c + t) % len(said)], "x") for c in range(6) for t, role in enumerate(["system", "user", "assistant", "tool [:] a", None, "user", "assistant"])]
