@@ -3,19 +3,19 @@
 Every stage but the last returns the columns of `documents`; each works on all
 rows that the stage before it kept. A verdict is tied to a row by its id and a
 hash of its text, so rows that repeat an id, or have none, are judged by their
-own text; equal rows have equal verdicts.
+own text; equal rows have equal verdicts. Null and empty texts fail the quality
+rules; an empty table gives no rows; other columns go through unchanged.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefolio.llm import language, packing, pii, quality_rules, queries, simhash
-from lakefolio.llm.common import bounded_batches, held_out, settle
+from lakefolio.llm.common import bounded_batches, held_out, settle, shared_folder
 
 #: A language is certain enough at this score; 0.5 is two languages at a tie.
 LANGUAGE_SCORE = 0.51
@@ -24,8 +24,8 @@ BROADCAST_KEYS = 500_000
 
 
 def _key() -> Column:
-    """Sorts as the id does (for ids from 0), rows without one last."""
-    number = F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), 20, "0")
+    """Sorts as the id does, rows without one last."""
+    number = F.lpad(F.coalesce((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), F.lit("~")), 20, "0")
     return F.concat_ws("|", number, F.xxhash64("text").cast("string"))
 
 
@@ -90,8 +90,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what one returns is written as Parquet for the next, in the
     folder of spark.checkpoint.dir."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder, docs = f"{shared.rstrip('/')}/{uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder, docs = f"{shared_folder(spark).rstrip('/')}/{uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}_{name}")
         docs = spark.read.parquet(f"{folder}/{number}_{name}")

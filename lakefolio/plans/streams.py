@@ -26,7 +26,8 @@ WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
   b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS batch FROM s)
 SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM b GROUP BY user_id, batch""")
 def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
-    out = flows.drain(flows.batches(_events(spark, folder), "user_id", "ts"), "complete")
+    whole = flows.ended(_events(spark, folder), "ts")
+    out = flows.drain(flows.batches(whole, "user_id", "ts")).filter(F.col("start") < F.lit(flows.END))
     return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
 
 

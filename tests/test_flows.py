@@ -45,3 +45,21 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "user_id long, ts timestamp").write.parquet(f"{tmp_path}/t.parquet")
     stream = flows.source(spark, f"{tmp_path}/t.parquet")
     assert flows.drain(flows.throttle(stream, "user_id", "ts")).count() == 0
+
+
+def test_throttle_state_ends_with_the_window(spark, tmp_path):
+    """A window that the watermark has passed leaves no state behind."""
+    begin = dt.datetime(2024, 1, 1)
+    for n in range(3):  # one file a day
+        rows = [(1 + n, begin + dt.timedelta(days=n, seconds=60 * k)) for k in range(6)]
+        spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/t.parquet")
+    run = flows.throttle(stream, "user_id", "ts").writeStream.format("memory").queryName("locks").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert spark.table("locks").count() == 3
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+def test_path_with_a_slash_at_its_end(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/b/t.parquet")
+    assert flows.drain(flows.source(spark, f"{tmp_path}/b/t.parquet/")).count() == 3
