@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import archive, content, extraction, intake, review, streams
+from . import archive, content, extraction, intake, review, similar, streams
 from .book import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_bm25"
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "archive", "content", "extraction", "intake", "review", "streams"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "archive", "content", "extraction", "intake", "review", "similar", "streams"]
