@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.settled import settle, shared_folder
+from ..operators.skew import hot_keys, lookup
 
 __all__ = ["BATCH_BYTES", "SPACE", "WORD", "bounded_batches", "held_out", "hot_keys", "lookup", "settle", "shared_folder", "table"]
 
@@ -20,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
-    """Inner join with a `table` that has each key once; no key of `rows` is hot.
-
-    A key is hot with more rows than a hundred-thousandth of them, and 1,000 at
-    least, so there are fewer than 100,000 hot keys however many rows there are:
-    they are broadcast, and only the other keys meet in a shuffle. `hot` (the key
-    column alone) is for callers that have counted already.
-    """
-    if hot is None:
-        hot = settle(hot_keys(rows.groupBy(key).agg(F.count("*").alias("copies")), rows.count()).select(key))
-        if hot.isEmpty():
-            return rows.join(table, key)
-    few = table.join(F.broadcast(hot), key)
-    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
-
-
-def hot_keys(counted: DataFrame, total: int) -> DataFrame:
-    """The rows of `counted` whose `copies` make a key hot; see `lookup`."""
-    return counted.filter(F.col("copies") > max(1000, total // 100_000))
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Let the session send texts to Python in Arrow batches of few bytes.
 

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import hot_keys, lookup, settle
 
 #: Largest number of fingerprints of one key that are compared in one step.
@@ -258,27 +259,6 @@ def links(points: DataFrame, bits: int = MAX_BITS, run: int = RUN) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of `edges`: the smallest node that each reaches.
-
-    Minimum label propagation with pointer jumping: labels travel one link a
-    round and twice as far by the jump, each round is written to the shared
-    checkpoint folder, and nothing but the number of changes reaches the driver.
-    """
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    hubs = settle(hot_keys(both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("copies")), both.count()).select("b"))
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        heard = lookup(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        nearer = settle(labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")))
-        above = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = settle(lookup(nearer, above, "root").select("node", "old", F.least("root", "top").alias("root")))
-        still = jumped.filter("old <> root").isEmpty()
-        labels = jumped.select("node", "root")
-        if still:
-            return labels
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id.
 
