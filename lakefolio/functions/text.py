@@ -23,6 +23,16 @@ def fold(text: Column) -> Column:
     return out
 
 
+#: Letters with marks, and the letters without.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīįńňōőřśşšťūůűźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegiinnoorssstuuuzzz"
+
+
+def without_accents(text: Column) -> Column:
+    """Small letters without their marks, one for one."""
+    return F.translate(text, ACCENTED, PLAIN)
+
+
 def words(text: Column) -> Column:
     """Runs of 2 to 40 letters and digits, in lower case."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)

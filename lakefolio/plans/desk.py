@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import desk, tree
+from ..operators import desk
 from ..sources.tables import scan
 from .book import query
 
@@ -60,16 +60,13 @@ def unfiled_with_tags(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH {_DOCS}, up AS (SELECT n_nationkey AS folder, n_regionkey + 100 AS up FROM nation UNION SELECT n_nationkey, n_nationkey FROM nation)
-SELECT doc_id, row_number() OVER (ORDER BY day NULLS LAST, uploaded_at, doc_id) AS place FROM docs WHERE deleted_at IS NULL AND folder IN (SELECT folder FROM up WHERE up = 101) AND doc_id NOT IN (1, 2, 3, 7, 32, 33, 34, 35)""")
+SELECT doc_id, folder, day FROM docs WHERE deleted_at IS NULL AND folder IN (SELECT folder FROM up WHERE up = 101) AND doc_id NOT IN (1, 2, 3, 7, 32, 33, 34, 35)""")
 def scope_of_folder(spark: SparkSession, folder: str) -> DataFrame:
     """A region's folder with the nations below it, without some documents."""
     nations = scan(spark, folder, "nation").select(F.col("n_nationkey").alias("folder"), (F.col("n_regionkey") + 100).alias("up"))
     closure = nations.union(nations.select("folder", F.col("folder").alias("up")))
     out = desk.scope(_docs(spark, folder), closure, folder=101, excluded=(1, 2, 3, 7, 32, 33, 34, 35))
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.asc_nulls_last("day"), "uploaded_at", "doc_id")
-    return out.select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    return out.orderBy(F.asc_nulls_last("day"), "uploaded_at", "doc_id").select("doc_id", "folder", "day")
 
 
 @query("""
@@ -81,8 +78,6 @@ WITH p AS (SELECT l_orderkey AS doc_id, list(struct_pack(number := n, ink := CAS
 SELECT doc_id, CAST(len(blank) AS INTEGER) AS blanks, array_to_string(shown, ',') AS shown, shown <> CAST(generate_series(1, count) AS INTEGER[]) AS enhanced FROM v""")
 def page_views(spark: SparkSession, folder: str) -> DataFrame:
     """Blank pages by ink and text, stored orders, the pages shown."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     chars = F.when(F.col("l_tax") < 0.03, 0).otherwise(F.col("l_quantity").cast("int")).alias("chars")
     lines = scan(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct(F.row_number().over(order).alias("number"), F.col("l_discount").cast("double").alias("ink"), chars).alias("page"))
