@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .settled import settle
 
 ALPHA = 0.5
 
@@ -18,22 +19,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts by (class, word), and by class: documents, tokens, vocabulary, share.
     Classes of one document are dropped; their words stay in the vocabulary."""
     seen = features(docs).join(labels.select("doc_id", F.col("label").alias("class")), "doc_id")
-    counts = seen.groupBy("class", "word").agg(F.count("*").alias("n"))
+    counts = settle(seen.groupBy("class", "word").agg(F.count("*").alias("n")))
     sizes = labels.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("docs")).filter("docs >= 2")
     tokens = counts.groupBy("class").agg(F.sum("n").alias("tokens"))
     vocabulary = counts.agg(F.countDistinct("word").alias("vocabulary"))
     share = F.col("docs") / F.sum("docs").over(Window.partitionBy())
     classes = sizes.join(tokens, "class").crossJoin(F.broadcast(vocabulary)).withColumn("share", share)
-    return counts, classes
+    return counts, settle(classes)
+
+
+#: (class, word) weights that are broadcast at most; more meet their words in a shuffle.
+BROADCAST_WEIGHTS = 2_000_000
+
+
+def lookup_words(words: DataFrame, weights: DataFrame) -> DataFrame:
+    """(doc_id, class, more) of the words that have weights."""
+    rows = words.select("doc_id", F.explode("words").alias("word"))
+    few = weights.count() <= BROADCAST_WEIGHTS
+    return rows.join(F.broadcast(weights) if few else weights, "word").select("doc_id", "class", "more")
 
 
 def predict(docs: DataFrame, counts: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id, class, log_odds): the likeliest class, by its margin over the mean."""
-    words = features(docs)
+    words = docs.select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("words"))
     weight = lambda n: F.log((n + ALPHA) / (F.col("tokens") + ALPHA * (F.col("vocabulary") + 1)))
     weights = counts.join(F.broadcast(classes), "class").select("class", "word", (weight(F.col("n")) - weight(F.lit(0))).alias("more"))
-    known = words.join(weights, "word").groupBy("doc_id", "class").agg(F.sum("more").alias("more"))
-    sizes = words.groupBy("doc_id").agg(F.count("*").alias("words")).crossJoin(F.broadcast(classes))
+    known = lookup_words(words, weights).groupBy("doc_id", "class").agg(F.sum("more").alias("more"))
+    sizes = words.filter(F.size("words") > 0).select("doc_id", F.size("words").alias("words")).crossJoin(F.broadcast(classes))
     score = F.log("share") + F.col("words") * weight(F.lit(0)) + F.coalesce("more", F.lit(0.0))
     scored = sizes.join(known, ["doc_id", "class"], "left").select("doc_id", "class", score.alias("score"))
     return scored.groupBy("doc_id").agg(F.max_by("class", F.struct("score", "class")).alias("class"), F.round(F.max("score"), 4).alias("score"))

@@ -1,8 +1,9 @@
 """Full-text search with BM25 over words, prefixes and compound tails.
 
-A query reads the text once: matches are counted inside each row, the document
-frequencies and the average length are one aggregate row, and ranking is a
-top-k; no posting is shuffled.
+A query reads the text once: matches are counted inside each row by patterns and
+written (a few numbers a document); the document frequencies and the average
+length are one aggregate row of those, and ranking is a top-k; no posting is
+shuffled.
 """
 
 from __future__ import annotations
@@ -11,21 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .settled import settle
 
 K1, B = 1.2, 0.6
 # The weights of a whole word, a compound tail and a prefix.
 WEIGHTS = {"W": 1.0, "X": 0.7, "P": 0.5}
 
 
-def matches(words: Column, query: str) -> dict[str, Column]:
-    """How many words match as a whole, as a tail and as a prefix."""
-    n, count = len(query), lambda test: F.size(F.filter(words, test))
-    out = {"W": count(lambda w: w == query)}
-    if n >= 4:
-        out["X"] = count(lambda w: w.endswith(query) & (F.length(w) >= max(8, n + 3)))
+_LETTER = r"[\p{L}\p{N}]"
+_START, _END = rf"(?<!{_LETTER})", rf"(?!{_LETTER})"
+
+
+def matches(text: Column, query: str) -> dict[str, Column]:
+    """How many words of 2 to 40 letters match as a whole, as a tail and as a
+    prefix. `text` is in small letters; texts without the query's letters are
+    passed over."""
+    n, word = len(query), rf"\Q{query}\E"
+    kinds = {"W": rf"{_START}{word}{_END}"} if 2 <= n <= 40 else {}
+    if 4 <= n <= 37:
+        kinds["X"] = rf"{_START}{_LETTER}{{{max(8 - n, 3)},{40 - n}}}{word}{_END}"
     if 3 <= n <= 15:
-        out["P"] = count(lambda w: w.startswith(query) & (F.length(w) > n))
-    return out
+        kinds["P"] = rf"{_START}{word}{_LETTER}{{1,{40 - n}}}{_END}"
+    return {kind: F.when(text.contains(query), F.regexp_count(text, F.lit(pattern))).otherwise(0) for kind, pattern in kinds.items()}
 
 
 def search(docs: DataFrame, query: list[str], candidates: Column | None = None, limit: int = 50) -> DataFrame:
@@ -33,9 +41,10 @@ def search(docs: DataFrame, query: list[str], candidates: Column | None = None,
 
     Frequencies are counted over the candidates, lengths over all documents.
     """
-    words = docs.select("doc_id", T.words("text").alias("words"), (candidates if candidates is not None else F.lit(True)).alias("candidate"))
-    terms = {f"{kind}{i}": tf for i, q in enumerate(query) for kind, tf in matches(F.col("words"), q).items()}
-    rows = words.select("doc_id", "candidate", F.greatest(F.size("words"), F.lit(1)).alias("len"), *(tf.alias(k) for k, tf in terms.items()))
+    low = docs.select("doc_id", F.coalesce(F.lower("text"), F.lit("")).alias("low"), (candidates if candidates is not None else F.lit(True)).alias("candidate"))
+    terms = {f"{kind}{i}": tf for i, q in enumerate(query) for kind, tf in matches(F.col("low"), q).items()}
+    length = F.regexp_count("low", F.lit(rf"{_LETTER}{{2,}}+")) - F.regexp_count("low", F.lit(rf"{_LETTER}{{41,}}+"))
+    rows = settle(low.select("doc_id", "candidate", F.greatest(length, F.lit(1)).alias("len"), *(tf.alias(k) for k, tf in terms.items())))
     hit = {i: F.expr(" OR ".join(f"{k} > 0" for k in terms if k[1:] == str(i))) for i in range(len(query))}
     stats = rows.agg(
         F.count("*").alias("n"), F.avg("len").alias("avglen"), *(F.count_if(hit[i] & F.col("candidate")).alias(f"df{i}") for i in hit)
