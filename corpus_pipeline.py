@@ -25,7 +25,7 @@ BROADCAST_KEYS = 500_000
 
 def _key() -> Column:
     """Sorts as the id does, rows without one last."""
-    number = F.lpad(F.coalesce((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), F.lit("~")), 20, "0")
+    number = F.lpad(F.coalesce((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), F.lit("~")), 20, "0")
     return F.concat_ws("|", number, F.xxhash64("text").cast("string"))
 
 
