@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 from .words import Cutter, WordEncoder, byte_letters, in_slices, specification
 
 _NONE = np.int64(1) << 60
@@ -205,5 +205,5 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, schema: s
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((docs, *zip(*rows)), kind)], schema=kind)
 
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(run, f"id string, {schema}")
+    out = texts.mapInArrow(trimmed(run), f"id string, {schema}")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *names)

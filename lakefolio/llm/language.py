@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle, trimmed
+
 UNKNOWN = "und"
 #: The share of a language's n-grams from which an n-gram is common in it.
 SHARE = 2e-5
@@ -205,15 +207,13 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
             yield out(lang)
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInPandas(run, "lang string, gram long, n long")
+    counted = rows.mapInPandas(trimmed(run), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", share: float = SHARE) -> LanguageFilter:
     """A filter of all n-grams and languages of `docs`; languages whose texts
     have no letter are none. The driver gets the names and the filter's bytes."""
-    from .common import settle
-
     counted = settle(gram_counts(docs, lang_col, text_col))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()
     languages = [r.lang for r in totals]
@@ -260,5 +260,5 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
             yield pd.DataFrame({"id": frame["id"], "lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, "id string, lang_pred string, score double")
+    out = rows.mapInPandas(trimmed(run), "id string, lang_pred string, score double")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "lang_pred", "score")

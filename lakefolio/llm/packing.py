@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, settle
+from .common import bounded_batches, settle, trimmed
 from .words import Cutter, WordEncoder, byte_letters, in_slices
 
 _PIECES = "id string, piece int, start long, length long, ids_crc32 long"
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(run, _PIECES)
+    out = texts.mapInArrow(trimmed(run), _PIECES)
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "piece", "start", "length", "ids_crc32")
 
 

@@ -36,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 # Letters that are replaced by each other.
 _CLASSES = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûüýÿ", "ñçßæœøšžčćđłńśźż",
@@ -124,7 +126,7 @@ class Surrogates:
 
     def __init__(self, key: bytes):
         self.key = key
-        self.of = lru_cache(100_000)(self._of)
+        self.of = lru_cache(20_000)(self._of)
 
     def _round(self, tweak: bytes, n: int, x: int) -> int:
         data = tweak + bytes([n]) + x.to_bytes((x.bit_length() + 7) // 8 or 1, "big")
@@ -336,7 +338,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*batch.schema.names, spans_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{spans_col}` {_SPANS}")
+    return docs.mapInArrow(trimmed(run), f"{fields}, `{spans_col}` {_SPANS}")
 
 
 def collisions(originals: DataFrame, key: bytes) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import hot_keys, lookup, settle
+from .common import hot_keys, lookup, settle, trimmed
 
 #: Largest number of fingerprints of one key that are compared in one step.
 RUN = 4096
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"id": frame["id"], "fp": np.frombuffer(values, ">i8").astype("int64")})
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, "id string, fp long")
+    out = rows.mapInPandas(trimmed(run), "id string, fp long")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "fp")
 
 

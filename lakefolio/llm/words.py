@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 
 #: Words, and pre-tokens, whose ids a Python worker keeps.
-KEPT = 64_000
+KEPT = 32_000
 #: Characters of text that are encoded together.
 BATCH_CHARS = 1_000_000
 
@@ -51,7 +51,9 @@ class Cutter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        file, library = specification(path), Tokenizer.from_file(path)
+        file = specification(path)
+        model = {**file["model"], "vocab": {}, "merges": []}  # the rules of cutting need no vocabulary
+        library = Tokenizer.from_str(json.dumps({**file, "model": model, "added_tokens": []}))
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.found = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.separators, self.odd = regex.compile(r"[\x1c-\x1f]"), regex.compile(f"[^{STABLE}]")
