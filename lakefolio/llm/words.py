@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 
 #: Words, and pre-tokens, whose ids a Python worker keeps.
-KEPT = 32_000
+KEPT = 64_000
 #: Characters of text that are encoded together.
 BATCH_CHARS = 1_000_000
 
