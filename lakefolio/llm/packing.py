@@ -14,6 +14,7 @@ sequence or two a group.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from math import ceil
@@ -34,7 +35,7 @@ _PIECES = "id string, piece int, start long, length long, ids_crc32 long"
 def _library_encoder(path: str) -> WordEncoder:
     from tokenizers import Tokenizer
 
-    cutter, model = Cutter(path), Tokenizer.from_file(path).model
+    cutter, tokenize = Cutter(path), Tokenizer.from_file(path).model.tokenize
     letters = byte_letters()
     ascii_letters = {c for c in letters if c.isascii()}
 
@@ -44,7 +45,7 @@ def _library_encoder(path: str) -> WordEncoder:
         for part in parts:
             if not ascii_letters.issuperset(part):
                 part = "".join([letters[b] for b in part.encode("utf-8", "surrogatepass")])
-            out.append(np.array([t.id for t in model.tokenize(part)], "<u4").tobytes())
+            out.append(array("I", [t.id for t in tokenize(part)]).tobytes())
         return out
 
     return WordEncoder(cutter, encode)

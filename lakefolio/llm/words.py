@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 
 #: Words, and pre-tokens, whose ids a Python worker keeps.
-KEPT = 64_000
+KEPT = 128_000
 #: Characters of text that are encoded together.
 BATCH_CHARS = 1_000_000
 
@@ -102,20 +102,18 @@ class WordEncoder:
         yield from self._batch(some)
 
     def _batch(self, some: list[list[str]]) -> Iterator[bytes]:
-        found = [list(map(self.words.get, text)) for text in some]
-        new = list({w for text, ids in zip(some, found) for w, i in zip(text, ids) if i is None})
-        cut = list(map(self.cutter.parts, new))
+        new = list(set().union(*some).difference(self.words))
+        cut = [[w] if w.isascii() and w.isalpha() and w.islower() else self.cutter.parts(w) for w in new]
         parts = list(set().union(*cut).difference(self.parts))
         self.parts.update(zip(parts, self.encode(parts)))
         ids = self.parts.__getitem__
-        added = dict(zip(new, [b"".join(map(ids, p)) for p in cut]))
-        for text, ids in zip(some, found):
-            yield b"".join([added[w] if i is None else i for w, i in zip(text, ids)])
-        if len(self.words) < self.kept:
-            self.words.update(added)
-        if len(self.parts) > self.kept:
-            for part in parts:
-                del self.parts[part]
+        self.words.update(zip(new, [ids(p[0]) if len(p) == 1 else b"".join(map(ids, p)) for p in cut]))
+        for text in some:
+            yield b"".join(map(self.words.__getitem__, text))
+        for known, added in ((self.words, new), (self.parts, parts)):
+            if len(known) > self.kept:
+                for key in added:
+                    del known[key]
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[list, list]]:
