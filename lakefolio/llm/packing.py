@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, settle, trimmed
-from .words import Cutter, WordEncoder, byte_letters, in_slices
+from .words import KEPT, Cutter, WordEncoder, byte_letters, in_slices
 
 _PIECES = "id string, piece int, start long, length long, ids_crc32 long"
 
 
 @cache
-def _library_encoder(path: str) -> WordEncoder:
+def _library_encoder(path: str, kept: int = KEPT) -> WordEncoder:
     from tokenizers import Tokenizer
 
     cutter, tokenize = Cutter(path), Tokenizer.from_file(path).model.tokenize
@@ -48,21 +48,22 @@ def _library_encoder(path: str) -> WordEncoder:
             out.append(array("I", [t.id for t in tokenize(part)]).tobytes())
         return out
 
-    return WordEncoder(cutter, encode)
+    return WordEncoder(cutter, encode, kept)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document's pieces.
 
     A document is its ids and `end_id`; only one longer than `capacity` is cut.
-    Null texts are empty: one piece that holds `end_id` alone.
+    Null texts are empty: one piece that holds `end_id` alone. A worker keeps the
+    ids of about `kept` words: fewer take less memory and more time.
     """
     bounded_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
     kind = pa.schema([("id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _library_encoder(tokenizer)
+        encoder = _library_encoder(tokenizer, kept)
         for docs, texts in in_slices(batches):
             rows = []
             for doc, ids in zip(docs, encoder.texts(texts)):
@@ -130,8 +131,8 @@ def pack(rows: DataFrame, groups: int, capacity: int = 2048, max_docs: int = 204
     return full.unionByName(rest.groupBy("group").applyInPandas(run, schema))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_rows: int = 32768, id_col: str = "doc_id", **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_rows: int = 32768, id_col: str = "doc_id", kept: int = KEPT, **options) -> DataFrame:
     """Tokenises and packs whole documents; see `pieces` and `pack`. An empty
     table gives an empty result; columns beside id and text are ignored."""
     groups = max(1, ceil(docs.count() / group_rows))
-    return pack(pieces(docs, tokenizer, capacity, id_col=id_col), groups, capacity, id_col=id_col, **options)
+    return pack(pieces(docs, tokenizer, capacity, id_col=id_col, kept=kept), groups, capacity, id_col=id_col, **options)

@@ -74,3 +74,13 @@ def test_pieces_have_the_library_s_ids(spark, library):
             assert (r.start, r.length, r.ids_crc32) == (low // 4, len(part) // 4, zlib.crc32(part))
             n += 1
     assert n == len(got)
+
+
+def test_few_kept_words_give_the_same_ids(library):
+    texts = [f"alpha beta{n % 7} gamma, {'x' * (n % 5)} 中文 <|endoftext|> w{n}" for n in range(300)] + ["", None, "alpha"]
+    for kept in (0, 3, 1000):
+        encoder = packing._library_encoder(PATH, kept)
+        for low in range(0, len(texts), 50):
+            some = texts[low : low + 50]
+            assert list(encoder.texts(some)) == [raw(library, t or "") for t in some]
+        assert len(encoder.words) <= kept + 1 and len(encoder.parts) <= max(kept, len(encoder.cutter.special))
