@@ -21,6 +21,8 @@ from lakefolio.llm.common import bounded_batches, held_out, settle, shared_folde
 LANGUAGE_SCORE = 0.51
 #: Keys (about 50 bytes each) that are broadcast at most; more meet in a shuffle.
 BROADCAST_KEYS = 500_000
+#: Words a worker keeps while packing, fewer than by default: it has other stages' memory too.
+KEPT_WORDS = 32_000
 
 
 def _key() -> Column:
@@ -71,7 +73,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in training sequences."""
-    return packing.pack_documents(docs, queries.tokenizer())
+    return packing.pack_documents(docs, queries.tokenizer(), kept=KEPT_WORDS)
 
 
 STAGES = [
