@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, packing, pii, quality_model, quality_rules, simhash, topk, wrappers
+from . import bpe, chat, language, packing, pii, quality_model, quality_rules, simhash, spelling, topk, toxicity, whitening, wrappers
 from .common import held_out, table
 
 #: The key of the surrogates. A deployment passes its own secret.
@@ -66,6 +66,18 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +88,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ball_tree_topk, op2_best_fit_packing, op3_pii_surrogates, op4_rule_ensemble, op5_language_bitmasks, op6_simhash_pivots,
-        op7_segment_tree_bpe, op8_wrapper_extraction, op9_chat_round_trip, op10_weak_supervision, pipeline,
+        op7_segment_tree_bpe, op8_wrapper_extraction, op9_chat_round_trip, op10_weak_supervision, op11_spelling_variants,
+        op12_toxicity_machine, op13_exact_whitening, pipeline,
     )
 }
 
