@@ -3,9 +3,15 @@
 A surrogate keeps the format of what it replaces: every letter and digit of any
 script goes to one of its class (digit, hexadecimal digit, vowel, consonant,
 accented letter; of its script and case), literal characters stay, a card number that passes the Luhn
-test passes it again, an IBAN keeps its country and gets right check digits, an
-address in a reserved range stays in one, a given name of the list becomes one
-of the same gender and script.
+test passes it again (other long numbers are no cards and stay), an IBAN keeps
+its country and gets right check digits, an IP address of a private or reserved
+network stays in that network, a MAC address keeps its maker, a key keeps the
+prefix that tells its kind, a given name of the list becomes one of the same
+gender and script.
+
+Detection is linear in the text, whatever it holds: every pattern begins at a
+boundary and has bounded or possessive parts, an address is read from its @
+outwards, and mentions of found persons are looked up token by token.
 
 Within a type and format the mapping is a keyed permutation without fixed
 points: g^-1(g(x) + 1), g a Feistel network on the numbers that the format can
@@ -24,6 +30,7 @@ that two entities of a corpus share (none).
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import string
 import sys
 import unicodedata
@@ -54,31 +61,52 @@ _NAMES = {
 }
 _TITLES = {"m": "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Господин|Κύριος", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Госпожа|Κυρία"}
 
+# Private and reserved networks.
+_NETWORKS = [ipaddress.ip_network(n) for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4".split()]
 _HEX = "0123456789abcdef"
 _OF_CLASS = {c: (n, i) for n, some in enumerate(_CLASSES) for i, c in enumerate(some)}
 # Telephone country codes of one and two digits; all others have three.
 _COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _PLACE = r"(?<![\p{L}\p{N}_])"
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:['’-]\p{Lu}[\p{Ll}\p{M}]+)*"
+# Particles of names.
+_PARTICLES = "al|af|av|bin|da|de|del|della|den|der|des|di|do|dos|du|el|ibn|la|las|le|los|ten|ter|van|von|zu|zum|zur"
+_SMALL = frozenset(_PARTICLES.split("|"))
+_PART = r"(?:\p{Lu}[\p{L}\p{M}]{1,39}+|\p{Lu}(?=['’]))(?:['’-](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]{0,39}+){0,3}+(?![\p{L}\p{M}])"
+_NAME = rf"(?:(?:{_PARTICLES})[ ]){{0,3}}+{_PART}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_SECRETS = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]"
+_SECRETS = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s*+[=:]"
+#: Prefixes that tell what a key is of: they stay.
+_KEYS = r"AKIA(?=[0-9A-Z]{16}\b)|gh[pousr]_(?=[A-Za-z0-9]{20})|sk-(?=[A-Za-z0-9_-]{20})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[0-9A-Za-z_-]{30})|[Bb]earer[ ](?=[A-Za-z0-9._~+/-]{16})|eyJ(?=[A-Za-z0-9_-]{8,512}\.eyJ)"
 _FIND = regex.compile(
-    rf"""(?P<email>[\p{{L}}\p{{M}}\p{{N}}_.+%-]+@[\p{{L}}\p{{M}}\p{{N}}-]+(?:\.[\p{{L}}\p{{M}}\p{{N}}-]+)+)
-    |{_SECRETS}\s*["']?(?P<secret>[A-Za-z0-9+/_-]{{16,}})
+    rf"""{_SECRETS}\s*+["']?(?P<secret>[A-Za-z0-9+/_-]{{16,}}+)
+    |(?i:password|passwd|pwd)\s*+[=:]\s*+["']?(?P<password>(?=[^\s0-9]{{0,15}}[0-9])[A-Za-z0-9+/_!\#$%&*.-]{{6,15}}+)
+    |(?<![\p{{L}}\p{{N}}_-])(?:{_KEYS})(?P<api_key>[A-Za-z0-9._~+/-]++)
     |(?P<iban>{_PLACE}[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
+    |(?P<mac>(?<![\p{{L}}\p{{N}}_:-])[0-9A-Fa-f]{{2}}(?P<dash>[:-])[0-9A-Fa-f]{{2}}(?:(?P=dash)[0-9A-Fa-f]{{2}}){{4}}(?![\p{{L}}\p{{N}}_:-]))
+    |(?P<ip6>(?<![\p{{L}}\p{{N}}_:.])(?=[0-9A-Fa-f]{{0,4}}:)[0-9A-Fa-f:]{{8,39}}+(?![\p{{L}}\p{{N}}_:]))
     |(?P<phone>(?<![\p{{L}}\p{{N}}])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:[ .-]?[0-9]{{2,5}}){{1,4}}(?![0-9])
       |(?<![0-9])\([0-9]{{3}}\)\ ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])
       |(?<![\p{{L}}\p{{N}}_])(?<![0-9][ .,/-])(?:1[ .-])?[0-9]{{3}}(?P<between>[ .-])[0-9]{{3}}(?P=between)[0-9]{{4}}(?![\p{{L}}\p{{N}}_]|[ .,/-][0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-]))
-    |(?P<ip>(?<![0-9])(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9]))
+    |(?P<ip>(?<![0-9])(?<![0-9]\.)(?<!(?i:version|release|firmware|build)[ :]{{1,2}}|\b[vV]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9]))
     |(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9]))""",
     regex.VERBOSE,
 )
-_PERSON = regex.compile(rf"{_PLACE}(?:(?P<m>{_TITLES['m']})|(?P<f>{_TITLES['f']}))\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})")
-_KINDS = ("email", "secret", "iban", "phone", "ssn", "ip", "card")
+_LOCAL = regex.compile(r"[\p{L}\p{M}\p{N}_.+%-]")
+_DOMAIN = regex.compile(r"[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+){1,30}+")
+#: Signs of an address before its @ at most; more are no address.
+_LOCAL_SIGNS = 256
+_PERSON = regex.compile(rf"{_PLACE}(?:(?P<m>{_TITLES['m']})|(?P<f>{_TITLES['f']}))\.?[ ](?P<name>(?:\p{{Lu}}\.[ ]?){{0,3}}+{_NAME}(?:[ ](?:\p{{Lu}}\.[ ])?{_NAME}){{0,4}}+)")
+_KINDS = ("secret", "password", "api_key", "iban", "mac", "ip6", "phone", "ssn", "ip", "card")
 _GIVEN = {unicodedata.normalize(form, n.capitalize()): sex for (sex, _), names in _NAMES.items() for n in names for form in ("NFC", "NFD")}
-_UNTITLED = regex.compile(rf"{_PLACE}(?P<name>(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?:[ -](?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))}))?(?:[ ]\p{{Lu}}\.)?[ ]{_NAME})")
-_HAS_DIGIT = regex.compile(rf"[0-9@]|{_SECRETS}")
+_SOME_GIVEN = "|".join(sorted(_GIVEN, key=len, reverse=True))
+_UNTITLED = regex.compile(rf"{_PLACE}(?P<name>(?P<given>{_SOME_GIVEN})(?:[ -](?:{_SOME_GIVEN}))?(?:[ ]\p{{Lu}}\.)?[ ]{_NAME})")
+_HAS_DIGIT = regex.compile(rf"[0-9]|{_SECRETS}|{_KEYS}")
+_TOKENS = regex.compile(r"[\p{L}\p{M}\p{N}_]++|[^\p{L}\p{M}\p{N}_]")
+#: Signs of a secret that are permuted as one number; longer ones in pieces.
+_PIECE = 48
+#: Longer entities are not kept by the cache of surrogates.
+_KEPT_SIGNS = 256
 
 
 def luhn(digits: str) -> bool:
@@ -126,7 +154,10 @@ class Surrogates:
 
     def __init__(self, key: bytes):
         self.key = key
-        self.of = lru_cache(20_000)(self._of)
+        self._kept = lru_cache(20_000)(self._of)
+
+    def of(self, kind: str, text: str, gender: str = "") -> str:
+        return (self._kept if len(text) <= _KEPT_SIGNS else self._of)(kind, text, gender)
 
     def _round(self, tweak: bytes, n: int, x: int) -> int:
         data = tweak + bytes([n]) + x.to_bytes((x.bit_length() + 7) // 8 or 1, "big")
@@ -187,14 +218,50 @@ class Surrogates:
         return self.spelled(f"{local}@{host}", "email") + "." + top
 
     def secret(self, text: str) -> str:
-        if set(text.lower()) <= set(_HEX) and (text.islower() or text.isupper() or text.isdigit()):
-            digits = self.next([_HEX.index(c) for c in text.lower()], [16] * len(text), f"hex{len(text)}")
-            out = "".join(_HEX[d] for d in digits)
-            return out.upper() if text.isupper() else out
-        sets = ("0123456789", string.ascii_lowercase, string.ascii_uppercase)
-        of = [next((s for s in sets if c in s), c) for c in text]
-        digits = self.next([s.index(c) for s, c in zip(of, text)], [len(s) for s in of], "secret" + "".join(s[0] for s in of))
-        return "".join(s[d] for s, d in zip(of, digits))
+        """Long ones piece by piece, each on the cycle of its place."""
+        hexadecimal = set(text.lower()) <= set(_HEX) and (text.islower() or text.isupper() or text.isdigit())
+        sets = (_HEX, _HEX.upper()) if hexadecimal else ("0123456789", string.ascii_lowercase, string.ascii_uppercase)
+        sets = sets[text.isupper() :][:1] if hexadecimal else sets
+        out = []
+        for low in range(0, len(text), _PIECE):
+            part = text[low : low + _PIECE]
+            of = [next((s for s in sets if c in s), c) for c in part]
+            form = f"hex{len(part)}" if hexadecimal else "secret" + "".join(s[0] for s in of)
+            digits = self.next([s.index(c) for s, c in zip(of, part)], [len(s) for s in of], f"{form}/{low}" if low else form)
+            out += [s[d] for s, d in zip(of, digits)]
+        return "".join(out)
+
+    password = api_key = secret
+
+    def mac(self, text: str) -> str:
+        """The first half names the maker and stays."""
+        at = [i for i, c in enumerate(text) if c not in ":-"][6:]
+        digits = self.next([_HEX.index(text[i].lower()) for i in at], [16] * 6, "mac" + regex.sub("[:-]", "", text[:8]).lower())
+        out = list(text)
+        for i, d in zip(at, digits):
+            out[i] = _HEX[d].upper() if text.isupper() or text[i].isupper() else _HEX[d]
+        return "".join(out)
+
+    def ip6(self, text: str) -> str:
+        """The first group tells the kind of network and stays, and so do groups
+        of zero."""
+        groups = ipaddress.IPv6Address(text).exploded.split(":")
+        at = [i for i in range(1, 8) if int(groups[i], 16)]
+        digits = self.next([int(groups[i], 16) - 1 for i in at], [65535] * len(at), "ip6" + groups[0] + "".join(map(str, at)))
+        new = iter([f"{d + 1:04x}" for d in digits])
+        written = [g for g in text.split(":") if g]
+        shift = 8 - len(written)
+        # Zeros that are left out are in one place, so written groups are those before it and after it.
+        before = len([g for g in text.partition("::")[0].split(":") if g]) if "::" in text else 8
+        fresh = {i: next(new) for i in at}
+        out = []
+        for n, g in enumerate(written):
+            place = n if n < before else n + shift
+            v = fresh.get(place)
+            v = g if v is None else v if len(g) == 4 else v.lstrip("0")
+            out.append(v.upper() if text.isupper() else v)
+        rest = iter(out)
+        return regex.sub("[0-9A-Fa-f]+", lambda _: next(rest), text)
 
     def phone(self, text: str) -> str:
         """The country code stays; the digits after it are one number however it
@@ -209,17 +276,21 @@ class Surrogates:
         return self.spelled(text, "ssn")
 
     def ip(self, text: str) -> str:
-        reserved = lambda p: p[0] in (0, 10, 127) or p[0] >= 224 or (p[0] == 192 and p[1] == 168)
-        parts = [int(p) for p in text.split(".")]
-        out = parts
+        """An address of a private or reserved network gets another of it."""
+        number = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in text.split("."))))
+        own = next((n for n in _NETWORKS if ipaddress.IPv4Address(number) in n), None)
+        if own:
+            size, base = own.num_addresses, int(own.network_address)
+            return str(ipaddress.IPv4Address(base + self.next([number - base], [size], f"ip{own}")[0]))
         while True:
-            out = self.next(out, [256] * 4, "ip")
-            if reserved(out) == reserved(parts):
-                return ".".join(map(str, out))
+            number = self.next([number], [1 << 32], "ip")[0]
+            if not any(ipaddress.IPv4Address(number) in n for n in _NETWORKS):
+                return str(ipaddress.IPv4Address(number))
 
     def card(self, text: str) -> str:
+        """The last digit follows from the others, where it does so at all."""
         digits = regex.sub("[^0-9]", "", text)
-        if luhn(digits):  # the last digit follows from the others
+        if luhn(digits):
             head = self.spelled(digits[:-1], "card")
             out = next(head + c for c in "0123456789" if luhn(head + c))
         else:
@@ -236,12 +307,14 @@ class Surrogates:
         return "".join(c if c == " " else next(rest) for c in text)
 
     def person(self, text: str, gender: str) -> str:
-        """A given name of the lists changes within its list. Other parts are
-        spelled anew and never become a name of the lists."""
+        """A given name of the lists changes within its list, particles stay.
+        Other parts are spelled anew and never become a name of the lists."""
         known = {n for names in _NAMES.values() for n in names}
 
         def part(word: str) -> str:
             low = word.lower()
+            if word in _SMALL:
+                return word
             for (sex, script), names in _NAMES.items():
                 if low in names and (not gender or sex == gender or low not in {n for (s, c), some in _NAMES.items() if s == gender for n in some}):
                     out = names[self.next([names.index(low)], [len(names)], f"name {sex} {script}")[0]]
@@ -251,25 +324,70 @@ class Surrogates:
         return "".join(p if p in " -'’" else part(p) for p in regex.split(r"([ '’-])", text))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Where e-mail addresses are: from every @ back and on."""
+    at = text.find("@")
+    while at >= 0:
+        low = at
+        while low and at - low <= _LOCAL_SIGNS and _LOCAL.match(text, low - 1):
+            low -= 1
+        if 0 < at - low <= _LOCAL_SIGNS and (domain := _DOMAIN.match(text, at + 1)):
+            yield low, domain.end()
+        at = text.find("@", at + 1)
+
+
+def _mentions(text: str, people: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of the longest of the names at each token of the text."""
+    tree: dict = {}
+    for name in people:
+        node = tree
+        for token in _TOKENS.findall(name):
+            node = node.setdefault(token, {})
+        node[""] = name
+    tokens = [(m.start(), m.group()) for m in _TOKENS.finditer(text)]
+    at = 0
+    while at < len(tokens):
+        node, n, best = tree, at, None
+        while n < len(tokens) and (node := node.get(tokens[n][1])) is not None:
+            n += 1
+            if "" in node:
+                best = (n, node[""])
+        if best:
+            yield tokens[at][0], tokens[at][0] + len(best[1]), best[1]
+        at = best[0] if best else at + 1
+
+
+def _is_ip6(text: str) -> bool:
+    """Written with eight hexadecimal digits at least: shorter ones are as likely times or code."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return sum(c != ":" for c in text) >= 8 and any(int(g, 16) for g in ipaddress.IPv6Address(text).exploded.split(":")[1:])
+
+
+_CHECKS = {"iban": lambda x: _is_iban(x), "ip6": _is_ip6, "card": lambda x: luhn(regex.sub("[^0-9]", "", x))}
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of what is found, in order and apart."""
-    out = []
+    out = [(low, high, "email", "") for low, high in _addresses(text)]
     if _HAS_DIGIT.search(text):
-        found = ((m, next(k for k in _KINDS if m[k] is not None)) for m in _FIND.finditer(text))
-        out = [(*m.span(kind), kind, "") for m, kind in found]
-        out = [x for x in out if x[2] != "iban" or _is_iban(text[x[0] : x[1]])]
+        for m in _FIND.finditer(text):
+            kind = m.lastgroup if m.lastgroup in _KINDS else next(k for k in _KINDS if m[k] is not None)
+            if kind not in _CHECKS or _CHECKS[kind](m[kind]):
+                out.append((*m.span(kind), kind, ""))
     people = {}
     for m in _PERSON.finditer(text):
         people[m["name"]] = "m" if m["m"] else "f"
-        for word in m["name"].split(" ")[-1:]:  # the surname alone means the same person
-            people.setdefault(word, people[m["name"]])
+        word = m["name"].split(" ")[-1]  # the surname alone means the same person, and in capitals too
+        for name in (word, word.upper()):
+            people.setdefault(name, people[m["name"]])
     for m in _UNTITLED.finditer(text):
         people.setdefault(m["name"], _GIVEN[m["given"]])
         people.setdefault(m["name"].split(" ")[-1], people[m["name"]])
     if people:
-        names = "|".join(regex.escape(n) for n in sorted(people, key=len, reverse=True))
-        for m in regex.finditer(rf"{_PLACE}(?:{names})(?![\p{{L}}\p{{N}}])", text):
-            out.append((*m.span(), "person", people[m.group()]))
+        out += [(low, high, "person", people[name]) for low, high, name in _mentions(text, people)]
     kept, end = [], 0
     for x in sorted(out):
         if x[0] >= end:
@@ -285,6 +403,12 @@ def _is_iban(text: str) -> bool:
 
 def _same(text: str, kind: str) -> str:
     """What makes two mentions the same entity."""
+    if kind == "ip6":
+        return ipaddress.IPv6Address(text).exploded
+    if kind == "mac":
+        return regex.sub("[:-]", "", text).lower()
+    if kind == "ip":
+        return ".".join(str(int(p)) for p in text.split("."))
     if kind in ("phone", "card", "iban"):
         plain = regex.sub("[^0-9A-Z]", "", text)
         return plain[1:] if kind == "phone" and len(plain) == 11 and plain[0] == "1" else plain
