@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import re
 import string
 import sys
 import unicodedata
@@ -77,11 +78,14 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SECRETS = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s*+[=:]"
 #: Prefixes that tell what a key is of: they stay.
 _KEYS = r"AKIA(?=[0-9A-Z]{16}\b)|gh[pousr]_(?=[A-Za-z0-9]{20})|sk-(?=[A-Za-z0-9_-]{20})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[0-9A-Za-z_-]{30})|[Bb]earer[ ](?=[A-Za-z0-9._~+/-]{16})|eyJ(?=[A-Za-z0-9_-]{8,512}\.eyJ)"
-_FIND = regex.compile(
+_FIND_SECRETS = regex.compile(
     rf"""{_SECRETS}\s*+["']?(?P<secret>[A-Za-z0-9+/_-]{{16,}}+)
     |(?i:password|passwd|pwd)\s*+[=:]\s*+["']?(?P<password>(?=[^\s0-9]{{0,15}}[0-9])[A-Za-z0-9+/_!\#$%&*.-]{{6,15}}+)
-    |(?<![\p{{L}}\p{{N}}_-])(?:{_KEYS})(?P<api_key>[A-Za-z0-9._~+/-]++)
-    |(?P<iban>{_PLACE}[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
+    |(?<![\p{{L}}\p{{N}}_-])(?:{_KEYS})(?P<api_key>[A-Za-z0-9._~+/-]++)""",
+    regex.VERBOSE,
+)
+_FIND_NUMBERS = regex.compile(
+    rf"""(?P<iban>{_PLACE}[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
     |(?P<mac>(?<![\p{{L}}\p{{N}}_:-])[0-9A-Fa-f]{{2}}(?P<dash>[:-])[0-9A-Fa-f]{{2}}(?:(?P=dash)[0-9A-Fa-f]{{2}}){{4}}(?![\p{{L}}\p{{N}}_:-]))
     |(?P<ip6>(?<![\p{{L}}\p{{N}}_:.])(?=[0-9A-Fa-f]{{0,4}}:)[0-9A-Fa-f:]{{8,39}}+(?![\p{{L}}\p{{N}}_:]))
     |(?P<phone>(?<![\p{{L}}\p{{N}}])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:[ .-]?[0-9]{{2,5}}){{1,4}}(?![0-9])
@@ -97,11 +101,13 @@ _DOMAIN = regex.compile(r"[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}
 #: Signs of an address before its @ at most; more are no address.
 _LOCAL_SIGNS = 256
 _PERSON = regex.compile(rf"{_PLACE}(?:(?P<m>{_TITLES['m']})|(?P<f>{_TITLES['f']}))\.?[ ](?P<name>(?:\p{{Lu}}\.[ ]?){{0,3}}+{_NAME}(?:[ ](?:\p{{Lu}}\.[ ])?{_NAME}){{0,4}}+)")
-_KINDS = ("secret", "password", "api_key", "iban", "mac", "ip6", "phone", "ssn", "ip", "card")
+_DIGIT = re.compile("[0-9]")
+_KINDS = ("iban", "mac", "ip6", "phone", "ssn", "ip", "card")
 _GIVEN = {unicodedata.normalize(form, n.capitalize()): sex for (sex, _), names in _NAMES.items() for n in names for form in ("NFC", "NFD")}
 _SOME_GIVEN = "|".join(sorted(_GIVEN, key=len, reverse=True))
 _UNTITLED = regex.compile(rf"{_PLACE}(?P<name>(?P<given>{_SOME_GIVEN})(?:[ -](?:{_SOME_GIVEN}))?(?:[ ]\p{{Lu}}\.)?[ ]{_NAME})")
-_HAS_DIGIT = regex.compile(rf"[0-9]|{_SECRETS}|{_KEYS}")
+#: A text without any of these, in lower case, has no match of `_FIND_SECRETS`.
+_SAYS_SECRET = tuple("token secret passw pwd key akia ghp_ gho_ ghu_ ghs_ ghr_ sk- xox aiza bearer eyj".split())
 _TOKENS = regex.compile(r"[\p{L}\p{M}\p{N}_]++|[^\p{L}\p{M}\p{N}_]")
 #: Signs of a secret that are permuted as one number; longer ones in pieces.
 _PIECE = 48
@@ -372,9 +378,12 @@ _CHECKS = {"iban": lambda x: _is_iban(x), "ip6": _is_ip6, "card": lambda x: luhn
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of what is found, in order and apart."""
     out = [(low, high, "email", "") for low, high in _addresses(text)]
-    if _HAS_DIGIT.search(text):
-        for m in _FIND.finditer(text):
-            kind = m.lastgroup if m.lastgroup in _KINDS else next(k for k in _KINDS if m[k] is not None)
+    small = text.lower()
+    if any(part in small for part in _SAYS_SECRET):
+        out += [(*m.span(kind), kind, "") for m in _FIND_SECRETS.finditer(text) for kind in ("secret", "password", "api_key") if m[kind] is not None]
+    if _DIGIT.search(text):
+        for m in _FIND_NUMBERS.finditer(text):
+            kind = next(k for k in _KINDS if m[k] is not None)
             if kind not in _CHECKS or _CHECKS[kind](m[kind]):
                 out.append((*m.span(kind), kind, ""))
     people = {}
@@ -389,7 +398,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if people:
         out += [(low, high, "person", people[name]) for low, high, name in _mentions(text, people)]
     kept, end = [], 0
-    for x in sorted(out):
+    for x in sorted(out, key=lambda x: (x[0], -x[1], x[2])):
         if x[0] >= end:
             kept.append(x)
             end = x[1]
