@@ -27,9 +27,12 @@ import hashlib
 import html as entity
 import json
 import re
+import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,46 +42,76 @@ from .common import settle
 
 # Element names of HTML and words of class, id and role names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_HIDDEN = frozenset("head script style noscript template iframe svg math object textarea select option datalist audio video canvas title".split())
-_AROUND = frozenset("nav footer aside form menu dialog button fieldset header".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: What a page shows, if at all, by other means than text: raw to the end tag, or with elements inside.
+_RAW = frozenset("script style textarea title template svg iframe noscript".split())
+_HIDDEN = frozenset("head math object select datalist audio video canvas".split())
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
+_AROUND = frozenset("nav footer aside form menu dialog button fieldset header label legend".split())
 _WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer form "
+    "ad ads adsbygoogle adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus footer form "
     "header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related "
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split()
 )
 #: Ends of names that do not change what is meant (`ad-slot`), and starts of names that say what is absent or only present in the layout.
-_PARTS = frozenset("area bar block box button buttons col column container icons inner item items left links list outer panel right row section slot slots unit wrap wrapper".split())
+_PARTS = frozenset("area articles bar block box button buttons col column container content icons inner item items left links list outer panel posts right row section slot slots stories thread unit wrap wrapper".split())
 _ABOUT = frozenset("has have hide hidden no not with without".split())
 _CLOSED_BY = {"p": frozenset(), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|svg|iframe|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+#: The rest of a tag: to a > outside of quotes, or else to the next > or <.
+_QUOTED = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_PLAIN = re.compile(r"[^<>]*+")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?<![\w-])(?:hidden(?:\s*=\s*(?:\"(?:hidden)?\"|'(?:hidden)?'|hidden(?![\w-])))?(?=[\s/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"'>]{0,200}?display\s*:\s*none)", re.IGNORECASE)
+_VALUES = re.compile(r"=\s*(?:\"[^\"]*+\"|'[^']*+')")
+#: Levels of elements that a page's items have; what is deeper belongs to the last of them.
+DEPTH = 200
+# Levels of expressions and plans are walked by functions that call themselves, a few calls a level.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEPTH))
 #: Elements of text: an id on one is the anchor of a link, not the name of a part.
 _TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption section article main body".split())
+#: On a section these ids name a part all the same.
+_SECTIONS = frozenset("commentlist comments disqus footer menu nav navbar navigation related replies respond sidebar".split())
 #: A text is template if it never varies over so many different pages.
 PAGES = 3
 
 
 class _Open:
+    """label: None for an element whose items are those of the one around it, or
+    are not kept."""
+
     __slots__ = ("name", "label", "items")
 
-    def __init__(self, name: str, label: str):
-        self.name, self.label, self.items = name, label, []
+    def __init__(self, name: str, label: str | None, items: list):
+        self.name, self.label, self.items = name, label, items
 
 
 def _label(name: str, attributes: str) -> str:
     if not attributes or "=" not in attributes:
         return name
-    found = [m for m in _ATTRIBUTE.finditer(attributes) if name not in _TEXTS or m[1].lower() != "id"]
-    names = {"-".join(re.findall(r"[a-z]+", w)) for m in found for w in (m[2] or m[3] or m[4] or "").lower().split()}
+    names = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        mine = {"-".join(re.findall(r"[a-z]+", w)) for w in (m[2] or m[3] or m[4] or "").lower().split()}
+        if m[1].lower() == "id" and name in _TEXTS:
+            mine = {w for w in mine if name == "section" and _named(w) in _SECTIONS}
+        names |= mine
     return ".".join([name, *sorted(names - {""})])
 
 
+def _unseen(attributes: str) -> bool:
+    """Whether an element's attributes hide it."""
+    if "adsbygoogle" in attributes:  # whatever the element is
+        return True
+    if "idden" not in attributes and "none" not in attributes:
+        return False
+    m = _UNSEEN.search(attributes)
+    if m is None or not m.group().lower().startswith("hidden"):
+        return m is not None
+    return bool(re.search(r"(?<![\w-])hidden(?![\w-])", _VALUES.sub("=x", attributes), re.IGNORECASE))  # and no other attribute's value
+
+
 @lru_cache(100_000)
 def _named(name: str) -> str:
     """The word of `_WORDS` that a class, id or role name ends with (`sidebar`,
@@ -90,11 +123,48 @@ def _named(name: str) -> str:
     return words[-1] if words[-1] in _WORDS and not _ABOUT.intersection(words) else ""
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it is an end tag, name, attributes) of every tag;
+    comments and raw elements have no name. Every sign is read a bounded number
+    of times: once scans for closing quotes have failed over four times the page,
+    tags end at the next > or <."""
+    at, failed, limit = page.find("<"), 0, 4 * len(page) + 10_000
+    while at >= 0:
+        m, end = _TAG.match(page, at), at + 1
+        if m:
+            name = m[2].lower()
+            rest = _QUOTED.match(page, m.end()) if failed < limit else None
+            if rest is None or page[rest.end() : rest.end() + 1] != ">":
+                if rest is not None:
+                    failed += rest.end() - at + (len(page) - rest.end()) * (page[rest.end() : rest.end() + 1] in ('"', "'"))
+                rest = _PLAIN.match(page, m.end())
+            attributes, end = rest[0], rest.end() + (page[rest.end() : rest.end() + 1] == ">")
+            if not m[1] and name in _RAW and not attributes.endswith("/"):
+                close = _ENDS[name].search(page, end)
+                end = close.end() if close else len(page)
+                yield at, end, False, "", ""
+            else:
+                yield at, end, bool(m[1]), name, attributes
+        elif page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            end = close + 3 if close >= 0 else len(page)
+            yield at, end, False, "", ""
+        elif page.startswith(("<!", "<?"), at):
+            close = page.find(">", at)
+            end = close + 1 if close >= 0 else len(page)
+            yield at, end, False, "", ""
+        at = page.find("<", end)
+
+
 def parse(page: str) -> list:
     """Balanced items of a page: ["#", text] and ["e", label, items]. Inline
-    elements are part of the text around them; hidden ones are left out."""
-    root = _Open("", "")
-    stack, text, at, hidden = [root], [], 0, 0
+    elements are part of the text around them; hidden ones are left out. Elements
+    in more than `DEPTH` others are no items: their texts are those of the last,
+    but what goes by its tag or name goes there too."""
+    root = _Open("", "", [])
+    stack, text, at = [root], [], 0
+    opened: Counter[str] = Counter()
+    hidden, within = "", Counter()  # the element that hides, and those open in it
 
     def flush() -> None:
         if not text:
@@ -109,32 +179,45 @@ def parse(page: str) -> list:
         flush()
         while len(stack) > depth:
             done = stack.pop()
-            stack[-1].items.append(["e", done.label, done.items])
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not hidden:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+            opened[done.name] -= 1
+            if done.label is not None:
+                stack[-1].items.append(["e", done.label, done.items])
+
+    for start, end, ends, name, attributes in _tags(page):
+        if start > at and not hidden:
+            text.append(page[at:start])
+        at = end
         if not name:
             continue
-        ends, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
-        if name in _HIDDEN:
-            hidden = max(0, hidden + (-1 if ends else 0 if attributes.endswith("/") else 1)) if name == "head" else hidden
-            continue
-        if name == "body":
-            hidden = 0
         if hidden:
+            if hidden == "head" and not ends and name not in _IN_HEAD and name != "head":
+                hidden = ""  # the body begins, with its tag or without
+            elif not ends:
+                within[name] += name not in _VOID and not attributes.endswith("/")
+                continue
+            elif within[name]:
+                within[name] -= 1
+                continue
+            elif name == hidden:
+                hidden = ""
+                continue
+            elif opened[name]:
+                hidden = ""  # the element around it ends
+            else:
+                continue
+        if not ends and name not in _VOID and not attributes.endswith("/") and (name in _HIDDEN or (attributes and name not in ("html", "body") and _unseen(attributes))):
+            if name not in _INLINE:
+                flush()
+            hidden = name
+            within.clear()
             continue
         if name in _INLINE:
             if name == "br":
                 text.append(" ")
             continue
         if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    close(depth)
-                    break
+            if opened[name]:
+                close(max(d for d in range(len(stack) - 1, 0, -1) if stack[d].name == name) if stack[-1].name != name else len(stack) - 1)
             else:
                 flush()
             continue
@@ -145,7 +228,12 @@ def parse(page: str) -> list:
         else:
             flush()
         if name not in _VOID and not attributes.endswith("/"):
-            stack.append(_Open(name, _label(name, attributes)))
+            label, items = _label(name, attributes), []
+            if len(stack) > DEPTH:
+                goes = name in _AROUND or any(map(_named, label.split(".")[1:]))
+                label, items = None, [] if goes else stack[-1].items
+            stack.append(_Open(name, label, items))
+            opened[name] += 1
     if at < len(page) and not hidden:
         text.append(page[at:])
     close(1)
@@ -307,10 +395,10 @@ class Plan:
         """The place of the next item when the last one was at `after`: further
         on in its groups, or at their start again, or anywhere; -1 if none."""
         for low, high in self.loops[after] if after >= 0 else ():
-            for at in (*range(after + 1, high), *range(low, after + 1)):
+            for at in chain(range(after + 1, high), range(low, after + 1)):
                 if self.cores[at] == core:
                     return at
-        for at in (*range(after + 1, len(self.cores)), *range(after + 1)):
+        for at in chain(range(after + 1, len(self.cores)), range(after + 1)):
             if self.cores[at] == core:
                 return at
         return -1
@@ -344,6 +432,17 @@ def _holds(items: list) -> bool:
     return False
 
 
+def _titled(items: list) -> bool:
+    """Whether a heading of the first level is among the items or below."""
+    waiting = [items]
+    while waiting:
+        for x in waiting.pop():
+            if x[0] == "e" and x[1].partition(".")[0] == "h1":
+                return True
+            waiting.append(x[2] if x[0] == "e" else x[1] if x[0] in "+?" else [])
+    return False
+
+
 def _goes(label: str, items: list, inside: bool, around: int) -> bool:
     """Whether a place is none of the main text. An article's own header is part
     of it, and an article in an article may be a comment. `around`: the
@@ -351,7 +450,10 @@ def _goes(label: str, items: list, inside: bool, around: int) -> bool:
     name, *names = label.split(".")
     if name in _AROUND:
         return name != "header" or not inside
-    if name in ("body", "main") or not {w for w in map(_named, names) if w and not (w == "header" and inside)}:
+    found = {w for w in map(_named, names) if w and not (w == "header" and inside)}
+    if name in ("body", "main") or not found:
+        return False
+    if found == {"header"} and "site" not in "-".join(names).split("-") and _titled(items):
         return False
     if not inside and (name == "article" or _holds(items)):
         return False

@@ -484,3 +484,60 @@ def test_pii_numbers_networks_and_keys():
         out, spans = pii.replaced(f"x {key} y", s)
         assert len(spans) == 1 and key not in out and len(out) == len(key) + 4, key
     assert s.mac("00:1A:2b:3c:4D:5e") != "00:1A:2b:3c:4D:5e" and pii.replaced("fe80::1ff:fe23:4567:890a", s)[1][0]["kind"] == "ip6"
+
+
+def texts_of(pages):
+    """What `extract` gives for pages of one host, without Spark."""
+    whole, seen = None, set()
+    for page in pages:
+        e = wrappers.expression(wrappers.parse(page))
+        seen.add(wrappers._digest(e))
+        whole = e if whole is None else wrappers.align(whole, e)
+    rules = wrappers.plan(json.loads(json.dumps(whole)), min(len(seen), wrappers.PAGES))
+    return [wrappers.main_text(page, rules) for page in pages]
+
+
+DEEP = {
+    "nested": "<div>" * 20_000 + "deep" + "</div>" * 20_000, "nested texts": "".join(f"<div>a{i}" for i in range(20_000)), "lists": "".join(f"<div><p>a{i}</p><ul><li>x" for i in range(5000)),
+    "unclosed": "<a " * 340_000, "quotes": '<p title="' * 100_000, "both quotes": ('<p a="' + "<p b='") * 80_000, "quoted tags": "<a " + '"<a" ' * 200_000, "angles": "<" * 1_000_000,
+    "ends": "<div>" * 20_000 + "</x>" * 20_000 + "q" + "</div>" * 20_000, "comments": "<!-- " * 200_000, "scripts": "<script>" * 100_000, "script ends": "<script>" + "</script" * 120_000,
+}
+
+
+@pytest.mark.parametrize("kind", DEEP)
+def test_wrappers_of_deep_and_unclosed_markup(kind):
+    import time
+
+    page = DEEP[kind]
+    began = time.process_time()
+    text = texts_of([page, page + "<p>more"])[0]
+    assert time.process_time() - began < 20  # a quadratic scan takes minutes
+    want = {"nested": "deep", "nested texts": "\n".join(f"a{i}" for i in range(20_000)), "lists": "\n".join(f"a{i}\nx" for i in range(5000)), "angles": "<" * 1_000_000, "ends": "q"}
+    assert text == want.get(kind, "")
+
+
+ARTICLE = "<article><h1>T</h1><p>Body text that is long enough to be kept here.</p>%s</article>"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<select><option>English</option><option>German</option></select>", "<video>fallback</video><canvas>fb</canvas><object>ob</object>", "<label>Lab</label>", "<select><option>never closed",
+        '<section id="comments"><p>c1</p></section>', '<ol class="commentlist"><li>c</li></ol>', '<div id="disqus_thread">d</div>', '<div class="related-posts">r</div>', '<div class="sponsored-content">s</div>',
+        '<ins class="adsbygoogle">ad</ins>', "<p hidden>hid</p>", '<div aria-hidden="true">hid<div>in it</div> too</div>', '<div style="color:red; display:none">hid</div>',
+    ],
+)
+def test_wrappers_leave_out(part):
+    assert texts_of([ARTICLE % part]) == ["T\nBody text that is long enough to be kept here."]
+
+
+@pytest.mark.parametrize("part", ['<div data-id="share">KEEP</div>', '<section data-role="footer">KEEP</section>', '<a title="hidden gem" href="#">KEEP</a>', '<section id="notes">KEEP</section>', '<p class="a" title="not hidden">KEEP</p>'])
+def test_wrappers_keep(part):
+    assert texts_of([ARTICLE % part])[0].endswith("KEEP")
+
+
+def test_wrappers_keep_a_named_header_with_the_title():
+    page = '<html><head><title>x</title></head><body><nav>Home</nav><div class="%s"><h1>Title %d</h1></div><div class="content"><p>Text %d of the page that differs.</p></div><footer>Foo</footer></body></html>'
+    for name in ("page-header", "post-header", "entry-header"):
+        assert texts_of([page % (name, i, i) for i in range(4)]) == [f"Title {i}\nText {i} of the page that differs." for i in range(4)]
+    assert texts_of(["<head><title>x</title><p>No body tag</p>"]) == ["No body tag"]
