@@ -13,6 +13,12 @@ STOP_WORDS = (
     "der", "die", "und", "das", "den", "von", "zu", "mit", "im", "ist", "für", "auf", "ein", "eine", "nicht", "des", "dem",
     "de", "la", "le", "et", "les", "en", "un", "une", "du", "que", "el", "los", "las", "por", "para", "con",
 )
+# Words of which an index has neither prefixes nor tails, and that a query leaves out.
+COMMON_WORDS = (
+    "der die das und oder ein eine einer eines einem einen ist sind war wird werden wurde mit von vom zu zum zur im in an am auf aus bei fuer für nicht auch als wie es sie er wir ihr ich du sich dem den des "
+    "so dass daß nach ueber über unter vor bis durch ohne gegen um noch nur sehr hier dort ja nein kein keine mehr ihre ihrer "
+    "the a an and or of to in on for with by at from as is are was were be been this that these those it its not your you we our they their he she his her i me my"
+).split()
 
 
 def fold(text: Column) -> Column:
