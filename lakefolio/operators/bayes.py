@@ -28,6 +28,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, settle(classes)
 
 
+#: Classes that are broadcast at most.
+BROADCAST_CLASSES = 100_000
 #: (class, word) weights that are broadcast at most; more meet their words in a shuffle.
 BROADCAST_WEIGHTS = 2_000_000
 
@@ -40,12 +42,24 @@ def lookup_words(words: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def predict(docs: DataFrame, counts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, class, log_odds): the likeliest class, by its margin over the mean."""
-    words = docs.select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("words"))
+    """(doc_id, class, score): the likeliest class of every document with words.
+
+    A class that none of a document's words is in scores by its share and the
+    number of words alone, so the best of those is found once a number of words.
+    Documents meet only the classes that their words are in: such a class's score
+    is above what it would be without them, so the larger of both is the best.
+    """
+    words = docs.select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("words")).filter(F.size("words") > 0)
     weight = lambda n: F.log((n + ALPHA) / (F.col("tokens") + ALPHA * (F.col("vocabulary") + 1)))
-    weights = counts.join(F.broadcast(classes), "class").select("class", "word", (weight(F.col("n")) - weight(F.lit(0))).alias("more"))
+    few = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
+    weights = counts.join(few, "class").select("class", "word", (weight(F.col("n")) - weight(F.lit(0))).alias("more"))
     known = lookup_words(words, weights).groupBy("doc_id", "class").agg(F.sum("more").alias("more"))
-    sizes = words.filter(F.size("words") > 0).select("doc_id", F.size("words").alias("words")).crossJoin(F.broadcast(classes))
-    score = F.log("share") + F.col("words") * weight(F.lit(0)) + F.coalesce("more", F.lit(0.0))
-    scored = sizes.join(known, ["doc_id", "class"], "left").select("doc_id", "class", score.alias("score"))
-    return scored.groupBy("doc_id").agg(F.max_by("class", F.struct("score", "class")).alias("class"), F.round(F.max("score"), 4).alias("score"))
+    sizes = words.select("doc_id", F.size("words").alias("words"))
+    base = F.log("share") + F.col("words") * weight(F.lit(0))
+    unmet = sizes.select("words").distinct().crossJoin(few).select("words", "class", base.alias("score"))
+    unmet = unmet.groupBy("words").agg(F.max(F.struct("score", "class")).alias("best"))
+    met = known.join(sizes, "doc_id").join(few, "class").select("doc_id", F.struct((base + F.col("more")).alias("score"), "class").alias("best"))
+    either = met.groupBy("doc_id").agg(F.max("best").alias("best")).unionByName(sizes.join(unmet, "words").select("doc_id", "best"))
+    return either.groupBy("doc_id").agg(F.max("best").alias("best")).select("doc_id", "best.class", F.round("best.score", 4).alias("score"))
+
+

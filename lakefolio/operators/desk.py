@@ -244,11 +244,10 @@ def grouped_for_filing(docs: DataFrame, big: int = 2) -> DataFrame:
     loose = F.col("series").isNull()
     pair = F.when(F.col("sender").isNotNull(), F.concat_ws("|", F.lit("p"), "sender", F.coalesce(F.col("kind").cast("string"), F.lit(""))))
     rows = docs.withColumn("base", F.when(loose, pair))
-    by_head = Window.partitionBy("base", "head")
-    sized = rows.withColumn("n", F.when(F.col("base").isNotNull() & F.col("head").isNotNull(), F.count("*").over(by_head)).otherwise(0))
-    heads = sized.filter(F.col("n") >= big).groupBy("base").agg(F.count_distinct("head").alias("heads"))
-    joined = sized.join(heads, "base", "left")
-    split = (F.coalesce("heads", F.lit(0)) >= 2) & (F.col("n") >= big)
+    sized = rows.filter("base IS NOT NULL AND head IS NOT NULL").groupBy("base", "head").agg(F.count("*").alias("n")).filter(F.col("n") >= big)
+    several = sized.groupBy("base").agg(F.count("*").alias("heads")).filter("heads >= 2")
+    joined = rows.join(sized.join(several, "base").select("base", "head", F.lit(True).alias("apart")), ["base", "head"], "left")
+    split = F.coalesce("apart", F.lit(False))
     group = (
         F.when(~loose, F.concat(F.lit("s|"), "series"))
         .when(F.col("base").isNotNull(), F.when(split, F.concat_ws("|", "base", "head")).otherwise(F.concat("base", F.lit("|"))))

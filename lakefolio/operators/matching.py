@@ -1,64 +1,41 @@
-"""Matching names and phrases with a dictionary that is a setting."""
+"""Matching names and phrases with a dictionary."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import closeness
+from .closeness import ratio
 
-#: Names a dictionary may have; it is part of the plan.
-MAX_NAMES = 10_000
+__all__ = ["last_rule", "lookup", "ratio"]
 
 
-def ratio(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions / both lengths), by the longest common subsequence."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:  # zeros mark the longest common subsequence so far
-        both = row & masks.get(c, 0)
-        row = ((row + both) | (row - both)) & full
-    common = len(a) - row.bit_count()
-    return 200.0 * common / (len(a) + len(b))
-
-
-def lookup(names: DataFrame, column: str, dictionary: dict[str, list[str]], least: float = 90, letters: int = 4) -> DataFrame:
+def lookup(names: DataFrame, column: str, dictionary: dict[str, list[str]] | DataFrame, least: float = 90, letters: int = 4) -> DataFrame:
     """Adds `match` and `how`: the entry that a name means.
 
-    dictionary: entry to aliases. In this order: the name itself without regard
-    to case, an alias, equal folded labels, and a ratio of `least` or more of
-    folded labels of `letters` or more; ties go to the smaller entry. Ratios are
-    computed once a distinct name that nothing else matched. No match: nulls.
+    dictionary: a table (entry, name, how), how "name" or "alias", of any size;
+    or a setting, entry to aliases. In this order: the name itself without regard
+    to case, an alias, equal folded labels, and the highest ratio of `least` or
+    more of folded labels of `letters` or more; ties go to the smaller entry.
+    Ratios are joined for, once a distinct name that nothing else matched. No
+    match: nulls.
     """
-    if sum(1 + len(a) for a in dictionary.values()) > MAX_NAMES:
-        raise ValueError(f"a dictionary has at most {MAX_NAMES} names")
-    session = names.sparkSession
-    pairs = [(e, n, how) for e, aliases in dictionary.items() for n, how in [(e, "name"), *((a, "alias") for a in aliases)]]
-    table = session.createDataFrame(pairs, "entry string, name string, how string")
-    labels = {r.label: r.entry for r in table.select("entry", T.label(F.col("name")).alias("label")).orderBy(F.desc("entry")).collect()}
+    table = dictionary
+    if isinstance(dictionary, dict):
+        pairs = [(e, n, how) for e, aliases in dictionary.items() for n, how in [(e, "name"), *((a, "alias") for a in aliases)]]
+        table = names.sparkSession.createDataFrame(pairs, "entry string, name string, how string")
+    table = table.select("entry", "name", "how")
     rank = F.struct((F.col("how") != "name").alias("late"), F.col("entry"))
-    exact = table.groupBy(F.lower("name").alias("_lower")).agg(F.min_by("entry", rank).alias("_exact"), F.max("how").alias("_how"))
-    folded = session.createDataFrame([(k, v) for k, v in labels.items() if k], "_label string, _folded string")
+    exact = table.groupBy(F.lower("name").alias("_lower")).agg(F.min_by("entry", rank).alias("_exact"), F.min_by("how", rank).alias("_how"))
+    folded = table.select("entry", T.label(F.col("name")).alias("_label")).filter("_label <> ''").groupBy("_label").agg(F.min("entry").alias("_folded"))
     known = names.withColumns({"_lower": F.lower(column), "_label": T.label(F.col(column))})
-    joined = known.join(F.broadcast(exact), "_lower", "left").join(F.broadcast(folded), "_label", "left")
-
-    @F.pandas_udf("string")
-    def nearest(label: pd.Series) -> pd.Series:
-        def one(a: str) -> str | None:
-            scored = [(-ratio(a, b), e) for b, e in labels.items() if len(b) >= letters]
-            best = min(scored, default=(0.0, None))
-            return best[1] if -best[0] >= least else None
-
-        return label.map({a: one(a) for a in label.unique()})
-
-    open_labels = joined.filter("_exact IS NULL AND _folded IS NULL").filter(F.length("_label") >= letters).select("_label").distinct()
-    near = open_labels.withColumn("_near", nearest("_label"))
+    joined = known.join(exact, "_lower", "left").join(folded, "_label", "left")
+    loose = joined.filter("_exact IS NULL AND _folded IS NULL").select(F.col("_label").alias("label"))
+    long = F.length("label") >= letters
+    pairs = closeness.close(loose.filter(long), folded.select(F.col("_label").alias("label")).filter(long), least)
+    near = pairs.join(folded.withColumnRenamed("_label", "other"), "other").groupBy(F.col("label").alias("_label")).agg(F.min_by("_folded", F.struct(-F.col("ratio"), "_folded")).alias("_near"))
     out = joined.join(near, "_label", "left")
     how = F.when(F.col("_exact").isNotNull(), F.col("_how")).when(F.col("_folded").isNotNull(), "folded").when(F.col("_near").isNotNull(), "near")
     return out.withColumns({"match": F.coalesce("_exact", "_folded", "_near"), "how": how}).drop("_lower", "_label", "_exact", "_how", "_folded", "_near")

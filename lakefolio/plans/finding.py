@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import postings, search
+from ..operators import closeness, postings, search, senders
 from ..operators.settled import shared_folder
 from ..sources.tables import scan
 from .book import query
@@ -87,3 +87,29 @@ def search_stemmed(spark: SparkSession, folder: str) -> DataFrame:
 def signature_stems(spark: SparkSession, folder: str) -> DataFrame:
     """The 300 most frequent stems of every document. A test has the brute force."""
     return postings.signatures(fields(scan(spark, folder, "documents")))
+
+
+def _spaced(column: str) -> str:
+    return f"' ' || array_to_string(list_transform({_words(column)}, lambda w: {_folded('w')}), ' ') || ' '"
+
+
+@query(f"""
+WITH n AS (SELECT min(doc_id) AS entry, name FROM (SELECT doc_id, regexp_extract(text, '^\\s*(\\S+\\s+\\S+)', 1) AS name FROM documents) WHERE name <> '' GROUP BY name),
+  k AS (SELECT entry, name, {_spaced("name")} AS needle FROM n),
+  d AS (SELECT doc_id, {_spaced("array_to_string(list_slice(string_split(text, chr(10)), 1, 25), chr(10))")} AS header, {_spaced("text")} AS body FROM documents WHERE text IS NOT NULL),
+  h AS (SELECT doc_id, entry, name, CASE WHEN contains(header, needle) THEN 3 ELSE 1 END AS score FROM d, k WHERE length(trim(needle)) >= 3 AND contains(body, needle))
+SELECT doc_id, entry, name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(name) DESC, entry, name) AS place FROM h) WHERE place = 1""")
+def known_senders(spark: SparkSession, folder: str) -> DataFrame:
+    """Who wrote a document: the first two words of all documents are the known
+    names, and each document is searched for all of them."""
+    docs = scan(spark, folder, "documents").select("doc_id", "text")
+    names = docs.select("doc_id", F.regexp_extract("text", r"^\s*(\S+\s+\S+)", 1).alias("name")).filter("name <> ''")
+    return senders.known_names(docs, names.groupBy("name").agg(F.min("doc_id").alias("entry")))
+
+
+@query()
+def close_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """First words of documents that are nearly equal. A test has the brute force."""
+    label = T.label(F.regexp_extract("text", r"^\s*(\S+\s+\S+\s+\S+)", 1))
+    labels = scan(spark, folder, "documents").select(label.alias("label"))
+    return closeness.close(labels, labels, 88).filter("label < other")

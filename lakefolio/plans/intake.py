@@ -93,5 +93,5 @@ def tag_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Nation names in other spellings, looked up among the nations."""
     nations = scan(spark, folder, "nation").select("n_nationkey", "n_name")
     spelled = F.explode(F.array(F.lower("n_name"), F.concat("n_name", F.lit("-")), F.concat("n_name", F.lit("s")), F.reverse("n_name")))
-    names = [r.n_name for r in nations.collect()]  # a dimension of 25 rows; lookup refuses a large one
-    return matching.lookup(nations.select("n_nationkey", spelled.alias("spelled")), "spelled", {n: [] for n in names})
+    dictionary = nations.select(F.col("n_name").alias("entry"), F.col("n_name").alias("name"), F.lit("name").alias("how"))
+    return matching.lookup(nations.select("n_nationkey", spelled.alias("spelled")), "spelled", dictionary)

@@ -18,15 +18,20 @@ from ..operators.settled import shared_folder
 END = "2200-01-01"
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
+def source(spark: SparkSession, path: str, batch: str | None = None) -> DataFrame:
     """A Parquet table, one file or a folder of them, as a stream of its files.
 
+    batch: bytes of the files of a micro-batch ("1g"), for streams whose files
+    come in the order of time; without it, what is there is one micro-batch, and
+    no row of a table in another order is late.
+
     A stream takes a single file only as a pattern, so the last letter is one;
     signs of patterns in the path stand for themselves.
     """
     path = path.rstrip("/")
     pattern = re.sub(r"([\[\]{}*?\\])", r"\\\1", path[:-1]) + f"[{path[-1]}]"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxBytesPerTrigger", batch) if batch else reader).parquet(pattern)
 
 
 def ended(stream: DataFrame, time: str) -> DataFrame:
