@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates, snippets
 from ..functions import text as T
 from ..operators import closeness, postings, search, senders
 from ..operators.settled import shared_folder
@@ -113,3 +114,97 @@ def close_labels(spark: SparkSession, folder: str) -> DataFrame:
     label = T.label(F.regexp_extract("text", r"^\s*(\S+\s+\S+\s+\S+)", 1))
     labels = scan(spark, folder, "documents").select(label.alias("label"))
     return closeness.close(labels, labels, 88).filter("label < other")
+
+
+NEEDLES = [["licens"], ["uebe", "ueb"], ["mitg"]]
+
+
+def _spelled_sql(column: str, marks: bool) -> str:
+    out = f"lower(translate({column}, 'İ' || chr(2), 'i '))"
+    for letter, spelled in snippets.SPELLED.items():
+        out = f"replace({out}, '{letter}', '{spelled[0]}' || repeat(chr(2), {len(spelled) - 1}))" if marks else f"replace({out}, '{letter}', '{spelled}')"
+    return out
+
+
+def _first_sql() -> str:
+    words = [f"coalesce({', '.join(f"nullif(strpos(f, '{n}'), 0)" for n in some)})" for some in NEEDLES]
+    return f"list_min(list_filter([{', '.join(words)}], lambda p: p IS NOT NULL))"
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, text, {_spelled_sql("text", False)} AS f, {_spelled_sql("text", True)} AS m FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, text, m, {_first_sql()} AS p FROM f),
+  h AS (SELECT doc_id, text, p - len(list_filter(string_split(substring(m, 1, p), ''), lambda c: c = chr(2))) AS hit FROM p WHERE p IS NOT NULL),
+  w AS (SELECT doc_id, text, hit, greatest(hit - 90, 1) AS start FROM h),
+  r AS (SELECT *, substring(text, start, hit - start + 180) AS raw FROM w)
+SELECT doc_id, CAST(hit AS INTEGER) AS hit, CASE WHEN start > 1 THEN '… ' ELSE '' END || trim(regexp_replace(raw, '[ \t\n\x0B\f\r ]+', ' ', 'g')) || CASE WHEN start + length(raw) - 1 < length(text) THEN ' …' ELSE '' END AS shown FROM r""")
+def snippets_folded(spark: SparkSession, folder: str) -> DataFrame:
+    """Excerpts around the first hit of any of three folded words, as the text has them."""
+    text = F.col("text")
+    rows = scan(spark, folder, "documents").select("doc_id", "text", snippets.first_hit(text, NEEDLES).alias("hit")).filter("hit IS NOT NULL")
+    return rows.withColumn("w", snippets.window(text, F.col("hit"))).select("doc_id", F.col("hit").cast("int").alias("hit"), snippets.shown(text, F.col("w")).alias("shown"))
+
+
+#: The day on which letters are read.
+TODAY = "2002-01-01"
+_MONTH_NAMES = ("Januar", "February", "März", "April", "Mai", "June", "Juli", "Aug.", "Sept.", "Oktober", "November", "Dez.")
+#: Dates in every form, with words near them for and against, from an order's columns.
+_SAID = (
+    ("'Zeitraum ' || strftime(o_orderdate - INTERVAL 40 DAY, '%d.%m.%y') || ' bis ' || strftime(o_orderdate - INTERVAL 10 DAY, '%d/%m/%Y')", 7),
+    ("'Hamburg, im ' || mon || ' ' || strftime(o_orderdate, '%Y')", 5),
+    ("'Stand: ' || strftime(o_orderdate, '%Y-%m-%d')", 3),
+    ("'Ihr Schreiben vom ' || day(o_orderdate) || '. ' || mon || ' ' || strftime(o_orderdate, '%Y')", 4),
+    ("'due ' || mon || ' ' || day(o_orderdate) || ', ' || (year(o_orderdate) + 1)", 2),
+    ("'31.02.' || strftime(o_orderdate, '%Y')", 6),
+)
+
+
+def _date_forms_sql() -> str:
+    """(doc_id, pos, day, whole, stop) of all matches, by places of split and found parts."""
+    of = {"month": "map_extract(months, lower({}))[1]", "plain": "CAST({} AS INTEGER)"}
+    union = []
+    for form, (pattern, y, m, d) in dates.FORMS.items():
+        pattern = pattern.replace("(?<![0-9A-Za-z_])", r"\b").replace(r"(?<![\p{L}0-9_])", r"\b").replace("(?![0-9A-Za-z_])", r"\b")
+        part = lambda n: f"regexp_extract(hit, '{pattern}', {n})"
+        month = of["month" if "month" in form else "plain"].format(part(m))
+        year = f"CASE WHEN length({part(y)}) > 2 THEN CAST({part(y)} AS INTEGER) WHEN CAST({part(y)} AS INTEGER) < 70 THEN 2000 + CAST({part(y)} AS INTEGER) ELSE 1900 + CAST({part(y)} AS INTEGER) END"
+        whole = f"TRY_CAST(format('{{:04d}}-{{:02d}}-{{:02d}}', {year}, {month}, {f'CAST({part(d)} AS INTEGER)' if d else '1'}) AS DATE)"
+        places = f"list_sum(list_transform(parts[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0)"
+        union.append(f"""SELECT doc_id, CAST({places} AS INTEGER) AS pos, {whole} AS day, {d > 0} AS whole, CAST({places} AS INTEGER) + length(hit) AS stop FROM (SELECT doc_id, parts, hits, i, hits[i] AS hit, months FROM
+  (SELECT doc_id, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS hits, months, unnest(generate_series(1, len(regexp_extract_all(text, '{pattern}')))) AS i FROM letters, names))""")
+    return " UNION ALL ".join(union)
+
+
+_MONTHS_SQL = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in dates.MONTHS.items()) + "}"
+_LINES_SQL = ", ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN {line} END" for line, n in _SAID)
+_LETTERS_SQL = f"""names AS (SELECT {_MONTHS_SQL} AS months), letters AS (SELECT o_orderkey AS doc_id, concat_ws(chr(10), 'Bestellung ' || o_custkey, {_LINES_SQL}, repeat('Text ', 20)) AS text
+  FROM (SELECT *, ['{"', '".join(_MONTH_NAMES)}'][month(o_orderdate)] AS mon FROM orders))"""
+
+
+def _date_letters(spark: SparkSession, folder: str) -> DataFrame:
+    day, key = F.col("o_orderdate"), F.col("o_orderkey")
+    mon, year, number = F.element_at(F.array(*map(F.lit, _MONTH_NAMES)), F.month(day)), F.date_format(day, "yyyy"), F.dayofmonth(day)
+    lines = (
+        F.concat(F.lit("Zeitraum "), F.date_format(F.date_sub(day, 40), "dd.MM.yy"), F.lit(" bis "), F.date_format(F.date_sub(day, 10), "dd/MM/yyyy")), F.concat(F.lit("Hamburg, im "), mon, F.lit(" "), year),
+        F.concat(F.lit("Stand: "), F.date_format(day, "yyyy-MM-dd")), F.concat(F.lit("Ihr Schreiben vom "), number, F.lit(". "), mon, F.lit(" "), year),
+        F.concat(F.lit("due "), mon, F.lit(" "), number, F.lit(", "), F.year(day) + 1), F.concat(F.lit("31.02."), year),
+    )
+    said = [F.when(key % n == 0, line) for line, (_, n) in zip(lines, _SAID)]
+    return scan(spark, folder, "orders").select(key.alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("Bestellung "), "o_custkey"), *said, F.repeat(F.lit("Text "), 20)).alias("text"))
+
+
+@query(f"""
+WITH {_LETTERS_SQL}, f AS ({_date_forms_sql()}),
+  ok AS (SELECT * FROM f WHERE day BETWEEN DATE '1950-01-01' AND DATE '{TODAY}' + 400),
+  d AS (SELECT * FROM ok WHERE whole OR NOT EXISTS (SELECT 1 FROM ok o WHERE o.doc_id = ok.doc_id AND o.whole AND o.pos <= ok.pos AND ok.pos < o.stop)),
+  c AS (SELECT doc_id, pos, day, whole, length(text) AS n, substring(text, greatest(pos - 40, 0) + 1, least(pos, 40)) AS before, list_last(string_split(substring(text, 1, pos), chr(10))) AS lead,
+    list_last(string_split(substring(text, 1, pos), chr(10))) || split_part(substring(text, pos + 1), chr(10), 1) AS line FROM d JOIN letters USING (doc_id)),
+  s AS (SELECT doc_id, pos, day, 3.0 * CAST(regexp_matches(before, '{dates.HINTS}') OR regexp_matches(line, '{dates.HINTS}') AS INTEGER) - CAST(regexp_matches(before, '{dates.PERIODS}') AS INTEGER)
+    - 2 * CAST(regexp_matches(before, '{dates.OTHER_DAYS}') AS INTEGER) - CAST(regexp_matches(before, '{dates.BOUNDS}') AS INTEGER) + 2 * CAST(pos < n * 0.25 AS INTEGER)
+    + 2 * CAST(regexp_matches(lead, '{dates.PLACE}') AS INTEGER) - 1.5 * CAST(NOT whole AS INTEGER) - 3 * CAST(day > DATE '{TODAY}' + 30 AS INTEGER) - pos / n AS score FROM c)
+SELECT doc_id, count(*) AS n_dates, max_by(day, {{'score': score, 'first': -pos, 'day': day}}) AS document_date FROM s GROUP BY 1""")
+def document_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Letters made of orders' columns: all their dates, and the one that is the letter's own."""
+    text, today = F.col("text"), F.lit(TODAY).cast("date")
+    rows = _date_letters(spark, folder).withColumn("found", dates.dates(text, today)).filter(F.size("found") > 0)
+    return rows.select("doc_id", F.size("found").cast("long").alias("n_dates"), dates.document_date(text, F.col("found"), today).alias("document_date"))
