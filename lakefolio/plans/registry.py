@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import archive, content, desk, extraction, finding, intake, ledger, review, similar, streams
+from . import archive, content, desk, extraction, finding, intake, ledger, review, sheets, similar, streams
 from .book import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_bm25"
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "archive", "content", "desk", "extraction", "finding", "intake", "ledger", "review", "similar", "streams"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "archive", "content", "desk", "extraction", "finding", "intake", "ledger", "review", "sheets", "similar", "streams"]
