@@ -159,7 +159,11 @@ def learned_aliases(senders: DataFrame, read: DataFrame, most: int = 30) -> Data
 
 
 #: Words that alone, or with numbers, make a title that says nothing.
-GENERIC = "scan scanned dokument document img image bild datei file unbenannt untitled neu new seite page brief letter".split()
+GENERIC = (
+    "scan", "scanned", "dokument", "document", "img", "image", "bild", "datei", "file", "unbenannt", "untitled", "neu", "new", "seite", "page", "brief", "letter",
+)
+# Words that a name leaves behind at either end of a title.
+LEFT_BEHIND = ("von", "vom", "der", "des", "from")
 
 
 def generic_title(title: Column) -> Column:
@@ -174,7 +178,8 @@ def without_sender(title: Column, *senders: Column) -> Column:
         named = F.regexp_replace(out, F.concat(F.lit(r"(?i)\Q"), name, F.lit(r"\E")), F.lit(""))
         out = F.when(F.length(name) >= 3, named).otherwise(out)
     out = F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"^[ \-–—:,|/]+|[ \-–—:,|/]+$", "")
-    out = F.regexp_replace(out, r"(?i)^(von|vom|der|des|from)\s+|\s+(von|vom|der|des|from)$", "")
+    behind = "|".join(LEFT_BEHIND)
+    out = F.regexp_replace(F.regexp_replace(out, rf"(?i)^({behind})\s+", ""), rf"(?i)\s+({behind})$", "")
     return F.when(F.length(out) >= 6, out).otherwise(title)
 
 
@@ -188,7 +193,13 @@ def series_name(sender: Column, kind: Column) -> Column:
     return F.when(name != "", name).otherwise("Recurring documents")
 
 
-PERIOD = r"((?:January|February|March|April|May|June|July|August|September|October|November|December|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember)\s+[0-9]{4}|Q[1-4]\s+[0-9]{4}|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|\b(?:19|20)[0-9]{2}\b)"
+# Names of months in titles, English and German.
+MONTH_NAMES = (
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+    "Januar", "Februar", "März", "Mai", "Juni", "Juli", "Oktober", "Dezember",
+)
+#: A month or quarter with its year, a day or month in figures, or a year alone.
+PERIOD = "(" + "|".join((rf"(?:{'|'.join(MONTH_NAMES)})\s+[0-9]{{4}}", r"Q[1-4]\s+[0-9]{4}", "[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?", r"\b(?:19|20)[0-9]{2}\b")) + ")"
 
 
 def learned_titles(docs: DataFrame, newest: int = 10) -> DataFrame:

@@ -138,19 +138,25 @@ def year_folders(docs: DataFrame, existing: DataFrame, least: int = 3) -> DataFr
     return docs.join(rule, "target").select("doc_id", "target", F.when(F.col("split"), F.col("year")).alias("year"))
 
 
-_SECRET = r"(?i)SECRET|PASSWORD|PASSWD|TOKEN|API_KEY|MASTER_KEY|PRIVATE|_KEY$"
+# What names of secret settings hold or end with, and ends of names that are none after all.
+SECRET_PARTS = ("secret", "password", "passwd", "token", "api_key", "master_key", "private")
+SECRET_END = "_key"
+OPEN_ENDS = ("_file", "_hashers", "_validators")
 
 
-def secret_name(name: Column) -> Column:
-    """Whether a setting's name tells of a secret; names of files and of password
-    rules do not."""
-    return name.rlike(_SECRET) & ~F.upper(name).rlike("(_FILE|_HASHERS|_VALIDATORS)$")
+def tells_secret(name: Column) -> Column:
+    """Whether a setting's name is one of a secret, in any case of letters: it
+    holds a word for one or ends like a key, and is no path and no rule."""
+    low = F.lower(name)
+    any_of = lambda some, test: F.exists(F.array(*map(F.lit, some)), lambda part: test(low, part))
+    return (any_of(SECRET_PARTS, F.contains) | low.endswith(SECRET_END)) & ~any_of(OPEN_ENDS, F.endswith)
 
 
-def safe_value(name: Column, value: Column) -> Column:
-    """The value, or for a secret only whether it is set and how long it is."""
-    masked = F.when(F.coalesce(F.length(value), F.lit(0)) > 0, F.concat(F.lit("set ("), F.length(value), F.lit(" chars)"))).otherwise("empty")
-    return F.when(secret_name(name), masked).otherwise(value)
+def shown_setting(name: Column, value: Column) -> Column:
+    """What a list of settings shows: a secret by its length alone, or as empty."""
+    length = F.length(F.coalesce(value, F.lit("")))
+    hidden = F.when(length == 0, F.lit("empty")).otherwise(F.format_string("set (%d chars)", length))
+    return F.when(tells_secret(name), hidden).otherwise(value)
 
 
 def hamming(a: Column, b: Column) -> Column:

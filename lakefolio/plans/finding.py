@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, snippets
+from ..functions import dates, letters, snippets
 from ..functions import text as T
 from ..operators import closeness, postings, search, senders
 from ..operators.settled import shared_folder
@@ -208,3 +208,38 @@ def document_dates(spark: SparkSession, folder: str) -> DataFrame:
     text, today = F.col("text"), F.lit(TODAY).cast("date")
     rows = _date_letters(spark, folder).withColumn("found", dates.dates(text, today)).filter(F.size("found") > 0)
     return rows.select("doc_id", F.size("found").cast("long").alias("n_dates"), dates.document_date(text, F.col("found"), today).alias("document_date"))
+
+
+_HEADS = ("'Stadtwerke Nr. ' || c_nationkey || ' GmbH · Weg ' || o_orderkey || ' · ' || (10000 + c_custkey) || ' Köln'", "'An ' || c_name", "'Finanzamt ' || c_mktsegment || '   Zimmer ' || c_nationkey", "'  Amtsgericht  ' || c_nationkey")
+_TAILS = ("'Betreff:  ' || c_mktsegment || '   vom ' || o_orderkey", "'Rechnung über ' || o_orderpriority", "'Rechnungswesen ' || o_orderkey", "'Re: ' || c_name")
+_MAIL_SQL = f"""m AS (SELECT o_orderkey AS doc_id, ({_HEADS[0]}) AS h0, ({_HEADS[1]}) AS h1, ({_HEADS[2]}) AS h2, ({_HEADS[3]}) AS h3, ({_TAILS[0]}) AS t0, ({_TAILS[1]}) AS t1, ({_TAILS[2]}) AS t2, ({_TAILS[3]}) AS t3 FROM orders JOIN customer ON o_custkey = c_custkey),
+  l AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 ELSE h3 END || chr(10) || 'x' || chr(10) || CASE doc_id // 4 % 4 WHEN 0 THEN t0 WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END || chr(10) || 'Ende' AS text FROM m)"""
+
+
+def _mail(spark: SparkSession, folder: str) -> DataFrame:
+    """Letters of an order and its customer, with four kinds of heads and of subjects."""
+    rows = scan(spark, folder, "orders").join(scan(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    heads = (
+        F.concat(F.lit("Stadtwerke Nr. "), "c_nationkey", F.lit(" GmbH · Weg "), "o_orderkey", F.lit(" · "), F.col("c_custkey") + 10000, F.lit(" Köln")), F.concat(F.lit("An "), "c_name"),
+        F.concat(F.lit("Finanzamt "), "c_mktsegment", F.lit("   Zimmer "), "c_nationkey"), F.concat(F.lit("  Amtsgericht  "), "c_nationkey"),
+    )
+    tails = (F.concat(F.lit("Betreff:  "), "c_mktsegment", F.lit("   vom "), "o_orderkey"), F.concat(F.lit("Rechnung über "), "o_orderpriority"), F.concat(F.lit("Rechnungswesen "), "o_orderkey"), F.concat(F.lit("Re: "), "c_name"))
+    key = F.col("o_orderkey")
+    of = lambda some, n: F.get(F.array(*some), (n % 4).cast("int"))
+    return rows.select(key.alias("doc_id"), F.concat_ws("\n", of(heads, key), F.lit("x"), of(tails, F.floor(key / 4)), F.lit("Ende")).alias("text"))
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+_PART = f"regexp_replace(string_split_regex(x, '{letters.PARTED}')[1], '^[ ,]+|[ ,]+$', '', 'g')"
+
+
+@query(f"""
+WITH {_MAIL_SQL}, s AS (SELECT doc_id, text, {_LINES} AS ls FROM l),
+  f AS (SELECT doc_id,
+    list_filter(list_transform(list_filter(ls[1:30], lambda x: regexp_matches(x, '{letters.POSTCODE}') AND regexp_matches(x, '{letters.PARTED}')), lambda x: {_PART}), lambda x: length(x) BETWEEN 3 AND 80 AND NOT regexp_matches(x, '^[0-9]')) AS address,
+    list_filter(list_transform(list_filter(ls[1:20], lambda x: length(x) <= 90 AND (regexp_matches(x, '{letters.ORGANISATION}') OR regexp_matches(x, '{letters.COMPOUND}'))), lambda x: {_PART}), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '[0-9]{{5}}')) AS named,
+    nullif(regexp_extract(text, '{letters.SUBJECT}', 2), '') AS said, list_filter(ls[1:40], lambda x: length(x) BETWEEN 6 AND 90 AND regexp_matches(x, '{letters.KIND}')) AS kinds FROM s)
+SELECT doc_id, coalesce(address[1], named[1]) AS sender, substring(trim(regexp_replace(coalesce(said, kinds[1]), '\\s+', ' ', 'g')), 1, 120) AS subject FROM f""")
+def letter_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Senders and subjects by rules."""
+    return _mail(spark, folder).select("doc_id", letters.sender(F.col("text")).alias("sender"), letters.subject(F.col("text")).alias("subject"))

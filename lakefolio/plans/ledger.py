@@ -152,7 +152,7 @@ SELECT event_id, name, CASE WHEN secret AND value = '' THEN 'empty' WHEN secret
 def settings_shown(spark: SparkSession, folder: str) -> DataFrame:
     names = F.array(*map(F.lit, ("API_KEY", "user", "db_password", "TOKEN_FILE", "signing_key", "keyboard", "PASSWORD_HASHERS", "private_note")))
     rows = scan(spark, folder, "events").select("event_id", F.get(names, (F.col("event_id") % 8).cast("int")).alias("name"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).otherwise("").alias("value"))
-    return rows.select("event_id", "name", ledger.safe_value(F.col("name"), F.col("value")).alias("shown"))
+    return rows.select("event_id", "name", ledger.shown_setting(F.col("name"), F.col("value")).alias("shown"))
 
 
 @query("""

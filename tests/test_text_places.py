@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lakefolio.functions import dates, snippets
+from lakefolio.functions import dates, letters, snippets
 
 TEXTS = [
     None, "", "kein Treffer", "Die Straße und die STRASSE, süße Äpfel: Gruß", "ﬁnale ﬂuß ﬃ oﬃce Öffnung " + "x " * 200 + "Übergröße", "äöü" * 200 + " Fußweg " + "ß" * 300, "a\x02ß\x02Straße \n\n  zwei", "İstanbul STRAẞE straße",
@@ -97,3 +97,14 @@ def test_dates_of_five_forms_and_the_document_date(spark):
         assert [(d.at, d.day, d.whole) for d in r.found] == plain_dates(r.text or ""), r.text
         assert r.date == plain_pick(r.text or ""), r.text
     assert {r.date for r in rows if r.i == 3} == {datetime.date(2025, 3, 12)} and len(rows[7].found) == 3
+
+
+def test_senders_and_subjects(spark):
+    rows = [
+        ("Muster GmbH · Weg 1 · 12345 Stadt\nHerr X", "Muster GmbH", None), ("12 · x · 12345 Stadt\nDas Bundesverwaltungsamt\nBetreff: Ihr  Antrag\nx", "Das Bundesverwaltungsamt", "Ihr Antrag"),
+        ("Hallo\n\n  Landratsamt Kreis   Raum 5\nRechnung Nr. 5", "Landratsamt Kreis", "Rechnung Nr. 5"), ("SUBJECT :abc\nRe: the offer\n", None, "the offer"), ("Rechnungen\nStadt 12345", None, None),
+        (None, None, None), ("", None, None), ("Agentur X\n" * 25 + "Y AG", None, None), ("Familienkasse\r\nBescheid vom 1.1.", "Familienkasse", "Bescheid vom 1.1."), ("x" * 91 + " GmbH", None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "i int, text string")
+    for r in df.select("i", letters.sender(F.col("text")).alias("s"), letters.subject(F.col("text")).alias("b")).collect():
+        assert (r.s, r.b) == rows[r.i][1:], rows[r.i]
