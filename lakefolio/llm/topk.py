@@ -29,6 +29,8 @@ from .common import bounded_batches, settle
 #: Shards that a query visits in its first rounds; the last round is the rest.
 ROUNDS = (1, 4)
 _LONG = 2**63 - 1
+#: The k-th score of a query that has none yet.
+NO_FLOOR = -_LONG
 
 
 class BallTree:
@@ -95,7 +97,7 @@ def _answers(ids: np.ndarray, ints: np.ndarray, tree: BallTree, block: pd.DataFr
     bounds = tree.bounds(floats)
     out_q, out_n, out_v, out_s = [], [], [], []
     for n, (own, number, floor) in enumerate(zip(block["vec_id"], block["query"], block["floor"])):
-        kth = shared = None if pd.isna(floor) or abs(floor) >= _LONG else int(floor)
+        kth = shared = None if abs(int(floor)) >= _LONG else int(floor)
         best_s, best_v = np.empty(0, np.int64), np.empty(0, np.int64)
         heap = [(-bounds[n, 0], 0)]
         while heap:
@@ -185,22 +187,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
         shard = F.explode(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda n: F.pmod(home + n, F.lit(shards)).cast("int")))
         spread = asked.select("size", shard.alias("shard"), part.alias("part"), "vec_id", "query", "vector", "floor", F.lit(None).cast("binary").alias("tree"))
         copies = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
-            "size", "shard", "part", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("long").alias("query"),
-            F.lit(None).cast("array<bigint>").alias("vector"), F.lit(None).cast("long").alias("floor"), "tree",
-        )
+            "size", "shard", "part", F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("query"),
+            F.lit(None).cast("array<bigint>").alias("vector"), F.lit(NO_FLOOR).alias("floor"), "tree",
+        )  # fmt: skip  (no null in a column of longs: pandas would make them floats, which round)
         keys = ("size", "shard", "part")
         met = copies.unionByName(spread).repartition(*keys).sortWithinPartitions(*keys, F.col("tree").isNull())
         found = met.mapInPandas(_search(k), "query_id long, query long, vec_id long, score long")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
-    asked, low, best = asked.withColumn("floor", F.lit(None).cast("long")), 0, None
+    asked, low, best = asked.withColumn("floor", F.lit(NO_FLOOR)), 0, None
     for high in sorted({min(n, shards) for n in (*ROUNDS, shards)}):
         found = visit(asked, low, high)
         best = found if best is None else best.unionByName(found)
         if high < shards:
             best = settle(best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
             kth = best.groupBy("query_id", "query").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k)
-            asked = asked.drop("floor").join(kth.select(F.col("query_id").alias("vec_id"), "query", F.col("kth").alias("floor")), ["vec_id", "query"], "left")
+            asked = asked.drop("floor").join(kth.select(F.col("query_id").alias("vec_id"), "query", "kth"), ["vec_id", "query"], "left")
+            asked = asked.select("vec_id", "vector", "size", "query", F.coalesce("kth", F.lit(NO_FLOOR)).alias("floor"))
         low = high
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -118,6 +118,21 @@ def test_topk(spark):
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in blocks} == {(q, n + 1): x for q, some in got.items() for n, x in enumerate(some)}
 
 
+def test_topk_of_batches_without_their_tree(spark):
+    """Arrow batches of few rows: the hashes of queries stay whole in all of them."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [int(x) for x in rng.integers(-99, 99, 4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = topk.top_k(df, df.filter("vec_id % 3 = 0"), shard_rows=40).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(q, n + 1, i, -s) for q, a in rows[::3] for n, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)[:10])}
+    assert len(got) == 1000 and {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want
+
+
 def test_topk_of_repeated_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [int(x) for x in rng.integers(-9, 9, 5)]) for i in range(60)]
