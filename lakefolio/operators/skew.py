@@ -25,3 +25,19 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None =
             return rows.join(table, key)
     few = table.join(F.broadcast(hot), key)
     return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
+def dealt(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of many with many in which no key of `rows` is hot: rows of a hot
+    key (see `hot_keys`) are dealt in parts, and each part meets a copy of what
+    `table` has for the key."""
+    total = rows.count()
+    hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("copies")), total)
+    hot = settle(hot.select(*keys, F.ceil(F.col("copies") / max(1000, total // 100_000)).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64(*rows.columns), parts).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("part", part).drop("parts")
+    right = table.join(F.broadcast(hot), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [*keys, "part"]).drop("part")
