@@ -63,7 +63,7 @@ def asked(groups: DataFrame) -> DataFrame:
     """(group, what, value, points): what groups of (group, doc, series, sender,
     kind, words, clues) are matched by. A group's words are those of half of its
     documents, and they and the clues of its first document may match a name."""
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size"), F.min_by("clues", "doc").alias("clues"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"), F.min_by("clues", F.struct("doc", "clues")).alias("clues"))
     facts = settle(_facts(groups, ["group"]).join(sizes.select("group", "size"), "group"))
     words = facts.filter((F.col("what") == "word") & (2 * F.col("n") >= F.col("size")))
     many = words.groupBy("group").agg(F.count("*").alias("many"))
