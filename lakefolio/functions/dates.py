@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,23 +32,31 @@ FIRST, AHEAD, SOON = "1950-01-01", 400, 30
 _KIND = "array<struct<at:int,day:date,whole:boolean,end:int>>"
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once: an expression named in a lambda is
+    worked out again in every call, and one named several times as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _found(text: Column, form: str, today: Column) -> Column:
     """(at, day, whole, end) of one form's matches; at from 0."""
     pattern, year, month, day = FORMS[form]
-    hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     total = lambda some, n: F.aggregate(F.slice(some, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
     named = F.create_map(*(F.lit(x) for item in MONTHS.items() for x in item))
 
-    def one(hit: Column, i: Column) -> Column:
+    def one(hit: Column, at: Column) -> Column:
         group = lambda n: F.regexp_extract(hit, pattern, n)
-        y, m = group(year).cast("int"), F.try_element_at(named, F.lower(group(month))) if "month" in form else group(month).cast("int")
-        y = F.when(y >= 100, y).when(y < 70, y + 2000).otherwise(y + 1900)
+        m = F.try_element_at(named, F.lower(group(month))) if "month" in form else group(month).cast("int")
+        y = _with(group(year).cast("int"), lambda y: F.when(y >= 100, y).when(y < 70, y + 2000).otherwise(y + 1900))
         d = group(day).cast("int") if day else F.lit(1)
-        at = total(parts, i + 1) + total(hits, i)
         whole = F.format_string("%04d-%02d-%02d", y, m, d).try_cast("date")
-        return F.struct(at.alias("at"), whole.alias("day"), F.lit(day > 0).alias("whole"), (at + F.length(hit)).alias("end"))
+        return _with(at, lambda at: F.struct(at.alias("at"), whole.alias("day"), F.lit(day > 0).alias("whole"), (at + F.length(hit)).alias("end")))
 
-    every = F.transform(hits, one)
+    def placed(hits: Column) -> Column:
+        cut = _with(F.split(text, pattern, -1), lambda parts: F.transform(hits, lambda hit, i: one(hit, total(parts, i + 1) + total(hits, i))))
+        return F.when(F.size(hits) > 0, cut).otherwise(F.array().cast(_KIND))
+
+    every = _with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     return F.filter(every, lambda x: x["day"].isNotNull() & (x["day"] >= F.lit(FIRST).cast("date")) & (x["day"] <= F.date_add(today, AHEAD)))
 
 
@@ -54,10 +64,12 @@ def dates(text: Column, today: Column) -> Column:
     """(at, day, whole, end) of all plausible dates in text order: from 1950 to
     `AHEAD` days after today. A month and year inside another date are none of
     their own. whole: whether a day is named. Null and empty texts have none."""
-    text = F.coalesce(text, F.lit(""))
-    days = F.concat(*(_found(text, form, today) for form in FORMS if form != "month_y"))
-    alone = F.filter(_found(text, "month_y", today), lambda m: ~F.exists(days, lambda d: (d["at"] <= m["at"]) & (m["at"] < d["end"])))
-    return F.array_sort(F.concat(days, alone)).cast(_KIND)
+
+    def both(text: Column) -> Column:
+        days = F.concat(*(_found(text, form, today) for form in FORMS if form != "month_y"))
+        return _with(days, lambda days: F.concat(days, F.filter(_found(text, "month_y", today), lambda m: ~F.exists(days, lambda d: (d["at"] <= m["at"]) & (m["at"] < d["end"])))))
+
+    return F.array_sort(_with(F.coalesce(text, F.lit("")), both)).cast(_KIND)
 
 
 def scored(text: Column, date: Column, today: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import dates, letters, snippets
 from ..functions import text as T
 from ..operators import closeness, postings, search, senders
 from ..operators.settled import shared_folder
-from ..sources.tables import scan
+from ..sources.tables import scan, spread
 from .book import query
 from .content import KEY, _folded
 
@@ -190,7 +190,7 @@ def _date_letters(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("due "), mon, F.lit(" "), number, F.lit(", "), F.year(day) + 1), F.concat(F.lit("31.02."), year),
     )
     said = [F.when(key % n == 0, line) for line, (_, n) in zip(lines, _SAID)]
-    return scan(spark, folder, "orders").select(key.alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("Bestellung "), "o_custkey"), *said, F.repeat(F.lit("Text "), 20)).alias("text"))
+    return spread(scan(spark, folder, "orders")).select(key.alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("Bestellung "), "o_custkey"), *said, F.repeat(F.lit("Text "), 20)).alias("text"))
 
 
 @query(f"""
@@ -206,7 +206,8 @@ SELECT doc_id, count(*) AS n_dates, max_by(day, {{'score': score, 'first': -pos,
 def document_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Letters made of orders' columns: all their dates, and the one that is the letter's own."""
     text, today = F.col("text"), F.lit(TODAY).cast("date")
-    rows = _date_letters(spark, folder).withColumn("found", dates.dates(text, today)).filter(F.size("found") > 0)
+    # exploded, so that the filter below is not put before what it is about, which would then be worked out twice
+    rows = _date_letters(spark, folder).select("doc_id", "text", F.explode(F.array(dates.dates(text, today))).alias("found")).filter(F.size("found") > 0)
     return rows.select("doc_id", F.size("found").cast("long").alias("n_dates"), dates.document_date(text, F.col("found"), today).alias("document_date"))
 
 
