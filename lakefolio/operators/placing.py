@@ -5,11 +5,14 @@ share of its documents whose series (3), sender (1.5) and kind (0.5) the folder
 knows, by the share of the group's words that are usual there (2), and if one of
 its words is in the folder's name or nearly so (2). Every group goes down from its
 base into the subfolder that fits best as long as that has 2 points: one join a
-level for all groups, and no tree in the driver.
+level for all groups with what is known of the folders as deep as those they can
+go into, and no tree in the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +44,18 @@ def _facts(docs: DataFrame, of: list[str]) -> DataFrame:
 
 
 def profiles(folders: DataFrame, filed: DataFrame) -> DataFrame:
-    """(parent, folder_id, what, value): what a folder of (folder_id, parent_id,
+    """(parent, depth, folder_id, what, value): what a folder of (folder_id, parent_id,
     name) is known by, from the documents (folder_id, series, sender, kind, words)
     in it or below it; words only if three tenths of those have them, and the
     words of its name."""
-    up = settle(tree.closure(folders.select("folder_id", "parent_id")).select("folder_id", "ancestor_id"))
+    up = settle(tree.closure(folders.select("folder_id", "parent_id")))
     totals = filed.groupBy("folder_id").agg(F.count("*").alias("n")).join(up, "folder_id").groupBy(F.col("ancestor_id").alias("folder_id")).agg(F.sum("n").alias("total"))
     known = _facts(filed, ["folder_id"]).join(up, "folder_id").groupBy(F.col("ancestor_id").alias("folder_id"), "what", "value").agg(F.sum("n").alias("n"))
     known = known.join(totals, "folder_id").filter((F.col("what") != "word") | (F.col("n") >= USUAL * F.col("total"))).select("folder_id", "what", "value")
     names = folders.select("folder_id", F.lit("name").alias("what"), F.explode(F.array_distinct(name_words(F.col("name")))).alias("value"))
-    parents = folders.select("folder_id", _parent(F.col("parent_id")).alias("parent"))
-    return known.unionByName(names).join(parents, "folder_id").select("parent", "folder_id", "what", "value")
+    depths = up.groupBy("folder_id").agg(F.max("distance").alias("depth"))
+    parents = folders.select("folder_id", _parent(F.col("parent_id")).alias("parent")).join(depths, "folder_id")
+    return known.unionByName(names).join(parents, "folder_id").select("parent", "depth", "folder_id", "what", "value")
 
 
 def name_words(name: Column) -> Column:
@@ -98,21 +102,27 @@ def placed(groups: DataFrame, folders: DataFrame, filed: DataFrame, base: DataFr
     wanted = settle(_spelled(asked(groups), known))
     start = groups.select("group").distinct()
     start = start.join(base.select("group", "folder_id"), "group", "left") if base is not None else start.withColumn("folder_id", F.lit(None).cast(kind))
-    out = settle(start.select("group", "folder_id", F.lit(None).cast("double").alias("points"), F.lit(0).alias("levels")))
-    telling, kinds = known.filter("what <> 'kind'"), known.filter("what = 'kind'").select("folder_id", "value")
+    at = settle(start.select("group", "folder_id", F.lit(None).cast("double").alias("points"), F.lit(0).alias("levels")))
+    ends, level = [at], 0
+    inside = settle(known.select("parent", "depth").distinct())
     asks, kinds_asked = wanted.filter("what <> 'kind'"), wanted.filter("what = 'kind'").select("group", "value", F.col("points").alias("more"))
-    level, at = 0, out
     while True:
         level += 1
-        here = settle(at.select("group", _parent(F.col("folder_id")).alias("parent")).join(asks, "group"))
-        met = dealt(here, telling, ["parent", "what", "value"]).groupBy("group", "folder_id", "what").agg(F.sum("points").alias("sum"), F.max("points").alias("most"))
+        parents = at.select("group", _parent(F.col("folder_id")).alias("parent"))
+        depths = [r.depth for r in inside.join(parents, "parent", "left_semi").select("depth").distinct().collect()]  # as many as levels at most
+        there = known.filter(F.col("depth").isin(depths)) if depths else known.limit(0)
+        here = settle(parents.join(asks, "group"))
+        met = dealt(here, there.filter("what <> 'kind'").drop("depth"), ["parent", "what", "value"]).groupBy("group", "folder_id", "what").agg(F.sum("points").alias("sum"), F.max("points").alias("most"))
         met = met.groupBy("group", "folder_id").agg(F.sum(F.when(F.col("what") == "name", F.col("most")).otherwise(F.col("sum"))).alias("points"))
         # a kind alone opens no folder, so it is asked of those that it can still open or raise
         near = settle(met.filter(F.col("points") >= FITS - POINTS["kind"] - 1e-9))
+        kinds = there.filter("what = 'kind'").select("folder_id", "value")
         kind_points = near.select("group", "folder_id").join(kinds_asked, "group").join(kinds, ["folder_id", "value"]).groupBy("group", "folder_id").agg(F.sum("more").alias("more"))
         scored = near.join(kind_points, ["group", "folder_id"], "left").withColumn("points", F.round(F.col("points") + F.coalesce("more", F.lit(0.0)), 9)).filter(F.col("points") >= FITS)
         best = scored.groupBy("group").agg(F.min_by(F.struct("folder_id", "points"), F.struct(-F.col("points"), "folder_id")).alias("b"))
         at = settle(best.select("group", "b.folder_id", "b.points", F.lit(level).alias("levels")))
         if at.isEmpty():
-            return out
-        out = settle(out.join(at.select("group"), "group", "left_anti").unionByName(at))
+            break
+        ends.append(at)
+    deepest = reduce(DataFrame.unionByName, ends).groupBy("group").agg(F.max_by(F.struct("folder_id", "points"), "levels").alias("b"), F.max("levels").alias("levels"))
+    return deepest.select("group", "b.folder_id", "b.points", "levels")

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates
+from lakefolio.operators import placing
 
 
 def test_a_letter_of_many_dates(spark):
@@ -15,3 +16,15 @@ def test_a_letter_of_many_dates(spark):
     found = rows.select(dates.dates(F.col("text"), F.lit("2002-01-01").cast("date")).alias("d")).first().d
     assert [(d["at"], d["whole"]) for d in found] == [(22 * i + at, whole) for i in range(300) for at, whole in ((0, True), (13, False))]
     assert time.monotonic() - start < 20
+
+
+def test_a_level_meets_its_own_folders(spark, monkeypatch):
+    """Every level met what is known of all folders, however deep they lie."""
+    folders = spark.createDataFrame([(i, i // 2 if i > 1 else None, f"F{i}") for i in range(1, 64)], "folder_id long, parent_id long, name string")
+    docs = spark.createDataFrame([(i, i, i, "a", "k", ["w"], None, f"g{i}") for i in range(32, 64)], "doc long, folder_id long, series long, sender string, kind string, words array<string>, clues array<string>, group string")
+    met, whole = [], placing.dealt
+    monkeypatch.setattr(placing, "dealt", lambda rows, table, keys: (met.append(table.count()), whole(rows, table, keys))[1])
+    found = placing.placed(docs, folders, docs)
+    assert {(r["group"], r["folder_id"], r["levels"]) for r in found.collect()} == {(f"g{i}", i, 6) for i in range(32, 64)}
+    known = placing.profiles(folders, docs).filter("what <> 'kind'").count()
+    assert sum(met[1:]) == known  # the first is of spellings
