@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates
-from lakefolio.operators import placing
+from lakefolio.operators import layout, placing
 
 
 def test_a_letter_of_many_dates(spark):
@@ -28,3 +28,23 @@ def test_a_level_meets_its_own_folders(spark, monkeypatch):
     assert {(r["group"], r["folder_id"], r["levels"]) for r in found.collect()} == {(f"g{i}", i, 6) for i in range(32, 64)}
     known = placing.profiles(folders, docs).filter("what <> 'kind'").count()
     assert sum(met[1:]) == known  # the first is of spellings
+
+
+def test_many_sheets_are_one_batch(spark):
+    """Every sheet was a data frame of its own, some 10 ms of work each."""
+    rows = spark.range(120_000).selectExpr("CAST(id DIV 3 AS INT) AS page", "CONCAT('w', id) AS text", "id % 3 * 20.0 AS x0", "id % 3 * 20.0 + 9 AS x1", "0.0 AS y0", "9.0 AS y1", "0.35 AS confidence").repartition(4)
+    layout.lines_of_cells(rows.limit(10), ["page"]).count()
+    start = time.monotonic()
+    found = {r.page: r.text for r in layout.lines_of_cells(rows, ["page"]).collect()}
+    assert found == {p: f"w{3 * p} w{3 * p + 1} w{3 * p + 2}" for p in range(40_000)}
+    assert time.monotonic() - start < 15
+
+
+def test_a_sheet_over_several_batches(spark):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = [(page, f"w{i:02}", i * 100.0, 0.0, i * 100.0 + 95, 9.0, None) for page in (2**60 + 1, 2**60 + 2, None) for i in range(25)]
+    df = spark.createDataFrame(rows, "page long, text string, x0 double, y0 double, x1 double, y1 double, confidence double").repartition(3)
+    found = {r.page: r.text for r in layout.lines_of_cells(df, ["page"]).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert found == dict.fromkeys((2**60 + 1, 2**60 + 2, None), " ".join(f"w{i:02}" for i in range(25)))
