@@ -1,12 +1,12 @@
 """A stored posting index: written once, replaced document by document.
 
-A posting is (doc_id, version, field, term, tf), the term a keyed hash of its kind
-and text: W a folded word, S its stems, P its beginnings of 3 to 15 letters, X the
-tails of words of 8 letters or more. Kinds, stems and hashes are worked out once a
-distinct word of the corpus and looked up by the words of documents, the most
-frequent of them without a shuffle. Postings lie in `BUCKETS` folders by their
-term and are sorted by it inside a file, so a query reads the folders, and there
-the row groups, of its own terms only.
+A posting is (doc_id, version, field, term, tf), the term a keyed hash of its word.
+What a word is asked for by are keyed hashes of a kind and text: W the folded word, S its
+stems, P its beginnings of 3 to 15 letters, X the tails of words of 8 letters or
+more. Those lie apart as (asked, term), once a distinct word, so a document's
+posting is not repeated for each of them. Postings lie in `BUCKETS` folders by their
+term and are sorted by it inside a file, the others likewise, so a query reads the
+folders, and there the row groups, of what it asks for and of the words of that.
 
 Documents are replaced by appending: their rows of statistics and their postings
 carry a version, and a query joins the postings of its terms with the latest
@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from .settled import settle
 from .skew import lookup
 
 BUCKETS = 64
+#: Words of a query's terms up to which their postings are found by a filter as well as by the join.
+NAMED = 2_000
 # Weights of fields and of kinds of terms; a stem that is a tail counts less.
 FIELDS = {"title": 2.0, "meta": 1.5, "content": 1.0}
 KINDS = {"W": 1.0, "S": 0.9, "X": 0.7, "P": 0.5}
@@ -37,11 +42,31 @@ MAX_WORDS = 12
 _MOST_TF = 32_767
 
 
-def field_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, field, word, tf) of docs (doc_id, title, content, meta)."""
-    fields = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.col(name).alias("text")) for name in FIELDS)))
-    rows = docs.select("doc_id", fields.alias("f")).select("doc_id", "f.field", F.explode(T.words(F.col("f.text"))).alias("word"))
-    return rows.groupBy("doc_id", "field", "word").agg(F.count("*").alias("tf"))
+def field_words(docs: DataFrame, key: bytes) -> DataFrame:
+    """(doc_id, field, word, tf) of docs (doc_id, title, content, meta): a word of a
+    field, hashed, and its count, without a shuffle. field: its place in `FIELDS`."""
+    names = list(FIELDS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}  # as many as a task has words
+        for batch in batches:
+            for at, name in enumerate(names):
+                lists = batch.column(name)
+                said = pa.array(lists.flatten()).dictionary_encode()
+                words = said.dictionary.to_pylist()
+                for w in words:
+                    if w not in known:
+                        known[w] = hash_of("V", w, key)
+                rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                pairs, times = np.unique(rows * max(1, len(words)) + said.indices.to_numpy(), return_counts=True)
+                hashes = np.fromiter((known[w] for w in words), np.int64, len(words))
+                ids = batch.column("doc_id").take(pa.array(pairs // max(1, len(words))))
+                columns = [ids, pa.array(np.full(len(pairs), at, np.int8)), pa.array(hashes[pairs % max(1, len(words))]), pa.array(times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "field", "word", "tf"])
+
+    none = F.array().cast("array<string>")
+    words = docs.select("doc_id", *(F.coalesce(T.words(F.col(c)), none).alias(c) for c in names))
+    return words.mapInArrow(counted, f"doc_id {dict(docs.dtypes)['doc_id']}, field tinyint, word long, tf int")
 
 
 def _hash(kind: Column, value: Column, key: bytes) -> Column:
@@ -80,17 +105,27 @@ def write(docs: DataFrame, folder: str, key: bytes, version: int = 0, kinds: str
     theirs. Null fields have no words; documents without words have a length of
     one; a repeated id is one document of all its rows. `files`: files a bucket.
     """
-    words = settle(field_words(docs))
-    terms = settle(dictionary(words, key, kinds))
-    counted = lookup(words, terms, "word").select("doc_id", "field", F.explode("terms.term").alias("term"), "tf")
-    counted = counted.groupBy("doc_id", "field", "term").agg(F.least(F.sum("tf"), F.lit(_MOST_TF)).cast("int").alias("tf"))
-    bucket, part = F.pmod("term", F.lit(BUCKETS)).cast("int"), F.pmod(F.xxhash64("doc_id"), F.lit(files))
-    rows = counted.select("doc_id", F.lit(version).alias("version"), "field", "term", "tf", bucket.alias("bucket"), part.alias("part"))
-    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "term").drop("part")
-    rows.write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
-    lengths = words.filter("field <> 'meta'").groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    stats = docs.select("doc_id").distinct().join(lengths, "doc_id", "left")
-    stats.select("doc_id", F.lit(version).alias("version"), F.greatest(F.coalesce("length", F.lit(1)), F.lit(1)).alias("length")).write.mode("append").parquet(f"{folder}/stats")
+    none = F.array().cast("array<string>")
+    of = lambda name: F.coalesce(T.words(F.col(name)), none)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(files))
+    rows = field_words(docs, key).repartition(_bucket("word"), part)
+    name = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1)
+    rows = rows.select("doc_id", F.lit(version).alias("version"), name.alias("field"), F.col("word").alias("term"), "tf", _bucket("word").alias("bucket"))
+    rows.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
+    said = docs.select(F.explode(F.array_distinct(F.concat(*map(of, FIELDS)))).alias("word"))
+    terms = dictionary(said, key, kinds).select(_hash(F.lit("V"), F.col("word"), key).alias("term"), F.explode("terms.term").alias("asked"))
+    _write_terms(terms, folder)
+    lengths = docs.groupBy("doc_id").agg(F.sum(F.size(of("title")) + F.size(of("content"))).alias("length"))
+    lengths.select("doc_id", F.lit(version).alias("version"), F.greatest("length", F.lit(1)).cast("long").alias("length")).write.mode("append").parquet(f"{folder}/stats")
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(column, F.lit(BUCKETS)).cast("int")
+
+
+def _write_terms(terms: DataFrame, folder: str) -> None:
+    rows = terms.select("asked", "term", _bucket("asked").alias("bucket")).distinct()
+    rows.repartition("bucket").sortWithinPartitions("bucket", "asked").write.mode("append").partitionBy("bucket").parquet(f"{folder}/terms")
 
 
 def remove(ids: DataFrame, folder: str, version: int) -> None:
@@ -104,18 +139,29 @@ def statistics(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("version").alias("version"), F.max_by("length", "version").alias("length")).filter("length IS NOT NULL")
 
 
+def _in(rows: DataFrame, column: str, some: list[int]) -> DataFrame:
+    """The stored rows of some values: their buckets are read, no others."""
+    return rows.filter(F.col("bucket").isin(sorted({x % BUCKETS for x in some})) & F.col(column).isin(some))
+
+
 def postings(spark: SparkSession, folder: str, terms: list[int]) -> DataFrame:
-    """The stored postings of some terms: their buckets are read, no others."""
+    """(doc_id, version, field, term, tf): the stored postings of some terms, a row a word of a term."""
+    words = settle(_in(spark.read.parquet(f"{folder}/terms"), "asked", terms).select("asked", "term").distinct())
     rows = spark.read.parquet(f"{folder}/postings")
-    return rows.filter(F.col("bucket").isin(sorted({t % BUCKETS for t in terms})) & F.col("term").isin(terms))
+    named = [r.term for r in words.select("term").distinct().limit(NAMED + 1).collect()]
+    if len(named) <= NAMED:
+        rows, words = _in(rows, "term", named), F.broadcast(words)
+    return rows.join(words, "term").select("doc_id", "version", "field", F.col("asked").alias("term"), "tf")
 
 
 def compacted(spark: SparkSession, folder: str, to: str) -> None:
-    """Writes the live postings and statistics of an index to another folder."""
+    """Writes the live postings, their words' terms and statistics of an index to another folder."""
     stats = settle(statistics(spark, folder))
     live = spark.read.parquet(f"{folder}/postings").join(stats.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
     live = live.select("doc_id", "version", "field", "term", "tf", "bucket")
     live.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/postings")
+    words = spark.read.parquet(f"{to}/postings").select("term").distinct()
+    _write_terms(spark.read.parquet(f"{folder}/terms").join(words, "term", "left_semi"), to)
     stats.write.parquet(f"{to}/stats")
 
 
@@ -160,6 +206,7 @@ def search(spark: SparkSession, folder: str, query: str, key: bytes, candidates:
     found = postings(spark, folder, [t for t, _, _ in asked])
     if candidates is not None:
         found = found.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = found.groupBy("doc_id", "version", "field", "term").agg(F.least(F.sum("tf"), F.lit(_MOST_TF)).cast("int").alias("tf"))
     q = F.broadcast(spark.createDataFrame(asked, "term long, qi int, w double"))  # a few terms a word
     weight = F.lit(0.0)
     for name, w in FIELDS.items():

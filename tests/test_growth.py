@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates
-from lakefolio.operators import layout, placing
+from lakefolio.operators import layout, placing, postings
 
 
 def test_a_letter_of_many_dates(spark):
@@ -48,3 +48,21 @@ def test_a_sheet_over_several_batches(spark):
     found = {r.page: r.text for r in layout.lines_of_cells(df, ["page"]).collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert found == dict.fromkeys((2**60 + 1, 2**60 + 2, None), " ".join(f"w{i:02}" for i in range(25)))
+
+
+def test_a_posting_is_stored_once(spark, tmp_path):
+    """It was stored for each beginning and tail of its word."""
+    docs = spark.range(50).selectExpr("id AS doc_id", "'Lizenzvereinbarung' AS title", "'Lizenzvereinbarung und Lizenzvertrag' AS content", "CAST(NULL AS STRING) AS meta")
+    postings.write(docs, str(tmp_path), b"k")
+    assert spark.read.parquet(f"{tmp_path}/postings").count() == 50 * 4
+    for query, n in (("lizenzver", 50), ("vertrag", 50), ("barung", 50), ("mietvertrag", 0)):
+        assert postings.search(spark, str(tmp_path), query, b"k").count() == n
+
+
+def test_terms_of_many_words_are_joined(spark, tmp_path, monkeypatch):
+    """Words of a query's terms are not collected beyond a bound."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS title", "CONCAT('lizenz', id, ' lizenz') AS content", "'' AS meta")
+    postings.write(docs, str(tmp_path), b"k")
+    want = postings.search(spark, str(tmp_path), "lizenz", b"k").collect()
+    monkeypatch.setattr(postings, "NAMED", 5)
+    assert len(want) == 40 and postings.search(spark, str(tmp_path), "lizenz", b"k").collect() == want
