@@ -9,6 +9,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settled import settle
+from .skew import lookup
+
 SORTS = ("relevance", "uploaded", "-uploaded", "date", "-date")
 STATUSES = ("new", "todo", "done")
 
@@ -150,9 +153,12 @@ def learned_aliases(senders: DataFrame, read: DataFrame, most: int = 30) -> Data
     documents owns the spelling, as its name or alias. Case does not matter."""
     low = lambda c: F.lower(F.col(c))
     having = senders.join(read.select("sender").distinct(), "sender", "left_semi")
-    owned = having.select(F.col("sender").alias("owner"), F.explode(F.array_append("aliases", F.col("name"))).alias("own")).select("owner", low("own").alias("low")).distinct()
+    owned = having.select(F.col("sender").alias("owner"), F.explode(F.array_append("aliases", F.col("name"))).alias("own"))
+    # another sender owns a spelling if its smallest or its largest owner is another: no reader meets all owners
+    owned = settle(owned.groupBy(low("own").alias("low")).agg(F.min("owner").alias("least"), F.max("owner").alias("most")))
     new = read.select("sender", "spelling", low("spelling").alias("low")).distinct()
-    others = new.join(owned, "low").filter("owner <> sender").select("sender", "low").distinct()
+    new = settle(new)
+    others = lookup(new, owned, "low").filter("least <> sender OR most <> sender").select("sender", "low")
     free = new.join(others, ["sender", "low"], "left_anti").groupBy("sender").agg(F.collect_set("spelling").alias("more"))
     united = F.slice(F.array_sort(F.array_remove(F.array_union("aliases", F.coalesce("more", F.array().cast("array<string>"))), F.col("name"))), 1, most)
     return senders.join(free, "sender", "left").select("sender", united.alias("aliases"))

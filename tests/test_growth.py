@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates
-from lakefolio.operators import layout, placing, postings
+from lakefolio.operators import desk, layout, placing, postings
 
 
 def test_a_letter_of_many_dates(spark):
@@ -66,3 +66,13 @@ def test_terms_of_many_words_are_joined(spark, tmp_path, monkeypatch):
     want = postings.search(spark, str(tmp_path), "lizenz", b"k").collect()
     monkeypatch.setattr(postings, "NAMED", 5)
     assert len(want) == 40 and postings.search(spark, str(tmp_path), "lizenz", b"k").collect() == want
+
+
+def test_an_alias_of_many_senders(spark):
+    """Every reader of a spelling met every owner of it: here 900 million pairs."""
+    senders = spark.range(30_000).selectExpr("id AS sender", "CONCAT('n', id) AS name", "ARRAY('Same') AS aliases")
+    read = spark.range(30_000).selectExpr("id AS sender", "EXPLODE(ARRAY('SAME', CONCAT('own ', id), CONCAT('N', id))) AS spelling")
+    start = time.monotonic()
+    found = {r.sender: r.aliases for r in desk.learned_aliases(senders, read).collect()}
+    assert time.monotonic() - start < 60
+    assert found == {i: sorted(["Same", f"own {i}", f"N{i}"]) for i in range(30_000)}
