@@ -62,9 +62,15 @@ def search(docs: DataFrame, query: list[str], candidates: Column | None = None,
     return found.orderBy(F.desc("score"), F.desc("doc_id")).limit(limit).crossJoin(F.broadcast(total))
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) dealt by document, so that all that is counted in one later
+    is where it is: a text is smaller than its words or terms."""
+    return docs.select("doc_id", "text").repartition("doc_id")
+
+
 def word_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, term, tf): whole words, proper prefixes and compound tails."""
-    counted = docs.select("doc_id", F.explode(T.words("text")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
+    counted = _dealt(docs).select("doc_id", F.explode(T.words("text")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
     plain = ~F.col("w").isin(*T.STOP_WORDS) & ~F.col("w").rlike("^[0-9]+$")
     n = F.length("w")
     prefixes = F.when(plain & (n > 3), F.transform(F.sequence(F.lit(3), F.least(F.lit(15), n - 1)), lambda i: F.struct(F.lit("P").alias("kind"), F.substr("w", F.lit(1), i).alias("term"))))
@@ -76,7 +82,7 @@ def word_terms(docs: DataFrame) -> DataFrame:
 
 def signature(docs: DataFrame, top: int = 300) -> DataFrame:
     """(doc_id, place, term, tf): the most frequent words of each document."""
-    counted = docs.select("doc_id", F.explode(T.words("text")).alias("term")).filter(~F.col("term").isin(*T.STOP_WORDS))
+    counted = _dealt(docs).select("doc_id", F.explode(T.words("text")).alias("term")).filter(~F.col("term").isin(*T.STOP_WORDS))
     counted = counted.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("tf"), "term")
     return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)

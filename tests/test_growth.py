@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates
-from lakefolio.operators import desk, layout, placing, postings
+from lakefolio.operators import desk, layout, placing, postings, search
 
 
 def test_a_letter_of_many_dates(spark):
@@ -76,3 +76,12 @@ def test_an_alias_of_many_senders(spark):
     found = {r.sender: r.aliases for r in desk.learned_aliases(senders, read).collect()}
     assert time.monotonic() - start < 60
     assert found == {i: sorted(["Same", f"own {i}", f"N{i}"]) for i in range(30_000)}
+
+
+def test_texts_are_dealt_once(spark):
+    """Words and terms of a document, which are larger than its text, were shuffled two times over."""
+    docs = spark.createDataFrame([(1, "Lizenz Lizenzvertrag"), (2, None)], "doc_id long, text string")
+    for found in (search.word_terms(docs), search.signature(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.kind, r.term, r.tf) for r in search.word_terms(docs).filter("kind = 'W'").collect()} == {("W", "lizenz", 1), ("W", "lizenzvertrag", 1)}
