@@ -1,11 +1,12 @@
 """What work grows with: things that were once worked out again for every part."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates
-from lakefolio.operators import desk, layout, placing, postings, search
+from lakefolio.operators import closeness, desk, layout, placing, postings, search
 
 
 def test_a_letter_of_many_dates(spark):
@@ -85,3 +86,16 @@ def test_texts_are_dealt_once(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange hashpartitioning") == 1
     assert {(r.kind, r.term, r.tf) for r in search.word_terms(docs).filter("kind = 'W'").collect()} == {("W", "lizenz", 1), ("W", "lizenzvertrag", 1)}
+
+
+def test_labels_of_common_letters(spark):
+    """Labels met by their rarest pairs of letters, of which there are few kinds: here some 170 million pairs."""
+    rng = random.Random(7)
+    spelled = ["".join(rng.choice("abcdefghijkl") for _ in range(12)) for _ in range(30_000)]
+    planted = [a[:5] + "xy" + a[6:] for a in spelled[:50]] + [a[1:] for a in spelled[50:100]]
+    labels = spark.createDataFrame([(a,) for a in spelled + planted], "label string").repartition(4)
+    start = time.monotonic()
+    found = {(r.label, r.other) for r in closeness.close(labels, labels, 88).collect()}
+    assert time.monotonic() - start < 60
+    assert {(b, a) for a, b in found} == found and all(closeness.ratio(a, b) >= 88 for a, b in found)
+    assert set(zip(spelled[:100], planted)) <= found and {(a, a) for a in spelled + planted} <= found
