@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import review
+from ..operators.settled import settle
 from ..sources.tables import scan
 from .archive import _ALL_FOLDERS, _FOLDERS, _folders
 from .book import ORACLE_SQL, query
@@ -79,7 +80,7 @@ WITH u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
 SELECT doc_id, len(a) AS hashes, round(CASE WHEN len(u) > 0 THEN len(list_filter(u, lambda h: list_contains(a, h) AND list_contains(b, h))) / len(u) ELSE 0 END, 6) AS same FROM p""")
 def sketch_similarity(spark: SparkSession, folder: str) -> DataFrame:
     words = scan(spark, folder, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
-    sketches = words.select("doc_id", review.sketch(F.col("w")).alias("k"))
+    sketches = settle(words.select("doc_id", review.sketch(F.col("w")).alias("k")))
     pairs = sketches.withColumnRenamed("k", "a").join(sketches.select((F.col("doc_id") - 1).alias("doc_id"), F.col("k").alias("b")), "doc_id")
     return pairs.select("doc_id", F.size("a").cast("long").alias("hashes"), F.round(review.sketch_similarity(F.col("a"), F.col("b")), 6).alias("same"))
 

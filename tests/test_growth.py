@@ -99,3 +99,11 @@ def test_labels_of_common_letters(spark):
     assert time.monotonic() - start < 60
     assert {(b, a) for a, b in found} == found and all(closeness.ratio(a, b) >= 88 for a, b in found)
     assert set(zip(spelled[:100], planted)) <= found and {(a, a) for a in spelled + planted} <= found
+
+
+def test_a_sketch_is_made_once(spark):
+    """Words and sketches of a document were worked out for both pairs it is in."""
+    from lakefolio.plans import registry
+
+    plan = registry.QUERIES["sketch_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Scan ExistingRDD") == 2
