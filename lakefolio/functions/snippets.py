@@ -8,7 +8,7 @@ the folded text less the marks up to it. All of that is column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import FOLDS
@@ -51,17 +51,26 @@ def place_of(marked: Column, at: Column) -> Column:
 def first_hit(text: Column, needles: list[list[str]]) -> Column:
     """The place in the text of the first hit; null if there is none.
 
-    needles: for each word its folded forms; the longest that occurs counts.
+    needles: for each word its folded forms; the longest that occurs counts. The
+    text is folded once for all of them, and the mask is of the text up to the
+    hit: folding makes no text shorter.
     """
-    whole = folded(text)
-    words = []
-    for some in needles:
-        places = [F.nullif(F.instr(whole, n), F.lit(0)) for n in sorted((n for n in some if len(n) >= 2), key=lambda n: (-len(n), n))]
-        if places:
-            words.append(F.coalesce(*places))
-    if not words:
+    every = [sorted((n for n in some if len(n) >= 2), key=lambda n: (-len(n), n)) for some in needles]
+    if not any(every):
         return F.lit(None).cast("int")
-    return place_of(mask(text), F.array_min(F.filter(F.array(*words), lambda p: p.isNotNull())))
+
+    def first(whole: Column) -> Column:
+        return F.array_min(F.array_compact(F.array(*(F.coalesce(*(F.nullif(F.instr(whole, n), F.lit(0)) for n in some)) for some in every if some))))
+
+    at = F.transform(F.array(folded(text)), first)
+    return F.get(F.transform(at, lambda p: F.when(p.isNotNull(), place_of(mask(F.substr(text, F.lit(1), p)), p))), F.lit(0))
+
+
+def hits(rows: DataFrame, text: str, needles: list[list[str]], name: str) -> DataFrame:
+    """The rows of which the text has a hit, with its place, worked out once a row:
+    a filter by the place would work it out again."""
+    found = F.array_compact(F.array(first_hit(F.col(text), needles)))
+    return rows.select("*", F.explode(found).alias(name))
 
 
 def window(text: Column, hit: Column) -> Column:

@@ -141,7 +141,7 @@ SELECT doc_id, CAST(hit AS INTEGER) AS hit, CASE WHEN start > 1 THEN '… ' ELSE
 def snippets_folded(spark: SparkSession, folder: str) -> DataFrame:
     """Excerpts around the first hit of any of three folded words, as the text has them."""
     text = F.col("text")
-    rows = scan(spark, folder, "documents").select("doc_id", "text", snippets.first_hit(text, NEEDLES).alias("hit")).filter("hit IS NOT NULL")
+    rows = snippets.hits(scan(spark, folder, "documents").select("doc_id", "text"), "text", NEEDLES, "hit")
     return rows.withColumn("w", snippets.window(text, F.col("hit"))).select("doc_id", F.col("hit").cast("int").alias("hit"), snippets.shown(text, F.col("w")).alias("shown"))
 
 

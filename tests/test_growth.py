@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lakefolio.functions import dates
+from lakefolio.functions import dates, snippets
 from lakefolio.operators import closeness, desk, layout, placing, postings, search
 
 
@@ -107,3 +107,11 @@ def test_a_sketch_is_made_once(spark):
 
     plan = registry.QUERIES["sketch_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("Scan ExistingRDD") == 2
+
+
+def test_a_text_is_folded_once(spark):
+    """It was folded for every needle, and all of that again for the filter."""
+    docs = spark.createDataFrame([("ä" * 5 + "Lizenz",), ("nichts",), (None,)], "text string")
+    found = snippets.hits(docs, "text", [["lizenz"], ["xx", "yy"], ["zenz"]], "hit")
+    assert [r.hit for r in found.collect()] == [6]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 3  # one of them the text, two the part up to the hit
