@@ -11,14 +11,11 @@ from .settled import settle
 ALPHA = 0.5
 
 
-def features(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts by (class, word), and by class: documents, tokens, vocabulary, share.
     Classes of one document are dropped; their words stay in the vocabulary."""
-    seen = features(docs).join(labels.select("doc_id", F.col("label").alias("class")), "doc_id")
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("label").alias("class")), "doc_id")
+    seen = labelled.select("class", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
     counts = settle(seen.groupBy("class", "word").agg(F.count("*").alias("n")))
     sizes = labels.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("docs")).filter("docs >= 2")
     tokens = counts.groupBy("class").agg(F.sum("n").alias("tokens"))
@@ -54,7 +51,7 @@ def predict(docs: DataFrame, counts: DataFrame, classes: DataFrame) -> DataFrame
     few = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
     weights = counts.join(few, "class").select("class", "word", (weight(F.col("n")) - weight(F.lit(0))).alias("more"))
     known = lookup_words(words, weights).groupBy("doc_id", "class").agg(F.sum("more").alias("more"))
-    sizes = words.select("doc_id", F.size("words").alias("words"))
+    sizes = settle(words.select("doc_id", F.size("words").alias("words")))  # texts are not cut again for each use
     base = F.log("share") + F.col("words") * weight(F.lit(0))
     unmet = sizes.select("words").distinct().crossJoin(few).select("words", "class", base.alias("score"))
     unmet = unmet.groupBy("words").agg(F.max(F.struct("score", "class")).alias("best"))

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates, snippets
-from lakefolio.operators import closeness, desk, layout, placing, postings, search
+from lakefolio.operators import bayes, closeness, desk, layout, placing, postings, search
 
 
 def test_a_letter_of_many_dates(spark):
@@ -115,3 +115,13 @@ def test_a_text_is_folded_once(spark):
     found = snippets.hits(docs, "text", [["lizenz"], ["xx", "yy"], ["zenz"]], "hit")
     assert [r.hit for r in found.collect()] == [6]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 3  # one of them the text, two the part up to the hit
+
+
+def test_words_of_labelled_documents_only(spark, monkeypatch):
+    """Words of all documents were shuffled to meet the labels, in place of texts."""
+    docs = spark.createDataFrame([(1, "a1 b1"), (2, "a1 a1"), (3, "c1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, label string")
+    plans, whole = [], bayes.settle
+    monkeypatch.setattr(bayes, "settle", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), whole(df))[1])
+    assert {tuple(r) for r in bayes.fit(docs, labels)[0].collect()} == {("x", "a1", 2), ("x", "b1", 1)}
+    assert plans[0].index("Generate") < plans[0].index("Join")
