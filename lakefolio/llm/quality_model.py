@@ -26,20 +26,23 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The features of every whole text; zero where a text is null or empty."""
     text = F.col("text")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).withColumns({"words": T.words(text), "lines": T.lines(text)})
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    # small letters and blanks are most of a text and are no sign, mark, digit or capital: those are looked for in what is left
+    rows = rows.withColumns({"words": T.words(text), "lines": T.lines(text), "rest": F.regexp_replace("text", "[a-z ]+", "")})
+    rest, chars = F.col("rest"), F.length(F.array_join("words", "")).cast("long")
     counted = rows.select(
         id_col,
         F.size("words").alias("n"),
         F.size("lines").alias("l"),
-        T.word_chars(text).alias("c"),
+        chars.alias("c"),
         F.size(F.array_distinct("words")).alias("d"),
         T.repeats(F.col("lines")).alias("r"),
-        T.count(text, T.SYMBOLS).alias("s"),
-        T.count(text, r"[|]").alias("b"),
-        T.count(text, r"[!?]").alias("m"),
-        T.count(text, r"\p{Lu}").alias("u"),
-        T.count(text, r"\p{L}").alias("a"),
-        T.count(text, r"[0-9]").alias("g"),
+        T.count(rest, T.SYMBOLS).alias("s"),
+        T.count(rest, r"[|]").alias("b"),
+        T.count(rest, r"[!?]").alias("m"),
+        T.count(rest, r"\p{Lu}").alias("u"),
+        (chars - T.kept_chars(rest, r"[\p{L}\x20\x09-\x0D]+")).alias("a"),
+        T.count(rest, r"[0-9]").alias("g"),
     )
     n, c = F.col("n"), F.col("c")
     values = {

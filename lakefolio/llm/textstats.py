@@ -15,6 +15,12 @@ def count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def kept_chars(text: Column, others: str) -> Column:
+    """The characters outside a class, by the pattern of runs of that class; zero in
+    a null text. Equal to `count` of the class's complement, but works a run at a time."""
+    return F.coalesce(F.length(F.regexp_replace(text, others, "")), F.lit(0)).cast("long")
+
+
 def words(text: Column) -> Column:
     """The words in order; none in a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -556,3 +556,18 @@ def test_wrappers_keep_a_named_header_with_the_title():
     for name in ("page-header", "post-header", "entry-header"):
         assert texts_of([page % (name, i, i) for i in range(4)]) == [f"Title {i}\nText {i} of the page that differs." for i in range(4)]
     assert texts_of(["<head><title>x</title><p>No body tag</p>"]) == ["No body tag"]
+
+
+def test_quality_statistics_once(spark):
+    """Signs are counted in what small letters and blanks leave, with the counts of the definition."""
+    texts = [None, "", " \n\n a\tb", "Äöß É1 日本 𝒜𝔸 ǅ |!?#*$ x y\u0085z\x0b w", "aaa", "A", "é İ ﬁ 😀 ٣", "one ONE\none ONE\n 12|3!"]
+    got = quality_model.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "regexp_count(text" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for row in got.collect():
+        text = texts[row.doc_id] or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]", text) if w]
+        chars, letters = sum(map(len, words)), sum(unicodedata.category(c)[0] == "L" for c in text)
+        upper, share = sum(unicodedata.category(c) == "Lu" for c in text), lambda a, b: a / b if b else 0.0
+        assert (row.n_words, row.word_size, row.letters) == (len(words), share(chars, len(words)), share(letters, chars))
+        assert (row.upper, row.digits) == (share(upper, letters), share(sum(c in "0123456789" for c in text), chars))
+        assert (row.symbols, row.bars, row.marks) == tuple(share(sum(c in some for c in text), len(words)) for some in ("#*$%&|<>", "|", "!?"))
