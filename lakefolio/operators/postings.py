@@ -28,7 +28,6 @@ from ..functions import stems as S
 from ..functions import text as T
 from .search import B, K1
 from .settled import settle
-from .skew import lookup
 
 BUCKETS = 64
 #: Words of a query's terms up to which their postings are found by a filter as well as by the join.
@@ -40,6 +39,8 @@ STEM_TAIL = 0.9
 #: Query words at most.
 MAX_WORDS = 12
 _MOST_TF = 32_767
+#: Words whose stems a task keeps, and those of a batch.
+KNOWN_STEMS = 200_000
 
 
 def field_words(docs: DataFrame, key: bytes) -> DataFrame:
@@ -223,11 +224,43 @@ def search(spark: SparkSession, folder: str, query: str, key: bytes, candidates:
 
 
 def signatures(docs: DataFrame, top: int = 300) -> DataFrame:
-    """(doc_id, place, stem, tf): the most frequent stems of (doc_id, content)."""
-    from pyspark.sql import Window
-
-    words = settle(docs.select("doc_id", F.explode(T.words(F.col("content"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf")))
-    stemmed = words.select("word").distinct().withColumn("stems", S.stems_of(F.col("word")))
-    counted = lookup(words, stemmed, "word").select("doc_id", F.explode("stems").alias("stem"), "tf").groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("tf"), "stem")
-    return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("doc_id", "place", "stem", "tf")
+    """(doc_id, place, stem, tf): the most frequent stems of (doc_id, content).
+
+    Words are counted, stemmed and ranked where a document lies: only its `top`
+    stems leave a task, and nothing but ids is shuffled. A repeated id is one
+    document of all its rows; only then texts are brought together.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not counts.filter("n > 1").isEmpty():
+        docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("content"), " ").alias("content"))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            lists = batch.column("words")
+            said = pa.array(lists.flatten()).dictionary_encode()
+            words = said.dictionary.to_pylist()
+            rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            pairs, times = np.unique(rows * max(1, len(words)) + said.indices.to_numpy(), return_counts=True)
+            if len(known) > KNOWN_STEMS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = S.stems(w)
+            names = sorted({s for w in words for s in known[w]})
+            number = {s: i for i, s in enumerate(names)}
+            of = [np.fromiter((number[known[w][n]] if len(known[w]) > n else -1 for w in words), np.int64, len(words)) for n in (0, 1)]  # two stems at most
+            row, word = np.divmod(pairs, max(1, len(words)))
+            stem, row, times = np.concatenate([x[word] for x in of]), np.tile(row, 2), np.tile(times, 2)
+            keys, back = np.unique((row * max(1, len(names)) + stem)[stem >= 0], return_inverse=True)
+            tf = np.bincount(back, times[stem >= 0], len(keys)).astype(np.int64)
+            row, stem = np.divmod(keys, max(1, len(names)))
+            order = np.lexsort((stem, -tf, row))
+            row, stem, tf = row[order], stem[order], tf[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            kept = place <= top
+            columns = [batch.column("doc_id").take(pa.array(row[kept])), pa.array(place[kept].astype(np.int32)), pa.array(names, pa.string()).take(pa.array(stem[kept])), pa.array(tf[kept])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "stem", "tf"])
+
+    words = docs.select("doc_id", F.coalesce(T.words(F.col("content")), F.array().cast("array<string>")).alias("words"))
+    return words.mapInArrow(ranked, f"doc_id {dict(docs.dtypes)['doc_id']}, place int, stem string, tf bigint")

@@ -125,3 +125,15 @@ def test_words_of_labelled_documents_only(spark, monkeypatch):
     monkeypatch.setattr(bayes, "settle", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), whole(df))[1])
     assert {tuple(r) for r in bayes.fit(docs, labels)[0].collect()} == {("x", "a1", 2), ("x", "b1", 1)}
     assert plans[0].index("Generate") < plans[0].index("Join")
+
+
+def test_signatures_where_documents_lie(spark):
+    """Words are not shuffled to be stemmed; rows of one id are one document."""
+    rows = spark.createDataFrame([(1, "Licenses licensed, licenses"), (2, None), (3, "häuser " * 3 + "10 a")], "doc_id long, content string")
+    got = postings.signatures(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    of = {i: [(r.place, r.stem, r.tf) for r in sorted(got.collect()) if r.doc_id == i] for i in (1, 2, 3)}
+    assert of[1][0][2] == 3 and of[2] == [] and of[3][-1] == (len(of[3]), "10", 1)
+    twice = rows.unionByName(spark.createDataFrame([(1, "licensed"), (None, "word")], "doc_id long, content string"))
+    more = postings.signatures(twice, top=1).collect()
+    assert sorted((r.doc_id or 0, r.tf) for r in more) == [(0, 1), (1, 4), (3, 3)]
