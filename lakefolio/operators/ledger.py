@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def stage_limit(stage: Column, pages: Column, base: float = 600, a_page: float = 60, model: float = 300) -> Column:
     """Seconds that a stage may take: stages that go page by page get more for
@@ -177,6 +181,54 @@ def sender_entry(text: Column) -> Column:
     return F.when(low.rlike(r"^[^@\s]*@[a-z0-9-]+(\.[a-z0-9-]+)+$"), low)
 
 
+def accented_spellings(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, plain, spelled) of docs (doc_id, text) that mostly spell a
+    word with accents: such words without and with them, sorted by `plain`.
+
+    A word's spelling is its most frequent one (ties: the first) in its document,
+    in small letters. Words are counted where a document lies; a repeated id is one
+    document of all its rows, and only then texts are brought together. Null texts
+    and ids give no row.
+    """
+    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    texts = docs if once else docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    marks = str.maketrans(T.ACCENTED, T.PLAIN)
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            said = pa.array(lists.flatten()).dictionary_encode()
+            words = said.dictionary.to_pylist()
+            plain = [w if w.isascii() else w.translate(marks) for w in words]
+            names = sorted({p for p, w in zip(plain, words) if p != w})
+            number = {p: i for i, p in enumerate(names)}
+            # a plain word that no word of the batch spells with accents is nothing to look at
+            of = np.fromiter((number.get(p, -1) for p in plain), np.int64, len(words))
+            place = np.empty(len(words), np.int64)
+            place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+            rows, at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), said.indices.to_numpy()
+            some = of[at] >= 0
+            pairs, n = np.unique(rows[some] * max(1, len(words)) + at[some], return_counts=True)
+            row, word = np.divmod(pairs, max(1, len(words)))
+            order = np.lexsort((place[word], -n, of[word], row))
+            row, word = row[order], word[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (of[word][1:] != of[word][:-1])
+            marked = np.fromiter((p != w for p, w in zip(plain, words)), bool, len(words))
+            row, word = row[first & marked[word]], word[first & marked[word]]
+            held, starts = np.unique(row, return_index=True)
+            ends = pa.array(np.append(starts, len(row)).astype(np.int32))
+            known = [pa.ListArray.from_arrays(ends, pa.array(x, pa.string()).take(pa.array(y))) for x, y in ((names, of[word]), (words, word))]
+            columns = [batch.column(c).take(pa.array(held)) for c in ("doc_id", "text")] + known
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "plain", "spelled"])
+
+    runs = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    said = texts.select("doc_id", "text", F.transform(runs, lambda w: F.lower(w)).alias("words"))
+    found = said.mapInArrow(spelled, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, plain array<string>, spelled array<string>")
+    return found if once else docs.join(found.drop("text"), "doc_id")
+
+
 def restored_diacritics(text: Column, plain: Column, spelled: Column) -> Column:
     """The text with words without accents replaced by the spelling at the same
     place of `spelled`, in the word's own case. plain, spelled: arrays of small

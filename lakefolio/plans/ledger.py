@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import ledger
 from ..sources.tables import scan
 from .book import query
@@ -182,12 +181,8 @@ WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'
 SELECT doc_id, len(list_filter(words, lambda x: list_position(plain, lower(x)) > 0)) AS restored, len(plain) AS known FROM t""")
 def diacritics_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Words without accents that their document mostly spells with them."""
-    docs = scan(spark, folder, "documents").filter("text IS NOT NULL")
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("w")).select("doc_id", F.lower("w").alias("w"))
-    counted = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).withColumn("plain", T.without_accents(F.col("w")))
-    best = counted.groupBy("doc_id", "plain").agg(F.min_by("w", F.struct(-F.col("n"), F.col("w"))).alias("w")).filter("w <> plain")
-    known = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("plain", "w"))).alias("k")).select("doc_id", "k.plain", F.col("k.w").alias("spelled"))
-    rows = docs.join(known, "doc_id").select("doc_id", "plain", "text", ledger.restored_diacritics(F.col("text"), F.col("plain"), F.col("spelled")).alias("new"))
+    docs = ledger.accented_spellings(scan(spark, folder, "documents"))
+    rows = docs.select("doc_id", "plain", "text", ledger.restored_diacritics(F.col("text"), F.col("plain"), F.col("spelled")).alias("new"))
     changed = F.zip_with(F.split("text", " "), F.split("new", " "), lambda a, b: a != b)
     return rows.select("doc_id", F.size(F.filter(changed, lambda x: x)).cast("long").alias("restored"), F.size("plain").cast("long").alias("known"))
 
