@@ -64,10 +64,10 @@ WITH {_DISTINCT}, n AS (SELECT count(DISTINCT doc_id) AS n FROM w), r AS (SELECT
 SELECT a, b, round(CASE WHEN either > 0 THEN shared / either ELSE 0 END, 4) AS overlap FROM p""")
 def overlap_by_rarity(spark: SparkSession, folder: str) -> DataFrame:
     docs = scan(spark, folder, "documents")
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
+    sets = docs.select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("words"))
     ids = docs.select(F.col("doc_id").alias("a"))
     pairs = ids.join(ids.select((F.col("a") - 1).alias("a"), F.col("a").alias("b")), "a")
-    return review.overlap_by_rarity(words, pairs, "doc_id", "w").withColumn("overlap", F.round("overlap", 4))
+    return review.overlap_by_rarity(sets, pairs, "doc_id").withColumn("overlap", F.round("overlap", 4))
 
 
 @query(f"""

@@ -1,12 +1,13 @@
 """What work grows with: things that were once worked out again for every part."""
 
+import math
 import random
 import time
 
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates, snippets
-from lakefolio.operators import bayes, closeness, desk, layout, placing, postings, search
+from lakefolio.operators import bayes, closeness, desk, layout, ledger, placing, postings, review, search
 
 
 def test_a_letter_of_many_dates(spark):
@@ -137,3 +138,28 @@ def test_signatures_where_documents_lie(spark):
     twice = rows.unionByName(spark.createDataFrame([(1, "licensed"), (None, "word")], "doc_id long, content string"))
     more = postings.signatures(twice, top=1).collect()
     assert sorted((r.doc_id or 0, r.tf) for r in more) == [(0, 1), (1, 4), (3, 3)]
+
+
+def test_spellings_where_documents_lie(spark):
+    """Words are not shuffled to be counted; rows of one id are one document."""
+    rows = spark.createDataFrame([(1, "für fur für Über"), (2, "uber fur"), (3, None), (None, "für"), (4, "é e é e")], "doc_id long, text string")
+    got = ledger.accented_spellings(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (r.plain, r.spelled) for r in got.collect()} == {1: (["fur", "uber"], ["für", "über"])}
+    more = ledger.accented_spellings(rows.unionByName(spark.createDataFrame([(2, "über für für"), (2, "über")], "doc_id long, text string"))).collect()
+    assert sorted((r.doc_id, r.text) for r in more) == [(1, "für fur für Über"), (2, "uber fur"), (2, "über"), (2, "über für für")]
+    assert all(r.spelled == ["für", "über"] for r in more)
+
+
+def test_overlap_of_whole_sets(spark):
+    """Pairs meet arrays: a word is not moved for every pair, and none is lost."""
+    sets = {1: ["a", "b", "c"], 2: ["b", "c", "d"], 3: [], 4: None, 5: ["e"]}
+    rows = spark.createDataFrame(list(sets.items()), "item long, words array<string>")
+    pairs = [(1, 2), (2, 3), (3, 4), (1, 5), (2, 1)]
+    got = {(r.a, r.b): r.overlap for r in review.overlap_by_rarity(rows, spark.createDataFrame(pairs, "a long, b long"), "item").collect()}
+    df = {w: sum(w in (s or []) for s in sets.values()) for w in "abcde"}
+    weight = lambda words: sum(math.log1p(3 / (1 + df[w])) for w in words)
+    for a, b in pairs:
+        either = set(sets[a] or []) | set(sets[b] or [])
+        assert abs(got[a, b] - (weight(set(sets[a] or []) & set(sets[b] or [])) / weight(either) if either else 0)) < 1e-12
+    assert len(got) == len(pairs)
