@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .settled import settle
+from .skew import parts_of
 
 
 def stage_limit(stage: Column, pages: Column, base: float = 600, a_page: float = 60, model: float = 300) -> Column:
@@ -110,11 +112,13 @@ def ranked_tags(uses: DataFrame, own: DataFrame, most: int = 80) -> DataFrame:
 
     The tags that are no document's own are the same for all documents: the
     `most` first of them are enough, however many there are."""
-    used = uses.orderBy(F.desc("n"), "tag").limit(most)
+    own, used = settle(own.select("doc_id", "tag")), uses.orderBy(F.desc("n"), "tag").limit(most)
     mine = own.join(uses, "tag").select("doc_id", "tag", "n", F.lit(0).alias("rank"))
-    rest = own.select("doc_id").distinct().crossJoin(F.broadcast(used)).join(own, ["doc_id", "tag"], "left_anti").select("doc_id", "tag", "n", F.lit(1).alias("rank"))
+    rest = own.select("doc_id").distinct().crossJoin(F.broadcast(used)).select("doc_id", "tag", "n", F.lit(1).alias("rank"))
+    # one shuffle, by document: what is its own counts as that, and the rest is ranked where it lies
+    rows = mine.union(rest).repartition(parts_of(own.count()), "doc_id").groupBy("doc_id", "tag").agg(F.max("n").alias("n"), F.min("rank").alias("rank"))
     order = Window.partitionBy("doc_id").orderBy("rank", F.desc("n"), "tag")
-    return mine.union(rest).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("doc_id", "place", "tag")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("doc_id", "place", "tag")
 
 
 def series_list(series: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 from lakefolio.functions import dates, snippets
-from lakefolio.operators import bayes, closeness, desk, layout, ledger, placing, postings, review, search
+from lakefolio.operators import bayes, closeness, desk, layout, ledger, placing, postings, review, search, skew
+from lakefolio.plans import ledger as ledger_plans
 
 
 def test_a_letter_of_many_dates(spark):
@@ -163,3 +164,20 @@ def test_overlap_of_whole_sets(spark):
         either = set(sets[a] or []) | set(sets[b] or [])
         assert abs(got[a, b] - (weight(set(sets[a] or []) & set(sets[b] or [])) / weight(either) if either else 0)) < 1e-12
     assert len(got) == len(pairs)
+
+
+def test_parts_by_rows(spark, monkeypatch):
+    """Twelve tasks held all lines, however many there were."""
+    monkeypatch.setattr(skew, "PART_ROWS", 100)
+    assert skew.parts_of(10_000) == 100
+    lines = spark.range(5000).select((F.col("id") % 7).alias("folder_id"), (F.col("id") % 50).cast("string").alias("tag"))
+    folders = spark.range(7).select(F.col("id").alias("folder_id"), F.when(F.col("id") > 0, F.lit(0)).cast("long").alias("parent_id"))
+    got = review.profile(folders, lines, "tag")
+    assert "REPARTITION_BY_NUM, [plan_id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 200), REPARTITION_BY_NUM" in plan and ", 50), REPARTITION_BY_NUM" in plan
+    assert {(r.tag, r.n) for r in got.collect() if r.folder_id == 0} == {("0", 100), ("1", 100), ("10", 100)}
+    own = lines.withColumnRenamed("folder_id", "doc_id").distinct()
+    ranked = ledger.ranked_tags(lines.groupBy("tag").agg(F.count("*").alias("n")), own, most=60)
+    assert "REPARTITION_BY_NUM" in ranked._jdf.queryExecution().executedPlan().toString()
+    assert ranked.count() == 7 * 50 and {r.tag for r in ranked.filter("place = 1").collect()} == {"0"}
+    alterations = ledger_plans._alterations(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in alterations._jdf.queryExecution().executedPlan().toString()
