@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import stems as S
 from ..functions import text as T
 from .search import B, K1
-from .settled import settle
+from .settled import freed, settle
 
 BUCKETS = 64
 #: Words of a query's terms up to which their postings are found by a filter as well as by the join.
@@ -41,6 +41,9 @@ MAX_WORDS = 12
 _MOST_TF = 32_767
 #: Words whose stems a task keeps, and those of a batch.
 KNOWN_STEMS = 200_000
+#: Words whose terms are made at once.
+WORDS = 2_000
+_COMMON = frozenset(T.COMMON_WORDS)
 
 
 def field_words(docs: DataFrame, key: bytes) -> DataFrame:
@@ -50,6 +53,7 @@ def field_words(docs: DataFrame, key: bytes) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}  # as many as a task has words
+        hashed = _hasher(key)
         for batch in batches:
             for at, name in enumerate(names):
                 lists = batch.column(name)
@@ -57,7 +61,7 @@ def field_words(docs: DataFrame, key: bytes) -> DataFrame:
                 words = said.dictionary.to_pylist()
                 for w in words:
                     if w not in known:
-                        known[w] = hash_of("V", w, key)
+                        known[w] = hashed("V", w)
                 rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
                 pairs, times = np.unique(rows * max(1, len(words)) + said.indices.to_numpy(), return_counts=True)
                 hashes = np.fromiter((known[w] for w in words), np.int64, len(words))
@@ -70,33 +74,58 @@ def field_words(docs: DataFrame, key: bytes) -> DataFrame:
     return words.mapInArrow(counted, f"doc_id {dict(docs.dtypes)['doc_id']}, field tinyint, word long, tf int")
 
 
-def _hash(kind: Column, value: Column, key: bytes) -> Column:
-    return F.conv(F.substring(T.keyed_hash(F.concat(kind, F.lit("\0"), value), key), 1, 16), 16, -10).cast("long")
-
-
 def hash_of(kind: str, value: str, key: bytes) -> int:
     """The hash of one term, for queries."""
     return int.from_bytes(hmac.new(key, f"{kind}\0{value}".encode(), hashlib.sha256).digest()[:8], "big", signed=True)
 
 
-def dictionary(words: DataFrame, key: bytes, kinds: str = "WSPX") -> DataFrame:
-    """(word, terms) for the distinct words of a table: terms have kind and hash."""
-    known = words.select("word").distinct()
-    folded, n = F.col("folded"), F.length("folded")
-    plain = ~F.col("word").isin(*T.COMMON_WORDS) & ~folded.isin(*T.COMMON_WORDS) & ~folded.rlike("^[0-9]+$")
-    none = F.array().cast("array<struct<kind:string,value:string>>")
-    of = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    parts = {
-        "W": F.array(of("W", folded)),
-        "S": F.transform("stems", lambda s: of("S", s)),
-        "P": F.when(plain & (n > 3), F.transform(F.sequence(F.lit(3), F.least(F.lit(15), n - 1)), lambda i: of("P", F.substr(folded, F.lit(1), i)))),
-        "X": F.when(plain & (n >= 8), F.transform(F.sequence(F.lit(4), n - 3), lambda i: of("X", F.substr(folded, i)))),
-    }
-    rows = known.withColumn("folded", T.fold(F.col("word")))
+def _hasher(key: bytes) -> Callable[[str, str], int]:
+    """`hash_of` for many terms: the key is worked in once."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (hashlib.sha256(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+
+    def hashed(kind: str, value: str) -> int:
+        first, then = inner.copy(), outer.copy()
+        first.update(f"{kind}\0{value}".encode())
+        then.update(first.digest())
+        return int.from_bytes(then.digest()[:8], "big", signed=True)
+
+    return hashed
+
+
+def _word_terms(word: str, folded: str, kinds: str) -> set[tuple[str, str]]:
+    """What a word is asked for by: (kind, text)."""
+    n, out = len(folded), {("W", folded)} if "W" in kinds else set()
     if "S" in kinds:
-        rows = rows.withColumn("stems", S.stems_of(F.col("word")))
-    every = F.concat(*(F.coalesce(parts[k], none) for k in kinds))
-    return rows.select("word", F.transform(every, lambda t: F.struct(t["kind"].alias("kind"), _hash(t["kind"], t["value"], key).alias("term"))).alias("terms"))
+        out.update(("S", s) for s in S.stems(word))
+    if word not in _COMMON and folded not in _COMMON and not (folded.isascii() and folded.isdigit()):
+        if "P" in kinds:
+            out.update(("P", folded[:i]) for i in range(3, min(15, n - 1) + 1))
+        if "X" in kinds and n >= 8:
+            out.update(("X", folded[i:]) for i in range(3, n - 3))
+    return out
+
+
+def dictionary(words: DataFrame, key: bytes, kinds: str = "WSPX") -> DataFrame:
+    """(word, term, terms) for the distinct words of a table: term is the word's
+    own hash, terms have kind and hash. Made in Arrow batches of words that are
+    distinct already; a condition on columns would be put before that, where
+    every word of every document is one of its own."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _hasher(key)
+        for batch in batches:
+            for low in range(0, len(batch), WORDS):
+                words = batch.column(0).slice(low, WORDS)
+                named = [_word_terms(w, f, kinds) for w, f in zip(words.to_pylist(), batch.column(1).slice(low, WORDS).to_pylist())]
+                own = np.fromiter((hashed("V", w) for w in words.to_pylist()), np.int64, len(words))
+                ends = np.cumsum([0, *map(len, named)])
+                hashes = pa.array(np.fromiter((hashed(k, v) for some in named for k, v in some), np.int64, ends[-1]))
+                terms = pa.StructArray.from_arrays([pa.array([k for some in named for k, _ in some], pa.string()), hashes], names=["kind", "term"])
+                yield pa.RecordBatch.from_arrays([words, pa.array(own), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), terms)], names=["word", "term", "terms"])
+
+    known = words.select("word").filter("word IS NOT NULL").distinct().select("word", T.fold(F.col("word")).alias("folded"))
+    return known.mapInArrow(made, "word string, term long, terms array<struct<kind:string,term:long>>")
 
 
 def write(docs: DataFrame, folder: str, key: bytes, version: int = 0, kinds: str = "WSPX", files: int = 1) -> None:
@@ -106,18 +135,18 @@ def write(docs: DataFrame, folder: str, key: bytes, version: int = 0, kinds: str
     theirs. Null fields have no words; documents without words have a length of
     one; a repeated id is one document of all its rows. `files`: files a bucket.
     """
-    none = F.array().cast("array<string>")
-    of = lambda name: F.coalesce(T.words(F.col(name)), none)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(files))
-    rows = field_words(docs, key).repartition(_bucket("word"), part)
-    name = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1)
-    rows = rows.select("doc_id", F.lit(version).alias("version"), name.alias("field"), F.col("word").alias("term"), "tf", _bucket("word").alias("bucket"))
-    rows.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
-    said = docs.select(F.explode(F.array_distinct(F.concat(*map(of, FIELDS)))).alias("word"))
-    terms = dictionary(said, key, kinds).select(_hash(F.lit("V"), F.col("word"), key).alias("term"), F.explode("terms.term").alias("asked"))
-    _write_terms(terms, folder)
-    lengths = docs.groupBy("doc_id").agg(F.sum(F.size(of("title")) + F.size(of("content"))).alias("length"))
-    lengths.select("doc_id", F.lit(version).alias("version"), F.greatest("length", F.lit(1)).cast("long").alias("length")).write.mode("append").parquet(f"{folder}/stats")
+    with freed(docs.sparkSession):
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(files))
+        rows = field_words(docs, key).repartition(_bucket("word"), part)
+        name = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1)
+        rows = rows.select("doc_id", F.lit(version).alias("version"), name.alias("field"), F.col("word").alias("term"), "tf", _bucket("word").alias("bucket"))
+        rows.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
+        none = F.array().cast("array<string>")
+        of = {name: F.coalesce(T.words(F.col(name)), none) for name in FIELDS}
+        said = docs.select(F.explode(F.array_distinct(F.concat(*of.values()))).alias("word"))
+        _write_terms(dictionary(said, key, kinds).select("term", F.explode("terms.term").alias("asked")), folder)
+        lengths = docs.groupBy("doc_id").agg(F.sum(F.size(of["title"]) + F.size(of["content"])).alias("length"))
+        lengths.select("doc_id", F.lit(version).alias("version"), F.greatest("length", F.lit(1)).cast("long").alias("length")).write.mode("append").parquet(f"{folder}/stats")
 
 
 def _bucket(column: str) -> Column:
@@ -125,7 +154,8 @@ def _bucket(column: str) -> Column:
 
 
 def _write_terms(terms: DataFrame, folder: str) -> None:
-    rows = terms.select("asked", "term", _bucket("asked").alias("bucket")).distinct()
+    """Writes (asked, term), in which no row is twice."""
+    rows = terms.select("asked", "term", _bucket("asked").alias("bucket"))
     rows.repartition("bucket").sortWithinPartitions("bucket", "asked").write.mode("append").partitionBy("bucket").parquet(f"{folder}/terms")
 
 
@@ -162,7 +192,7 @@ def compacted(spark: SparkSession, folder: str, to: str) -> None:
     live = live.select("doc_id", "version", "field", "term", "tf", "bucket")
     live.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/postings")
     words = spark.read.parquet(f"{to}/postings").select("term").distinct()
-    _write_terms(spark.read.parquet(f"{folder}/terms").join(words, "term", "left_semi"), to)
+    _write_terms(spark.read.parquet(f"{folder}/terms").join(words, "term", "left_semi").select("asked", "term").distinct(), to)
     stats.write.parquet(f"{to}/stats")
 
 

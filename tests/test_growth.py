@@ -62,6 +62,19 @@ def test_a_posting_is_stored_once(spark, tmp_path):
         assert postings.search(spark, str(tmp_path), query, b"k").count() == n
 
 
+def test_terms_are_made_once_a_distinct_word(spark, tmp_path, monkeypatch):
+    """They were made for every word of every document, of which only those with terms were to be kept."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "'Häuser und Häuser' AS title", "CONCAT('häuser 2024 w', id) AS content", "'' AS meta")
+    plans, whole = [], postings._write_terms
+    monkeypatch.setattr(postings, "_write_terms", lambda terms, folder: (plans.append(terms._jdf.queryExecution().optimizedPlan().toString()), whole(terms, folder))[1])
+    postings.write(docs, str(tmp_path), b"k")
+    below = plans[0][plans[0].index("MapInArrow") :]
+    assert "Aggregate" in below and "sha2" not in plans[0] and "stems" not in below
+    rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/terms").select("asked", "term").collect()]
+    assert len(rows) == len(set(rows)) and (postings.hash_of("P", "hae", b"k"), postings.hash_of("V", "häuser", b"k")) in rows
+    assert postings._hasher(b"x" * 70)("W", "ä") == postings.hash_of("W", "ä", b"x" * 70)
+
+
 def test_terms_of_many_words_are_joined(spark, tmp_path, monkeypatch):
     """Words of a query's terms are not collected beyond a bound."""
     docs = spark.range(40).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS title", "CONCAT('lizenz', id, ' lizenz') AS content", "'' AS meta")
