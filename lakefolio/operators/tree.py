@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .settled import settle
+from .settled import drop, settle
 
 
 def closure(folders: DataFrame) -> DataFrame:
@@ -16,14 +16,17 @@ def closure(folders: DataFrame) -> DataFrame:
     """
     parents = folders.select(F.col("folder_id").alias("ancestor_id"), "parent_id")
     level = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("distance"), F.col("folder_id").alias("mark"))
-    out, distance = level.drop("mark"), 0
+    out, distance, levels = level.drop("mark"), 0, []
     while True:
         distance += 1
         up = level.join(parents, "ancestor_id").filter("parent_id IS NOT NULL AND parent_id <> mark")
         mark = F.col("parent_id" if distance & (distance - 1) == 0 else "mark").alias("mark")
         level = settle(up.select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(distance).alias("distance"), mark))
+        levels.append(level)
         if level.isEmpty():
-            return out.groupBy("folder_id", "ancestor_id").agg(F.min("distance").alias("distance"))
+            found = settle(out.groupBy("folder_id", "ancestor_id").agg(F.min("distance").alias("distance")))
+            drop(*levels)
+            return found
         out = out.unionByName(level.drop("mark"))
 
 

@@ -75,3 +75,14 @@ def test_a_hot_key_is_dealt(spark):
     found = skew.dealt(rows, table, ["k"])
     assert sorted(found.columns) == ["id", "k", "v"]
     assert {r["v"]: r["n"] for r in found.groupBy("v").count().withColumnRenamed("count", "n").collect()} == {"x": 3333, "y": 3333, "z": 1}
+
+
+def test_what_nobody_asks_for_goes_no_deeper(spark, monkeypatch):
+    """What every folder is known by was made for all levels at once, asked for or not."""
+    folders = spark.createDataFrame([(i, i // 2 if i > 1 else None, f"F{i}") for i in range(1, 64)], FOLDER_SCHEMA)
+    filed = spark.createDataFrame([(i, i, i, f"s{i}", "k", None, None, None) for i in range(32, 64)], DOC_SCHEMA)
+    groups = spark.createDataFrame([(1, None, 40, None, None, None, None, "g")], DOC_SCHEMA)
+    kept, whole = [], placing.stored
+    monkeypatch.setattr(placing, "stored", lambda df: (out := whole(df), kept.append((out.columns, out.count())))[0])
+    assert [tuple(r) for r in placing.placed(groups, folders, filed).collect()] == [("g", 40, 3.0, 6)]
+    assert [n for columns, n in kept if "inside" in columns] == [1] * 6 + [0]

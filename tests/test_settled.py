@@ -1,10 +1,11 @@
 """What rows that are computed once leave on disk."""
 
+import os
 import time
 
 from pyspark.sql import functions as F
 
-from lakefolio.operators.settled import freed, settle
+from lakefolio.operators.settled import drop, freed, settle, stored
 
 
 def shuffled(spark):
@@ -38,3 +39,16 @@ def test_shuffle_files_go_when_rows_are_written(spark, tmp_path):
     with freed(spark):
         spark.range(1000).repartition(3, "id").write.parquet(f"{tmp_path}/rows")
     assert gone(spark, before) and spark.read.parquet(f"{tmp_path}/rows").count() == 1000
+
+
+def test_tables_are_dropped(spark):
+    rows = spark.range(30).selectExpr("id", "named_struct('a', id % 2, 'b', ARRAY(id)) AS s", "CAST(NULL AS STRING) AS t")
+    for make in (settle, stored):
+        kept = make(rows)
+        assert kept.dtypes == rows.dtypes and sorted(kept.collect()) == sorted(rows.collect())
+        folder = kept.inputFiles()[0].rpartition("/")[0] if make is stored else kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+        folder = folder.replace("file:", "").replace("///", "/")
+        assert os.path.isdir(folder)
+        drop(kept)
+        assert not os.path.exists(folder)
+        assert make(rows.limit(0)).count() == 0
