@@ -8,6 +8,10 @@ shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,10 @@ K1, B = 1.2, 0.6
 WEIGHTS = {"W": 1.0, "X": 0.7, "P": 0.5}
 
 
+#: Terms that a task counts before it hands them on, and documents that are counted at once.
+TERMS, SLICE = 500_000, 500
+_FOLDED, _STOPPED = str.maketrans(T.FOLDS), frozenset(T.STOP_WORDS)
+
 _LETTER = r"[\p{L}\p{N}]"
 _START, _END = rf"(?<!{_LETTER})", rf"(?!{_LETTER})"
 
@@ -80,6 +88,72 @@ def word_terms(docs: DataFrame) -> DataFrame:
     return counted.select("doc_id", "tf", F.explode(every).alias("t")).groupBy("doc_id", "t.kind", "t.term").agg(F.sum("tf").alias("tf"))
 
 
+def _terms_of(word: str) -> list[tuple[str, str]]:
+    """(kind, term) of a word, as in `word_terms`."""
+    n, out = len(word), [("W", word.translate(_FOLDED))]
+    if word not in _STOPPED and not (word.isascii() and word.isdigit()):
+        out += [("P", word[:i]) for i in range(3, min(15, n - 1) + 1)]
+        out += [("X", word[i:]) for i in range(3, n - 3)] if n >= 8 else []
+    return out
+
+
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """(kind, term, df, cf): the documents with a term of `word_terms`, and how often they have it.
+
+    Terms are made once a distinct word of a task and counted there, where a
+    document lies; a task holds `TERMS` of them. A repeated id is one document of
+    all its rows; only then texts are brought together.
+    """
+    docs = docs.select("doc_id", "text")
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        number: dict[tuple[str, str], int] = {}
+        df, cf = np.zeros(TERMS, np.int64), np.zeros(TERMS, np.int64)
+
+        def held() -> pa.RecordBatch:
+            names, n = list(number), len(number)
+            columns = [pa.array([k for k, _ in names], pa.string()), pa.array([t for _, t in names], pa.string()), pa.array(df[:n]), pa.array(cf[:n])]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "term", "df", "cf"])
+
+        for batch in batches:
+            for low in range(0, len(batch), SLICE):
+                lists = batch.column(0).slice(low, SLICE)
+                said = pa.array(lists.flatten()).dictionary_encode()
+                words = said.dictionary.to_pylist()
+                if not words:
+                    continue
+                for w in words:
+                    if w not in known:
+                        known[w] = np.fromiter((number.setdefault(t, len(number)) for t in _terms_of(w)), np.int64)
+                if len(number) > len(df):
+                    more = np.zeros(len(number), np.int64)
+                    df, cf = np.concatenate([df, more]), np.concatenate([cf, more])
+                of = [known[w] for w in words]
+                sizes, ids = np.fromiter(map(len, of), np.int64, len(of)), np.concatenate(of)
+                rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                pairs, times = np.unique(rows * len(words) + said.indices.to_numpy(), return_counts=True)
+                row, word = np.divmod(pairs, len(words))
+                many, starts = sizes[word], np.cumsum(sizes) - sizes
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[word], many)
+                terms = ids[at]
+                cf += np.bincount(terms, np.repeat(times, many), len(cf)).astype(np.int64)
+                once = np.sort(np.repeat(row, many) * len(df) + terms)
+                df += np.bincount(once[np.diff(once, prepend=-1) > 0] % len(df), minlength=len(df))
+                if len(number) > TERMS:
+                    yield held()
+                    known.clear(), number.clear()
+                    df[:], cf[:] = 0, 0
+        if number:
+            yield held()
+
+    words = docs.select(F.coalesce(T.words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    rows = words.mapInArrow(counted, "kind string, term string, df long, cf long")
+    return rows.groupBy("kind", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def signature(docs: DataFrame, top: int = 300) -> DataFrame:
     """(doc_id, place, term, tf): the most frequent words of each document."""
     counted = _dealt(docs).select("doc_id", F.explode(T.words("text")).alias("term")).filter(~F.col("term").isin(*T.STOP_WORDS))

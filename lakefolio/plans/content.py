@@ -61,8 +61,7 @@ WITH w AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}
     UNION ALL SELECT doc_id, 'X', substring(w, CAST(i AS BIGINT)), tf FROM (SELECT doc_id, w, tf, unnest(generate_series(4, length(w) - 3)) AS i FROM w WHERE length(w) >= 8 AND w NOT IN {_STOP} AND NOT regexp_full_match(w, '[0-9]+')))
 SELECT kind, term, count(DISTINCT doc_id) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM t GROUP BY 1, 2""")
 def term_stats(spark: SparkSession, folder: str) -> DataFrame:
-    terms = search.word_terms(scan(spark, folder, "documents"))
-    return terms.groupBy("kind", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return search.term_frequencies(scan(spark, folder, "documents"))
 
 
 def _hmac_sql(message: str) -> str:

@@ -103,6 +103,22 @@ def test_texts_are_dealt_once(spark):
     assert {(r.kind, r.term, r.tf) for r in search.word_terms(docs).filter("kind = 'W'").collect()} == {("W", "lizenz", 1), ("W", "lizenzvertrag", 1)}
 
 
+def test_terms_are_counted_where_documents_lie(spark, monkeypatch):
+    """Every term of every document was a row, to be counted in its document first."""
+    rows = [(1, "Fuß fuss Lizenz Lizenzvertrag 12345678 the"), (2, None), (3, "Mietvertrag " * 3 + "Lizenz"), (4, ""), (None, "Lizenzen"), (5, "lizenz x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    twice = docs.unionByName(spark.createDataFrame([(1, "Lizenz"), (None, "vertrag")], "doc_id long, text string"))
+    for some in (docs, twice):
+        want = {(r.kind, r.term, r.df, r.cf) for r in search.word_terms(some).groupBy("kind", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).collect()}
+        for most in (3, 500_000):
+            monkeypatch.setattr(search, "TERMS", most)
+            monkeypatch.setattr(search, "SLICE", 2)
+            got = [tuple(r) for r in search.term_frequencies(some).collect()]
+            assert len(got) == len(want) and set(got) == want
+    plan = search.term_frequencies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(kind") < plan.index("MapInArrow") and "Generate" not in plan
+
+
 def test_labels_of_common_letters(spark):
     """Labels met by their rarest pairs of letters, of which there are few kinds: here some 170 million pairs."""
     rng = random.Random(7)
